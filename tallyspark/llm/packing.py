@@ -7,7 +7,8 @@ which is a histogram with at most ``capacity`` entries at any corpus size; it is
    is rounded up to its group's largest.
 2. For these few sizes, column generation finds the fractional optimum of the configuration problem (which multisets
    of sizes fill a sequence, and how often each is used); the integer parts of the counts are taken.
-3. Slots of a configuration get actual pieces of the slot's group, which are never longer than the slot.
+3. Slots of a configuration get actual pieces of the slot's group, which are never longer than the slot; a sequence
+   that then has more than ``slack`` tokens free is given up and its pieces go to step 4.
 4. What is left of the groups, then the small pieces, go by best-fit decreasing into the room that remains.
 
 Sequences with the same contents are handled as one run with a count, so the work on the driver is bounded by the
@@ -62,7 +63,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, text: str = "text") -> DataFr
     """Rows of ``docs`` without its text, once for each piece, with piece, start, length and ids_crc32.
 
     The ids are those of the byte-level BPE, then ``END_ID``; a null text counts as empty and gives one piece of
-    length 1.  A document of more than ``capacity`` tokens is cut into full pieces and a last one with the rest.
+    length 1.  A document of more than ``capacity`` tokens is cut into full pieces after a first one with the rest.
     """
     others = [c for c in docs.columns if c != text]
     names = {c: f"c{i}" for i, c in enumerate(others)}
@@ -77,8 +78,9 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, text: str = "text") -> DataFr
             row, piece, start, length, crc = [], [], [], [], []
             for i, value in enumerate(batch.column(len(others)).to_pylist()):
                 ids = np.concatenate([encode(value, allowed_special="all"), end]).astype("<u4", copy=False) if value else end
-                for p, s in enumerate(range(0, len(ids), capacity)):
-                    part = ids[s : s + capacity]
+                first = (len(ids) - 1) % capacity + 1
+                for p, s in enumerate([0, *range(first, len(ids), capacity)]):
+                    part = ids[s : first if s == 0 else s + capacity]
                     row.append(i)
                     piece.append(p)
                     start.append(s)
@@ -184,7 +186,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return [(b, float(u)) for b, u in zip(basis, use, strict=True) if u > 1e-9]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 24, small: int = CAPACITY // 8) -> list[tuple[int, tuple[int, ...]]]:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 24, small: int = CAPACITY // 8, slack: int = CAPACITY // 64) -> list[tuple[int, tuple[int, ...]]]:
     """Runs (count, lengths in a sequence) that hold each length as often as the histogram says."""
     left = {int(k): int(v) for k, v in histogram.items() if v}
     room = _Room(capacity)
@@ -231,9 +233,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 24,
                     head[1] -= run
                     if not head[1]:
                         queues[c].pop()
-                for x in chosen:
-                    left[x] -= run
-                room.add(run, tuple(chosen))
+                if capacity - sum(chosen) <= slack:  # else its pieces stay for best fit
+                    for x in chosen:
+                        left[x] -= run
+                    room.add(run, tuple(chosen))
                 count -= run
     for k in sorted((k for k in left if left[k]), reverse=True):
         room.best_fit(k, left[k])
