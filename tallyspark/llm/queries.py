@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .packing import op6_best_fit_packing
+from .suffixdedup import op7_suffix_dedup
 
 QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_suffix_dedup": op7_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
