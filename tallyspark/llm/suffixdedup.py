@@ -123,13 +123,16 @@ SAMPLE, FULL, LATER, FIRST = 0, 1, 2, 3
 _NOTES = "chunk int, kind int, bucket int, answer binary, row long"
 
 
+def _rows(notes: pa.Table, kind: int) -> np.ndarray:
+    return notes.filter(pc.equal(notes["kind"], kind))["row"].to_numpy()
+
+
 def _notes(table: pa.Table, notes: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     """The rows of a chunk that take part, whether each stands for several, and the others' numbers."""
     ids = table["_row"].to_numpy()
-    kind, row = notes["kind"].to_numpy(), notes["row"].to_numpy(zero_copy_only=False)
-    later = np.isin(ids, row[kind == LATER])
+    later = np.isin(ids, _rows(notes, LATER))
     keep = np.flatnonzero(~later)
-    return table.take(pa.array(keep)), np.isin(ids[keep], row[kind == FIRST]), np.flatnonzero(later)
+    return table.take(pa.array(keep)), np.isin(ids[keep], _rows(notes, FIRST)), np.flatnonzero(later)
 
 
 def remove_repeats(docs: DataFrame, length: int = MIN_BYTES, text: str = "text", key: str = "doc_id", keep_text: bool = False) -> DataFrame:
