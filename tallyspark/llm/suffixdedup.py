@@ -58,9 +58,11 @@ class _Texts:
         self.depth = length - self.v + 1
         self.sums = prefix_sums(data, CODES_RAW)
         sizes = np.diff(offsets)
-        n = len(data)
-        at = np.concatenate([np.arange(r, n, self.v) for r in residues]) if n else np.zeros(0, np.int64)
-        at.sort()
+        # residues count from a document's start, so the sample doesn't depend on the order of a chunk's rows
+        pattern = np.zeros(self.v, bool)
+        pattern[list(residues)] = True
+        pattern = np.tile(pattern, int(sizes.max(initial=0)) // self.v + 1)
+        at = np.flatnonzero(np.concatenate([pattern[:x] for x in sizes.tolist()])) if len(data) else np.zeros(0, np.int64)
         doc = np.searchsorted(offsets, at, "right") - 1
         fits = at + self.depth <= offsets[doc + 1]
         fits &= sizes[doc] >= length
