@@ -116,12 +116,9 @@ def trie_join(nodes: list[int], sizes: list[int], grams: list[np.ndarray], parts
         n = sizes[q]
 
         def wanted(k: int, q: int = q, n: int = n) -> bool:
-            r = residents[k]
-            if q in place and place[q] <= k and r in asked:
-                return False
-            return r != q and den * min(n, sizes[r]) >= num * max(n, sizes[r]) and find(parts[r]) != find(parts[q])
+            r = residents[k]  # two residents meet once, the first of them asks
+            return place.get(q, -1) < k and den * min(n, sizes[r]) >= num * max(n, sizes[r]) and find(parts[r]) != find(parts[q])
 
-        asked: set[int] = set()
         for k, overlap in trie.walk(mask, (den - num) * n // num, wanted):
             r = residents[k]
             if den * overlap >= num * (n + sizes[r] - overlap) and find(parts[r]) != find(parts[q]):
@@ -131,7 +128,9 @@ def trie_join(nodes: list[int], sizes: list[int], grams: list[np.ndarray], parts
     return edges
 
 
-def _join_unit(num: int, den: int):
+def _join_unit(num: int, den: int, guests_only: bool = False):
+    """Joins the residents of each cluster of a unit with each other and with the visitors, or with the visitors alone."""
+
     def join(table: pa.Table) -> pa.Table:
         rows = table.select(["cluster", "node", "n", "part", "visits", "grams"]).to_pydict()
         by: dict[int, list[int]] = {}
@@ -145,7 +144,7 @@ def _join_unit(num: int, den: int):
             residents = [k for k in at if not rows["visits"][members[k]]]
             edges += trie_join(
                 *([rows[c][i] for i in members] for c in ("node", "n")), [np.frombuffer(rows["grams"][i], np.uint64) for i in members], [rows["part"][i] for i in members],
-                residents, visitors + (residents if not visitors or rows["part"][members[0]] == rows["node"][members[0]] else []), num, den,
+                residents, visitors if guests_only else visitors + residents, num, den,
             )
         return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
 
@@ -257,7 +256,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     guests = big.where("part <> main").withColumn("block", F.explode(others)).withColumn("visits", F.lit(True))
     own = big.where("part <> main").withColumn("visits", F.lit(True))
     second = big.select(*unit, *shape).unionByName(guests.select(*unit, *shape)).unionByName(own.select(*unit, *shape))
-    more = second.groupBy("u", "v").applyInArrow(_join_unit_guests(num, den), "a long, b long")
+    more = second.groupBy("u", "v").applyInArrow(_join_unit(num, den, True), "a long, b long")
     edges = edges.unionByName(settle(more, folder, "edges-2"))
 
     found = connected_components(edges, folder, "components")
@@ -269,9 +268,5 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     return kept.drop("grams").join(named, "node", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
 
 
-def _join_unit_guests(num: int, den: int):
-    return _join_unit(num, den)
-
-
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .ngramjoin import op9_ngram_jaccard_join
 from .packing import op6_best_fit_packing
 from .suffixdedup import op7_suffix_dedup
 
 QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
