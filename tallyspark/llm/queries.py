@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op3_bpe_encoding
 from .ngramjoin import op9_ngram_jaccard_join
 from .packing import op6_best_fit_packing
 from .suffixdedup import op7_suffix_dedup
 
 QUERIES = {
+    "op3_bpe_encoding": op3_bpe_encoding,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
