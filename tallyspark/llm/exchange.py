@@ -41,9 +41,13 @@ def settle(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps that are over."""
+    """Let Spark's cleaner drop the shuffle files of steps that are over.
+
+    The session holds on to its last execution, so an empty one takes that place before the collection.
+    """
     import gc
 
+    spark.range(1).write.format("noop").mode("overwrite").save()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
