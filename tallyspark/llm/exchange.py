@@ -34,9 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tallyspark-{uuid.uuid4().hex}"
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in at most a fifth of the shuffle partitions (36 at least): several small partitions, one after the other, to a file."""
+    return df.coalesce(max(36, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 5))
+
+
 def settle(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: it cuts the lineage and survives lost executors."""
-    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    few_files(df).write.mode("overwrite").parquet(f"{folder}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
@@ -58,6 +63,11 @@ def chunk_count(df: DataFrame, per_partition: int = 8) -> int:
     return max(per_partition * df.rdd.getNumPartitions(), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bucket_count(spark: SparkSession) -> int:
+    """Number of buckets: one to a shuffle partition, so the blocks are as many as chunks times shuffle partitions at most."""
+    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def with_chunk(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.withColumn("chunk", F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int"))
 
@@ -70,6 +80,8 @@ def blocks(chunk: int, keys: np.ndarray, counts: np.ndarray | None, buckets: int
     """Rows to send: ``keys`` sorted and distinct, ``counts`` beside them (any fixed-width rows) or None."""
     at = np.concatenate([[0], np.searchsorted(keys, _edges(buckets)), [len(keys)]]).astype(np.int64)
     used = np.flatnonzero(at[1:] > at[:-1])
+    if counts is not None:
+        counts = counts.astype(np.uint32, copy=False)
 
     def cut(values: np.ndarray) -> pa.Array:
         width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
@@ -115,6 +127,11 @@ def _repeats(table: pa.Table) -> pa.Table:
     return _answers(table, out, at // 8)
 
 
+def totals_schema(width: int) -> str:
+    """An answer's columns; d0.. and t0.. hold, in one row of each bucket, how many keys have a total and the sum of the totals."""
+    return ", ".join([ANSWER_SCHEMA, *(f"{c}{k} long" for c in "dt" for k in range(width))])
+
+
 def _totals(width: int):
     def totals(table: pa.Table) -> pa.Table:
         """One bucket of keys with ``width`` uint32 counts each; the totals over all chunks, saturated at 2**32-1."""
@@ -128,7 +145,13 @@ def _totals(width: int):
         sums = np.add.reduceat(counts[order].astype(np.int64), starts, axis=0)
         out = np.empty((len(keys), width), np.uint32)
         out[order] = np.repeat(np.minimum(sums, 2**32 - 1).astype(np.uint32), sizes, axis=0)
-        return _answers(table, out, at // 8)
+        answers = _answers(table, out, at // 8)
+        for name, values in (("d", (sums > 0).sum(axis=0)), ("t", sums.sum(axis=0))):
+            for k in range(width):
+                column = np.zeros(table.num_rows, np.int64)
+                column[0] = values[k]
+                answers = answers.append_column(f"{name}{k}", pa.array(column))
+        return answers
 
     return totals
 
@@ -138,7 +161,7 @@ def answer_repeats(sent: DataFrame) -> DataFrame:
 
 
 def answer_totals(sent: DataFrame, width: int) -> DataFrame:
-    return sent.groupBy("bucket").applyInArrow(_totals(width), ANSWER_SCHEMA)
+    return sent.groupBy("bucket").applyInArrow(_totals(width), totals_schema(width))
 
 
 def flagged(keys: np.ndarray, multi: np.ndarray | None = None) -> np.ndarray:

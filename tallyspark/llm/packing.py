@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .exchange import release, settle, shared_dir
+from .exchange import few_files, release, settle, shared_dir
 
 CAPACITY = 1024
 END_ID = 2
@@ -286,7 +286,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names[:-2]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(laid["base"][at] + rank - laid["rank"][at]), pa.array(laid["offset"][at])], names=names)
 
-    return ranks.mapInArrow(place, kinds)
+    return few_files(ranks.mapInArrow(place, kinds))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
