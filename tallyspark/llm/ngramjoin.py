@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .exchange import BLOCK_SCHEMA, answer_repeats, answer_totals, blocks, chunk_count, flagged, read_answers, release, settle, shared_dir, with_chunk
+from .exchange import BLOCK_SCHEMA, answer_repeats, answer_totals, blocks, bucket_count, chunk_count, few_files, flagged, read_answers, release, settle, shared_dir, with_chunk
 from .textbytes import column_bytes, mix, shingles, slices, word_hashes
 
 BLOCK = 128
@@ -161,7 +161,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    n = chunk_count(docs)
+    n, buckets = chunk_count(docs), bucket_count(spark)
     base = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).withColumn("_row", F.xxhash64("key", "text"))
     base = with_chunk(base, "_row", n).drop("_row")
     kind = base.schema["key"].dataType.simpleString()
@@ -169,7 +169,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     def send(table: pa.Table) -> pa.Table:
         grams = [g for _, _, g, _ in _sets(table, "text", words)]
         keys = flagged(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
-        return pa.Table.from_batches([blocks(table["chunk"][0].as_py(), keys, None, n)])
+        return pa.Table.from_batches([blocks(table["chunk"][0].as_py(), keys, None, buckets)])
 
     answers = settle(answer_repeats(base.groupBy("chunk").applyInArrow(send, BLOCK_SCHEMA)), folder, "repeated")
     release(spark)
@@ -203,7 +203,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     def send_again(table: pa.Table) -> pa.Table:
         grams = np.frombuffer(b"".join(table["grams"].to_pylist()), np.uint64)
         keys, counts = np.unique(grams, return_counts=True)
-        return pa.Table.from_batches([blocks(table["chunk"][0].as_py(), keys, counts.astype(np.uint32).reshape(-1, 1), n)])
+        return pa.Table.from_batches([blocks(table["chunk"][0].as_py(), keys, counts.astype(np.uint32).reshape(-1, 1), buckets)])
 
     answers = settle(answer_totals(classes.groupBy("chunk").applyInArrow(send_again, BLOCK_SCHEMA), 1), folder, "counted")
 
@@ -265,7 +265,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     found = settle(found.join(least, "component").select("node", "least"), folder, "found")
     single = classes.select("node", F.col("key").alias("own"))
     named = single.join(found, "node", "left").select("node", F.coalesce("least", "own").alias("component_id"))
-    return kept.drop("grams").join(named, "node", "left").select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+    out = kept.drop("grams").join(named, "node", "left")
+    return few_files(out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")))
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import BLOCK_SCHEMA, answer_repeats, blocks, chunk_count, flagged, read_answers, release, settle, shared_dir, with_chunk
+from .exchange import BLOCK_SCHEMA, answer_repeats, blocks, bucket_count, chunk_count, few_files, flagged, read_answers, release, settle, shared_dir, with_chunk
 from .textbytes import CODES_RAW, column_bytes, prefix_sums, slices, span_hashes
 
 MIN_BYTES = 200
@@ -148,7 +148,7 @@ def remove_repeats(docs: DataFrame, length: int = MIN_BYTES, text: str = "text",
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    n = chunk_count(docs)
+    n, buckets = chunk_count(docs), bucket_count(spark)
     own = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     columns = [c for c in docs.columns if c not in own and c not in ("chunk", "_row")] if keep_text else list(dict.fromkeys([key, text]))
     # equal ids: a row is known by its id and text together
@@ -163,18 +163,18 @@ def remove_repeats(docs: DataFrame, length: int = MIN_BYTES, text: str = "text",
 
     def send_samples(table: pa.Table, notes: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.Table.from_batches([blocks(0, np.zeros(0, np.uint64), None, n)])
+            return pa.Table.from_batches([blocks(0, np.zeros(0, np.uint64), None, buckets)])
         chunk = table["chunk"][0].as_py()
         rows, several, _ = _notes(table, notes)
-        return pa.Table.from_batches([blocks(chunk, _sample_keys(rows, text, length, several), None, n)])
+        return pa.Table.from_batches([blocks(chunk, _sample_keys(rows, text, length, several), None, buckets)])
 
     def send_full(table: pa.Table, notes: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.Table.from_batches([blocks(0, np.zeros(0, np.uint64), None, n)])
+            return pa.Table.from_batches([blocks(0, np.zeros(0, np.uint64), None, buckets)])
         chunk = table["chunk"][0].as_py()
         rows, several, _ = _notes(table, notes)
         keys = _sample_keys(rows, text, length, several)
-        return pa.Table.from_batches([blocks(chunk, _full_keys(rows, text, length, several, keys, _answers(notes, SAMPLE)), None, n)])
+        return pa.Table.from_batches([blocks(chunk, _full_keys(rows, text, length, several, keys, _answers(notes, SAMPLE)), None, buckets)])
 
     kept = [c for c in columns if c != text or keep_text]
 
@@ -235,7 +235,7 @@ def remove_repeats(docs: DataFrame, length: int = MIN_BYTES, text: str = "text",
     full = settle(answer_repeats(meet(send_full, notes, BLOCK_SCHEMA)), folder, "full")
     release(spark)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*[F.col(f"`{c}`") for c in kept]).schema), "n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"])
-    return meet(results, notes.unionByName(as_notes(full, FULL)), schema)
+    return few_files(meet(results, notes.unionByName(as_notes(full, FULL)), schema))
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
