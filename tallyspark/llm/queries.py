@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe_encoding
+from .fingerprint import op5_document_fingerprints
 from .lmscore import op2_lm_scoring
 from .ngramjoin import op9_ngram_jaccard_join
 from .packing import op6_best_fit_packing
 from .suffixdedup import op7_suffix_dedup
 
 QUERIES = {
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_bpe_encoding": op3_bpe_encoding,
     "op6_best_fit_packing": op6_best_fit_packing,
