@@ -5,12 +5,14 @@ from __future__ import annotations
 from .bpe import op3_bpe_encoding
 from .fingerprint import op5_document_fingerprints
 from .flac import op4_media_columns
+from .htmltext import op8_html_extraction
 from .lmscore import op2_lm_scoring
 from .ngramjoin import op9_ngram_jaccard_join
 from .packing import op6_best_fit_packing
 from .suffixdedup import op7_suffix_dedup
 
 QUERIES = {
+    "op8_html_extraction": op8_html_extraction,
     "op4_media_columns": op4_media_columns,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op2_lm_scoring": op2_lm_scoring,
