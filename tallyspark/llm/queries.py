@@ -6,12 +6,14 @@ from .bpe import op3_bpe_encoding
 from .fingerprint import op5_document_fingerprints
 from .flac import op4_media_columns
 from .htmltext import op8_html_extraction
+from .linededup import OP1_SQL, op1_line_dedup
 from .lmscore import op2_lm_scoring
 from .ngramjoin import op9_ngram_jaccard_join
 from .packing import op6_best_fit_packing
 from .suffixdedup import op7_suffix_dedup
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op8_html_extraction": op8_html_extraction,
     "op4_media_columns": op4_media_columns,
     "op5_document_fingerprints": op5_document_fingerprints,
@@ -22,4 +24,4 @@ QUERIES = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
