@@ -76,22 +76,29 @@ def _edges(buckets: int) -> np.ndarray:
     return np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts (rows x width) as a byte each, column by column; those from 255 on follow as 32-bit numbers."""
+    flat = counts.T.ravel()
+    return np.minimum(flat, 255).astype(np.uint8).tobytes() + flat[flat >= 255].astype("<u4").tobytes()
+
+
+def _unpack(data: bytes, width: int, rows: int | None = None) -> np.ndarray:
+    """The counts of ``_pack``; without ``rows`` the number of rows stands in front."""
+    if rows is None:
+        rows, data = int.from_bytes(data[:4], "little"), data[4:]
+    out = np.frombuffer(data, np.uint8, rows * width).astype(np.uint32)
+    out[out == 255] = np.frombuffer(data, "<u4", offset=rows * width)
+    return out.reshape(width, rows).T
+
+
 def blocks(chunk: int, keys: np.ndarray, counts: np.ndarray | None, buckets: int) -> pa.RecordBatch:
-    """Rows to send: ``keys`` sorted and distinct, ``counts`` beside them (any fixed-width rows) or None."""
+    """Rows to send: ``keys`` sorted and distinct, ``counts`` (rows x width) beside them or None."""
     at = np.concatenate([[0], np.searchsorted(keys, _edges(buckets)), [len(keys)]]).astype(np.int64)
     used = np.flatnonzero(at[1:] > at[:-1])
-    if counts is not None:
-        counts = counts.astype(np.uint32, copy=False)
-
-    def cut(values: np.ndarray) -> pa.Array:
-        width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
-        ends = np.concatenate([[0], np.cumsum((at[1:] - at[:-1])[used])]) * width
-        return pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
-
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(used), chunk, np.int32)), pa.array(used.astype(np.int32)), cut(keys), cut(counts) if counts is not None else pa.nulls(len(used), pa.binary())],
-        names=["chunk", "bucket", "keys", "counts"],
-    )
+    ends = np.concatenate([[0], np.cumsum((at[1:] - at[:-1])[used])]) * 8
+    cut = pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(keys))])
+    beside = pa.nulls(len(used), pa.binary()) if counts is None else pa.array([_pack(counts[at[k] : at[k + 1]]) for k in used.tolist()], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(used), chunk, np.int32)), pa.array(used.astype(np.int32)), cut, beside], names=["chunk", "bucket", "keys", "counts"])
 
 
 def _joined(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,10 +110,7 @@ def _joined(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8), at - at[0]
 
 
-def _answers(table: pa.Table, values: np.ndarray, at: np.ndarray) -> pa.Table:
-    """One answer for each block: rows at[k]:at[k+1] of ``values``."""
-    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
-    answer = pa.Array.from_buffers(pa.binary(), table.num_rows, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+def _answers(table: pa.Table, answer: pa.Array) -> pa.Table:
     return pa.Table.from_arrays([table["chunk"].combine_chunks(), table["bucket"].combine_chunks(), answer], names=["chunk", "bucket", "answer"])
 
 
@@ -124,7 +128,8 @@ def _repeats(table: pa.Table) -> pa.Table:
     group = np.logical_or.reduceat(again, starts) | (sizes > 1)
     out = np.empty(len(keys), np.uint8)
     out[order] = np.repeat(group, sizes)
-    return _answers(table, out, at // 8)
+    ends = pa.py_buffer((at // 8).astype(np.int32))
+    return _answers(table, pa.Array.from_buffers(pa.binary(), table.num_rows, [None, ends, pa.py_buffer(out)]))
 
 
 def totals_schema(width: int) -> str:
@@ -136,16 +141,19 @@ def _totals(width: int):
     def totals(table: pa.Table) -> pa.Table:
         """One bucket of keys with ``width`` uint32 counts each; the totals over all chunks, saturated at 2**32-1."""
         raw, at = _joined(table["keys"])
-        keys = np.frombuffer(raw.tobytes(), np.uint64)
-        counts = np.frombuffer(_joined(table["counts"])[0].tobytes(), np.uint32).reshape(-1, width)
+        keys, at = np.frombuffer(raw.tobytes(), np.uint64), (at // 8).tolist()
         order = np.argsort(keys)
         ranked = keys[order]
         starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(ranked)]]))
-        sums = np.add.reduceat(counts[order].astype(np.int64), starts, axis=0)
+        del ranked
+        counts = np.concatenate([_unpack(c, width, j - i) for c, i, j in zip(table["counts"].to_pylist(), at, at[1:], strict=False)])
+        sums = np.stack([np.add.reduceat(counts[order, k], starts, dtype=np.int64) for k in range(width)], axis=1)
+        del counts
         out = np.empty((len(keys), width), np.uint32)
-        out[order] = np.repeat(np.minimum(sums, 2**32 - 1).astype(np.uint32), sizes, axis=0)
-        answers = _answers(table, out, at // 8)
+        for k in range(width):
+            out[order, k] = np.repeat(np.minimum(sums[:, k], 2**32 - 1).astype(np.uint32), sizes)
+        answers = _answers(table, pa.array([(j - i).to_bytes(4, "little") + _pack(out[i:j]) for i, j in zip(at, at[1:], strict=False)], pa.binary()))
         for name, values in (("d", (sums > 0).sum(axis=0)), ("t", sums.sum(axis=0))):
             for k in range(width):
                 column = np.zeros(table.num_rows, np.int64)
@@ -179,8 +187,18 @@ def flagged(keys: np.ndarray, multi: np.ndarray | None = None) -> np.ndarray:
     return last | (sizes > 1).astype(np.uint64)
 
 
-def read_answers(buckets: list[int], answers: list[bytes], dtype, width: int = 1) -> np.ndarray:
-    """A chunk's answers put together in the order of its sorted keys."""
-    order = np.argsort(np.asarray(buckets, np.int64), kind="stable")
-    out = np.frombuffer(b"".join(answers[i] for i in order), dtype)
-    return out.reshape(-1, width) if width > 1 else out
+def _by_bucket(table: pa.Table) -> list[bytes]:
+    order = np.argsort(table["bucket"].to_numpy(), kind="stable")
+    answers = table["answer"].to_pylist()
+    return [answers[i] for i in order]
+
+
+def read_repeats(table: pa.Table) -> np.ndarray:
+    """A chunk's answers of ``answer_repeats`` in the order of its sorted keys."""
+    return np.frombuffer(b"".join(_by_bucket(table)), np.uint8).astype(bool)
+
+
+def read_totals(table: pa.Table, width: int) -> np.ndarray:
+    """A chunk's answers of ``answer_totals`` (rows x width, uint32) in the order of its sorted keys."""
+    parts = [_unpack(a, width) for a in _by_bucket(table)]
+    return np.concatenate(parts) if parts else np.zeros((0, width), np.uint32)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import BLOCK_SCHEMA, answer_totals, blocks, bucket_count, chunk_count, few_files, read_answers, release, settle, shared_dir, with_chunk
+from .exchange import BLOCK_SCHEMA, answer_totals, blocks, bucket_count, chunk_count, few_files, read_totals, release, settle, shared_dir, with_chunk
 from .textbytes import column_bytes, mix, slices, word_hashes
 
 END = np.uint64(0xE4D0F7E47)
@@ -32,6 +32,7 @@ COUNTED, DELETED, HELD_OUT = 0, 1, 2
 #: One training document in so many is deleted from the first estimates.
 DELETED_EVERY = 8
 BUCKETS = 40
+WORDS, PAIRS = 0, 1
 OCTAVE = 4  # cells to an octave of an estimate
 
 
@@ -107,33 +108,35 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", he
     base = with_chunk(base, "_row", n).drop("_row")
     kind = base.schema["key"].dataType.simpleString()
 
-    def send(table: pa.Table) -> pa.Table:
-        chunk = table["chunk"][0].as_py()
-        tokens, sizes = _tokens(table, "text")
-        part = np.repeat(table["part"].to_numpy(), sizes)
-        both = [blocks(2 * chunk + k, *_count(x, part), buckets) for k, x in enumerate((tokens, _pairs(tokens)))]
-        # pairs have buckets of their own
-        shifted = [both[0], both[1].set_column(1, "bucket", pc.add(both[1]["bucket"], pa.scalar(buckets, pa.int32())))]
-        return pa.Table.from_batches(shifted)
-
-    answers = settle(answer_totals(base.groupBy("chunk").applyInArrow(send, BLOCK_SCHEMA), 2), folder, "counts")
-    release(spark)
-    sums = answers.where(F.col("bucket") < buckets).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("d0", "t0", "d1", "t1"))).first()
+    def send(pairs: bool):
+        def run(table: pa.Table) -> pa.Table:
+            tokens, sizes = _tokens(table, "text")
+            part = np.repeat(table["part"].to_numpy(), sizes)
+            return pa.Table.from_batches([blocks(table["chunk"][0].as_py(), *_count(_pairs(tokens) if pairs else tokens, part), buckets)])
+
+        return run
+
+    notes = []
+    for k in (WORDS, PAIRS):
+        answers = settle(answer_totals(base.groupBy("chunk").applyInArrow(send(k == PAIRS), BLOCK_SCHEMA), 2), folder, f"counts-{k}")
+        release(spark)
+        if k == WORDS:
+            sums = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("d0", "t0", "d1", "t1"))).first()
+        notes.append(answers.select("chunk", F.lit(k).alias("kind"), "bucket", "answer"))
     v0, n0, v1, n1 = (int(x) for x in sums)
-    notes = answers.select(F.floor(F.col("chunk") / 2).cast("int").alias("chunk"), (F.col("chunk") % 2).alias("kind"), "bucket", "answer")
+    notes = notes[0].unionByName(notes[1])
 
     def features(table: pa.Table, notes: pa.Table):
         """Tokens of each document, and the totals of each token's pair, context and word: (counted, training) each."""
         tokens, sizes = _tokens(table, "text")
         out = []
-        for k, keys in enumerate((tokens, _pairs(tokens))):
-            rows = notes.filter(pc.equal(notes["kind"], k))
-            totals = read_answers(rows["bucket"].to_numpy(), rows["answer"].to_pylist(), np.uint32, 2)
+        for k, keys in ((WORDS, tokens), (PAIRS, _pairs(tokens))):
+            totals = read_totals(notes.filter(pc.equal(notes["kind"], k)), 2)
             distinct, inverse = np.unique(keys, return_inverse=True)
             if len(distinct) != len(totals):
                 raise RuntimeError("the rows of a chunk changed between two reads of the input")
             out.append(totals[inverse])
-            if not k:
+            if k == WORDS:
                 end = totals[np.searchsorted(distinct, END)]
         word, pair = out
         return sizes, pair, np.concatenate([[end], word[:-1]]), word

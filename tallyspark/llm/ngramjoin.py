@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .exchange import BLOCK_SCHEMA, answer_repeats, answer_totals, blocks, bucket_count, chunk_count, few_files, flagged, read_answers, release, settle, shared_dir, with_chunk
+from .exchange import BLOCK_SCHEMA, answer_repeats, answer_totals, blocks, bucket_count, chunk_count, few_files, flagged, read_repeats, read_totals, release, settle, shared_dir, with_chunk
 from .textbytes import column_bytes, mix, shingles, slices, word_hashes
 
 BLOCK = 128
@@ -177,7 +177,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     def keep(table: pa.Table, notes: pa.Table) -> pa.Table:
         parts = list(_sets(table, "text", words))
         keys = flagged(np.concatenate([g for _, _, g, _ in parts])) if parts else np.zeros(0, np.uint64)
-        repeated = read_answers(notes["bucket"].to_numpy(), notes["answer"].to_pylist(), np.uint8).astype(bool)
+        repeated = read_repeats(notes)
         if len(repeated) != len(keys):
             raise RuntimeError("the rows of a chunk changed between two reads of the input")
         sizes, names, sets, lengths = [], [], [], []
@@ -210,7 +210,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     def rank(table: pa.Table, notes: pa.Table) -> pa.Table:
         rows = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
         keys = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.uint64)
-        totals = read_answers(notes["bucket"].to_numpy(), notes["answer"].to_pylist(), np.uint32)
+        totals = read_totals(notes, 1)[:, 0]
         out: dict[str, list] = {c: [] for c in ("node", "n", "weight", "first", "grams")}
         for node, size, grams in zip(table["node"].to_pylist(), table["n"].to_pylist(), rows, strict=True):
             count = totals[np.searchsorted(keys, grams)]

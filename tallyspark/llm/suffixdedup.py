@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import BLOCK_SCHEMA, answer_repeats, blocks, bucket_count, chunk_count, few_files, flagged, read_answers, release, settle, shared_dir, with_chunk
+from .exchange import BLOCK_SCHEMA, answer_repeats, blocks, bucket_count, chunk_count, few_files, flagged, read_repeats, release, settle, shared_dir, with_chunk
 from .textbytes import CODES_RAW, column_bytes, prefix_sums, slices, span_hashes
 
 MIN_BYTES = 200
@@ -116,8 +116,7 @@ def _full_keys(table: pa.Table, text: str, length: int, several: np.ndarray, key
 
 
 def _answers(table: pa.Table, kind: int) -> np.ndarray:
-    rows = table.filter(pc.equal(table["kind"], kind))
-    return read_answers(rows["bucket"].to_numpy(), rows["answer"].to_pylist(), np.uint8).astype(bool)
+    return read_repeats(table.filter(pc.equal(table["kind"], kind)))
 
 
 #: Kinds of notes to a chunk: answers for samples and for full depth; a row that equals an earlier text; one that stands for equal ones.
