@@ -10,6 +10,7 @@ from .linededup import OP1_SQL, op1_line_dedup
 from .lmscore import op2_lm_scoring
 from .ngramjoin import op9_ngram_jaccard_join
 from .packing import op6_best_fit_packing
+from .quality import op10_quality_classifier
 from .suffixdedup import op7_suffix_dedup
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
