@@ -91,23 +91,28 @@ def _unpack(data: bytes, width: int, rows: int | None = None) -> np.ndarray:
     return out.reshape(width, rows).T
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte of all of them: the high bytes are nearly all 0, which the shuffle's compression drops."""
+    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _bucket_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All keys that came to a bucket, and where each block begins."""
+    parts = [_unpack_keys(x) for x in table["keys"].to_pylist()]
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+
 def blocks(chunk: int, keys: np.ndarray, counts: np.ndarray | None, buckets: int) -> pa.RecordBatch:
     """Rows to send: ``keys`` sorted and distinct, ``counts`` (rows x width) beside them or None."""
     at = np.concatenate([[0], np.searchsorted(keys, _edges(buckets)), [len(keys)]]).astype(np.int64)
-    used = np.flatnonzero(at[1:] > at[:-1])
-    ends = np.concatenate([[0], np.cumsum((at[1:] - at[:-1])[used])]) * 8
-    cut = pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(keys))])
-    beside = pa.nulls(len(used), pa.binary()) if counts is None else pa.array([_pack(counts[at[k] : at[k + 1]]) for k in used.tolist()], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(used), chunk, np.int32)), pa.array(used.astype(np.int32)), cut, beside], names=["chunk", "bucket", "keys", "counts"])
-
-
-def _joined(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    column = column.combine_chunks()
-    if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.chunks)
-    _, at, data = column.buffers()
-    at = np.frombuffer(at, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8), at - at[0]
+    used = np.flatnonzero(at[1:] > at[:-1]).tolist()
+    sent = pa.array([_pack_keys(keys[at[k] : at[k + 1]]) for k in used], pa.binary())
+    beside = pa.nulls(len(used), pa.binary()) if counts is None else pa.array([_pack(counts[at[k] : at[k + 1]]) for k in used], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(used), chunk, np.int32)), pa.array(used, pa.int32()), sent, beside], names=["chunk", "bucket", "keys", "counts"])
 
 
 def _answers(table: pa.Table, answer: pa.Array) -> pa.Table:
@@ -116,8 +121,7 @@ def _answers(table: pa.Table, answer: pa.Array) -> pa.Table:
 
 def _repeats(table: pa.Table) -> pa.Table:
     """One bucket of flagged keys (lowest bit: occurs more than once in its chunk); a byte for each key: it occurs more than once in all."""
-    raw, at = _joined(table["keys"])
-    keys = raw.view(np.uint64) if raw.flags.aligned and not raw.ctypes.data % 8 else np.frombuffer(raw.tobytes(), np.uint64)
+    keys, at = _bucket_keys(table)
     order = np.argsort(keys)
     ranked = keys[order]
     names = ranked >> np.uint64(1)
@@ -128,7 +132,7 @@ def _repeats(table: pa.Table) -> pa.Table:
     group = np.logical_or.reduceat(again, starts) | (sizes > 1)
     out = np.empty(len(keys), np.uint8)
     out[order] = np.repeat(group, sizes)
-    ends = pa.py_buffer((at // 8).astype(np.int32))
+    ends = pa.py_buffer(at.astype(np.int32))
     return _answers(table, pa.Array.from_buffers(pa.binary(), table.num_rows, [None, ends, pa.py_buffer(out)]))
 
 
@@ -140,8 +144,8 @@ def totals_schema(width: int) -> str:
 def _totals(width: int):
     def totals(table: pa.Table) -> pa.Table:
         """One bucket of keys with ``width`` uint32 counts each; the totals over all chunks, saturated at 2**32-1."""
-        raw, at = _joined(table["keys"])
-        keys, at = np.frombuffer(raw.tobytes(), np.uint64), (at // 8).tolist()
+        keys, at = _bucket_keys(table)
+        at = at.tolist()
         order = np.argsort(keys)
         ranked = keys[order]
         starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
