@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import connected_components
 from .exchange import BLOCK_SCHEMA, answer_repeats, answer_totals, blocks, bucket_count, chunk_count, few_files, flagged, read_repeats, read_totals, release, settle, shared_dir, with_chunk
@@ -151,9 +152,12 @@ def _join_unit(num: int, den: int, guests_only: bool = False):
     return join
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100, text: str = "text", key: str = "doc_id", rows: bool = False) -> DataFrame:
     """For each row: ``key``, n_shingles (distinct n-grams) and component_id, the smallest key reachable by links.
 
+    With ``rows`` also _row, a digest of key and text, and part, a number of the component (null for a document that
+    can't link).
+
     Two documents link when den * intersection >= num * union of their n-gram sets.  A document with fewer words has its
     whole sequence as its only n-gram; without words (null, empty, white space) its set is empty and it links with
     nothing.  Rows with equal keys are documents of their own.  A null key is never the smallest of several.
@@ -163,7 +167,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     folder = shared_dir(spark)
     n, buckets = chunk_count(docs), bucket_count(spark)
     base = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).withColumn("_row", F.xxhash64("key", "text"))
-    base = with_chunk(base, "_row", n).drop("_row")
+    base = with_chunk(base, "_row", n)
     kind = base.schema["key"].dataType.simpleString()
 
     def send(table: pa.Table) -> pa.Table:
@@ -192,9 +196,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
             sizes.append(total)
             names.append(pa.array(_set_names(grams, at, b - a), mask=~alive))
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        return pa.table({"key": table["key"], "n": pa.array(cat(sizes, np.int64)), "node": pa.chunked_array(names, pa.int64()), "grams": _binary_rows(cat(sets, np.uint64), cat(lengths, np.int64))})
+        return pa.table({"key": table["key"], "_row": table["_row"], "n": pa.array(cat(sizes, np.int64)), "node": pa.chunked_array(names, pa.int64()), "grams": _binary_rows(cat(sets, np.uint64), cat(lengths, np.int64))})
 
-    kept = settle(base.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(keep, f"key {kind}, n long, node long, grams binary"), folder, "kept")
+    kept = settle(base.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(keep, f"key {kind}, _row long, n long, node long, grams binary"), folder, "kept")
     release(spark)
 
     classes = kept.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("grams").alias("grams"))
@@ -262,11 +266,25 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     found = connected_components(edges, folder, "components")
     found = classes.select("node", "key").join(found, "node")
     least = found.groupBy("component").agg(F.min("key").alias("least"))
-    found = settle(found.join(least, "component").select("node", "least"), folder, "found")
+    found = settle(found.join(least, "component").select("node", "least", "component"), folder, "found")
     single = classes.select("node", F.col("key").alias("own"))
-    named = single.join(found, "node", "left").select("node", F.coalesce("least", "own").alias("component_id"))
+    named = single.join(found, "node", "left").select("node", F.coalesce("least", "own").alias("component_id"), F.coalesce("component", "node").alias("part"))
     out = kept.drop("grams").join(named, "node", "left")
-    return few_files(out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")))
+    return few_files(out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), *["_row", "part"] * rows))
+
+
+def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest key (equal keys: of the smallest digest); all rows without words stay."""
+    found = settle(jaccard_components(docs, words, num, den, text, key, rows=True), shared_dir(docs.sparkSession), "components")
+    linked = found.where("part is not null")
+    best = linked.groupBy("part").agg(F.min(F.struct(F.col(f"`{key}`").alias("k"), F.col("_row").alias("r"))).alias("b")).select("b.k", "b.r")
+    stay = best.unionByName(found.where("part is null").select(F.col(f"`{key}`").alias("k"), F.col("_row").alias("r"))).distinct()
+    marked = docs.withColumn("_r", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")))
+    out = marked.join(stay, (F.col("_r") == F.col("r")) & F.col(f"`{key}`").eqNullSafe(F.col("k")), "left_semi")
+    if not linked.groupBy(key, "_row").count().where("count > 1").isEmpty():  # rows that are there more than once
+        again = out.withColumn("_n", F.row_number().over(Window.partitionBy("_r", key).orderBy("_r"))).where((F.col("_n") == 1) | (F.coalesce(F.trim(text), F.lit("")) == ""))
+        out = again.drop("_n")
+    return out.drop("_r")
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -278,12 +278,15 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, size: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
 
 
-def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, quality_score, toxic_score (0 to 1) and keep for each row of ``docs``.
+Model = list[tuple[np.ndarray, np.ndarray, float]]
+
+
+def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, key: str = "doc_id", text: str = "text") -> Model:
+    """The scorers of quality and of freedom from abuse: features, weights and bias of each.
 
     ``labels`` (doc_id, quality 0/1, toxic 0/1) may cover some documents; nulls in it count as missing, of repeated ids
-    the worse label counts.  Rows with equal ids are scored each for itself.  The word list and the scorer are fitted on
-    at most about ``sample`` labelled documents and ``sample`` documents.
+    the worse label counts.  The word list and the scorers are fitted on at most about ``sample`` labelled documents and
+    ``sample`` documents; the weak labels come from all documents.  Without documents all scores are one half.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
@@ -333,26 +336,49 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAM
 
     rows = base.join(F.broadcast(chosen), "key")  # at most about `sample` rows
     found = rows.groupBy(F.lit(0).alias("one")).applyInArrow(train, "model string").first()
-    model = [(np.array(m["features"], np.int64), np.array(m["weights"]), m["bias"]) for m in (json.loads(found[0]) if found else [{"features": [], "weights": [], "bias": 0.0}] * 2)]
+    return [(np.array(m["features"], np.int64), np.array(m["weights"]), m["bias"]) for m in (json.loads(found[0]) if found else [{"features": [], "weights": [], "bias": 0.0}] * 2)]
+
+
+def score_batch(b: _Batch, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Quality, toxicity and whether to keep."""
+    doc, feature, value = _features(b)
+    good = []
+    for names, weights, bias in model:
+        sums = np.full(b.n, bias)
+        if len(names):
+            place = np.minimum(np.searchsorted(names, feature), len(names) - 1)
+            hit = names[place] == feature
+            sums += np.bincount(doc[hit], value[hit] * weights[place[hit]], b.n)
+        good.append(1 / (1 + np.exp(-np.clip(sums, -50, 50))))
+    return good[0], 1 - good[1], ((good[0] >= 0.5) & (good[1] > 0.5)) | (b.words == 0)
+
+
+def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, quality_score, toxic_score (0 to 1) and keep for each row of ``docs``, each scored by itself; a null text counts as empty."""
+    base = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, part in _each(batch.column(1)):
-                doc, feature, value = _features(part)
-                good = []
-                for names, weights, bias in model:
-                    sums = np.full(part.n, bias)
-                    if len(names):
-                        place = np.minimum(np.searchsorted(names, feature), len(names) - 1)
-                        hit = names[place] == feature
-                        sums += np.bincount(doc[hit], value[hit] * weights[place[hit]], part.n)
-                    good.append(1 / (1 + np.exp(-np.clip(sums, -50, 50))))
-                keep = ((good[0] >= 0.5) & (good[1] > 0.5)) | (part.words == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(good[0]), pa.array(1 - good[1]), pa.array(keep)], names=["key", "quality_score", "toxic_score", "keep"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, score_batch(part, model))], names=["key", "quality_score", "toxic_score", "keep"])
 
+    kind = base.schema["key"].dataType.simpleString()
     return base.mapInArrow(score, f"key {kind}, quality_score double, toxic_score double, keep boolean").withColumnRenamed("key", key)
 
 
+def keep_good(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, as they are."""
+    at = docs.columns.index(text)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, part in _each(batch.column(at)):
+                yield batch.slice(a, b - a).filter(pa.array(score_batch(part, model)[2]))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return few_files(classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), labels))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return few_files(classify(docs, fit(docs, labels)))
