@@ -157,8 +157,9 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", he
         return base.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(function, schema)
 
     table = meet(gather, "cell long, n double, f2 double, f1 double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("f2").alias("f2"), F.sum("f1").alias("f1"))
-    cells = np.array([tuple(r) for r in table.collect()], float).reshape(-1, 4)  # bounded by buckets x octaves x octaves
+    table = settle(table, folder, "cells")  # a frame that was collected would hold on to its shuffle files
     release(spark)
+    cells = np.array([tuple(r) for r in table.collect()], float).reshape(-1, 4)  # bounded by buckets x octaves x octaves
     cells = cells[np.argsort(cells[:, 0])]
     weight = np.maximum(cells[:, 1], 1)
     a, low = learn_weights((cells[:, 0].astype(np.int64) >> 40), cells[:, 2] / weight, cells[:, 3] / weight, cells[:, 1], 1 / (v0 + 1))
