@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .exchange import few_files, settle, shared_dir
 from .textbytes import CODES_LOWER, CODES_RAW, column_bytes, mix, prefix_sums, slices, span_hashes, word_spans
 
-SAMPLE = 12_000
+SAMPLE = 8_000
 DIMENSIONS = 1 << 22
 GOOD, BAD, NONE = 1, 0, 2
 #: Bytes of a word that stand for it beside the whole, so inflected forms count together.
@@ -213,13 +213,12 @@ def train_scorer(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, target
     n = len(target)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0), 0.0
-    names, column, df = np.unique(feature, return_inverse=True, return_counts=True)
     away, spread = target - target.mean(), max(target.var(), 1e-12)
-    score = np.bincount(column, value * away[doc], len(names)) / np.sqrt(np.bincount(column, value**2, len(names)) * spread + 1e-12)
-    use = ((df >= least) & (score <= -clear))[column]
-    row, value = doc[use], value[use]
-    kept, column = np.unique(column[use], return_inverse=True)
-    k = len(kept)
+    shift = np.bincount(feature, value * away[doc], DIMENSIONS)
+    good = (np.bincount(feature, minlength=DIMENSIONS) >= least) & (shift <= -clear * np.sqrt(np.bincount(feature, value * value, DIMENSIONS) * spread + 1e-12))
+    kept = np.flatnonzero(good)
+    use = good[feature]
+    row, value, column, k = doc[use].astype(np.int64), value[use].astype(float), np.searchsorted(kept, feature[use]), len(kept)
     # a column of ones for the bias beside the features; the step is the inverse of the curvature's bound, by power iteration
     v, top = np.ones(k + 1), 1.0
     for _ in range(30):
@@ -239,7 +238,7 @@ def train_scorer(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, target
         ahead = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, w, t = new + (t - 1) / ahead * (new - w), new, ahead
     some = np.flatnonzero(w[:k])
-    return names[kept[some]], w[some], float(w[k])
+    return kept[some], w[some], float(w[k])
 
 
 def _each(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, _Batch]]:
@@ -326,8 +325,9 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
         at = np.searchsorted(codes, table["votes"].to_numpy())
         order = np.argsort(table["key"].combine_chunks().cast(pa.string()).fill_null("").to_numpy(zero_copy_only=False), kind="stable")
         table, at = table.take(pa.array(order)), at[order]
-        parts = [(d + a, f, v) for a, _, part in _each(table["text"]) for d, f, v in [_features(part)]]
+        parts = [((d + a).astype(np.int32), f.astype(np.int32), v.astype(np.float32)) for a, _, part in _each(table["text"]) for d, f, v in [_features(part)]]
         doc, feature, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         model = []
         for post in posts:
             names, weights, bias = train_scorer(doc, feature, value, post[at])
