@@ -14,7 +14,10 @@ from pyspark.sql.window import Window
 from ..schema import MONEY, PAYMENT, REFUND
 
 MINUTE = "1 minute"
-_ZERO = F.lit("0.00").cast(MONEY)
+
+
+def _zero() -> Column:
+    return F.lit("0.00").cast(MONEY)
 
 
 def with_window(events: DataFrame, width: str = MINUTE) -> DataFrame:
@@ -53,7 +56,7 @@ def _first_payment() -> Column:
 def _totals(firsts: DataFrame, *by: str) -> DataFrame:
     return firsts.groupBy("w", *by).agg(
         F.count("p").alias("paid_orders"), F.count_distinct("p.user_id").alias("paid_users"), F.coalesce(F.sum(F.col("p.quantity").cast("long")), F.lit(0)).alias("paid_quantity"),
-        F.coalesce(F.sum("p.amount").cast(MONEY), _ZERO).alias("gmv"), F.coalesce(F.sum("n_refunds"), F.lit(0)).alias("refunds"), F.coalesce(F.sum("refunded").cast(MONEY), _ZERO).alias("refund_amount"),
+        F.coalesce(F.sum("p.amount").cast(MONEY), _zero()).alias("gmv"), F.coalesce(F.sum("n_refunds"), F.lit(0)).alias("refunds"), F.coalesce(F.sum("refunded").cast(MONEY), _zero()).alias("refund_amount"),
     )
 
 
