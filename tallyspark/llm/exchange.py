@@ -35,8 +35,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def few_files(df: DataFrame) -> DataFrame:
-    """``df`` in at most a fifth of the shuffle partitions (36 at least): several small partitions, one after the other, to a file."""
-    return df.coalesce(max(36, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 5))
+    """``df`` with several small partitions, one after the other, to a task and file.
+
+    It stays at a fifth of the shuffle partitions and at two tasks to a core at least, so no core of a large cluster idles.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(36, int(spark.conf.get("spark.sql.shuffle.partitions")) // 5, 2 * spark.sparkContext.defaultParallelism))
 
 
 def settle(df: DataFrame, folder: str, name: str) -> DataFrame:
