@@ -46,10 +46,15 @@ def features(facts: DataFrame, observation: date, window_days: int = 180) -> Dat
     if not 1 <= window_days <= 366:
         raise ValueError("window-days must be 1 to 366")
     window = in_window(facts, observation - timedelta(days=window_days), observation)
-    joined = purchase_totals(window, observation)
-    for more in (cancellation_totals(window), latest_country(window), preferred_product(window)):
-        joined = joined.join(more, "customer_id", "left")
-    return joined.withColumn("cancellation_amount", F.coalesce("cancellation_amount", F.lit(0).cast(AMOUNT)))
+    bought, cancelled = F.col("disposition") == PURCHASE, F.col("disposition") == CANCELLATION
+    when = lambda c: F.when(bought, F.col(c))
+    # one pass for all that groups by customer, one for spending by product
+    totals = window.groupBy("customer_id").agg(
+        F.count_distinct(when("invoice_no")).alias("orders"), F.sum(when("signed_amount")).cast(AMOUNT).alias("purchase_amount"), F.date_diff(F.lit(observation), F.max(when("invoice_time").cast("date"))).alias("recency_days"),
+        F.min(when("invoice_time")).alias("first_purchase"), F.max(when("invoice_time")).alias("last_purchase"), F.coalesce(F.sum(F.when(cancelled, F.col("signed_amount"))).cast(AMOUNT), F.lit(0).cast(AMOUNT)).alias("cancellation_amount"),
+        F.max_by("country", F.struct("invoice_time", "source_row_id")).alias("country"), F.count_if(bought).alias("purchases"),
+    )
+    return totals.where("purchases > 0").drop("purchases").join(preferred_product(window), "customer_id", "left")
 
 
 def thresholds(customer_features: DataFrame) -> DataFrame:
