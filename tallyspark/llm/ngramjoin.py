@@ -236,6 +236,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
 
     postings = ranked.select("node", F.explode("first").alias("gram"))
     hubs = postings.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last")
+    hubs = settle(hubs, folder, "hubs")  # with a plain table on either side, AQE splits a frequent n-gram
     clusters = connected_components(postings.join(hubs, "gram").select(F.col("node").alias("a"), F.col("hub").alias("b")), folder, "clusters")
     members = settle(ranked.drop("first").join(clusters.withColumnRenamed("component", "cluster"), "node"), folder, "members")
 

@@ -157,6 +157,7 @@ def remove_repeats(docs: DataFrame, length: int = MIN_BYTES, text: str = "text",
 
     digests = base.where(F.octet_length(text) >= length).select("chunk", "_row", F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), F.col(text)).alias("b"), F.octet_length(text).alias("l"))
     groups = digests.groupBy("a", "b", "l").agg(F.count("*").alias("n"), F.min("_row").alias("first")).where("n > 1")
+    groups = settle(groups, folder, "groups")  # with a plain table on either side, AQE splits a frequent text's digest
     equal = digests.join(groups, ["a", "b", "l"]).select("chunk", F.when(F.col("_row") == F.col("first"), FIRST).otherwise(LATER).alias("kind"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("answer"), F.col("_row").alias("row"))
     equal = settle(equal.distinct(), folder, "equal")
 
