@@ -3,7 +3,7 @@
     python -m tallyspark.cli VERB [--work DIR] ARGUMENTS
 
 download URL ENTRY FILE | ingest FILE | build SOURCE_SHA | report RELEASE | plan | version | profile RELEASE OBSERVATION |
-samples RELEASE | train RELEASE | evaluate MODEL | score RELEASE OBSERVATION MODEL
+samples RELEASE | train RELEASE | evaluate MODEL | score RELEASE OBSERVATION MODEL | generate COUNT FILE | produce COUNT SERVERS TOPIC
 """
 
 from __future__ import annotations
@@ -15,16 +15,17 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from .config import ExperimentPlan, ProfileBatch, ScoreBatch
+from .config import ExperimentPlan, GenerationSettings, ProfileBatch, ScoreBatch
 from .operators import customers
 from .plans import experiment, publication, serving
 from .schema import SHEET
 from .session import local_session
-from .sources import workbook
+from .sources import events, generator, workbook
 from .streaming.pipeline import code_version
 
 ARGUMENTS = {
     "download": ["url", "entry", "file"], "ingest": ["file"], "build": ["source"], "report": ["release"], "plan": [], "version": [], "profile": ["release", "observation"], "samples": ["release"], "train": ["release"], "evaluate": ["model"], "score": ["release", "observation", "model"],
+    "generate": ["count", "file"], "produce": ["count", "servers", "topic"],
 }
 DATASET = "retail"
 DEFAULT_PLAN = ExperimentPlan(training=(date(2011, 6, 1), date(2011, 7, 1)), validation=(date(2011, 8, 1),), test=(date(2011, 9, 1), date(2011, 10, 1)))
@@ -58,13 +59,22 @@ def main(argv: list[str] | None = None) -> int:
     if a.verb == "download":
         print(workbook.download(a.url, a.entry, Path(a.file)))
         return 0
+    if a.verb == "generate":
+        made = list(generator.generate(GenerationSettings(count=int(a.count))))
+        Path(a.file).write_text("".join(f"{g.event.to_json()}\n" for g in made))
+        print(json.dumps({"sent": len(made), "duplicates": sum(g.duplicate for g in made), "out_of_order": sum(g.late for g in made)}))
+        return 0
     if a.verb in ("report", "evaluate"):
         folder, name = (work / "releases" / a.release, "quality.json") if a.verb == "report" else (work / "models" / a.model, "evaluation.json")
         publication.verify(folder)
         print((folder / name).read_text())
         return 0
     spark = local_session()
-    if a.verb == "ingest":
+    if a.verb == "produce":
+        rows = generator.generated(spark, GenerationSettings(count=int(a.count)))
+        events.write_kafka(rows, a.servers, a.topic)
+        print(rows.count())
+    elif a.verb == "ingest":
         source = Path(a.file)
         sha = publication.file_digest(source)
 

@@ -132,6 +132,20 @@ def release_table(spark: SparkSession, root: Path, release: str, name: str) -> D
     return spark.read.parquet(f"file://{root / release / name}")
 
 
+def register_release(spark: SparkSession, root: Path, release: str, prefix: str = "retail") -> list[str]:
+    """A release's tables in the session's catalogue, with statistics for the optimiser; their names."""
+    names = []
+    for name in ("audit", "facts", "customers", "products"):
+        table = f"{prefix}_{name}"
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.sql(f"CREATE TABLE {table} USING parquet LOCATION 'file://{root / release / name}'")
+        if "transaction_month" in spark.table(table).columns:
+            spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
+        spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS")
+        names.append(table)
+    return names
+
+
 class BatchStore:
     """Batches of rows by data set, with a head that names the current one.
 

@@ -86,6 +86,11 @@ def _closed_by(events: DataFrame, watermark: datetime | None) -> tuple[DataFrame
     return ends.where(closed).drop("_end"), ends.where(~closed).drop("_end")
 
 
+def log_sink(rows: DataFrame, name: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """A stream's rows as JSON lines on the console."""
+    return parse.as_json(rows).writeStream.format("console").option("truncate", False).queryName(name).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 class AuditedPipeline:
     """Micro-batches with an audited late stream; state and results lie under ``folder``."""
 

@@ -17,6 +17,8 @@ def test_release_is_named_by_its_content(spark, tmp_path):
     one = publication.build_release(source, tmp_path, "sha", 10, "v1")
     assert publication.build_release(source, tmp_path, "sha", 10, "v1") == one != publication.build_release(source, tmp_path, "sha", 10, "v2")
     assert publication.release_table(spark, tmp_path, one, "facts").count() == 3 and json.loads((tmp_path / one / "quality.json").read_text())["rows"] == 10
+    tables = publication.register_release(spark, tmp_path, one, "t")
+    assert tables[1] == "t_facts" and spark.table("t_facts").count() == 3 and "rows" in {r.col_name: r.data_type for r in spark.sql("DESCRIBE EXTENDED t_facts").collect()}["Statistics"]
     next((tmp_path / one / "products").glob("*.parquet")).write_bytes(b"x")
     with pytest.raises(publication.PublicationError):
         publication.build_release(source, tmp_path, "sha", 10, "v1")
@@ -98,7 +100,8 @@ def test_selection_breaks_ties_by_id():
     assert best.candidate == "forest-3" and [x.candidate for x in each] == ["forest-3", "logistic-0.1"]
 
 
-def test_command_line(capsys):
+def test_command_line(capsys, tmp_path):
+    assert cli.main(["generate", "50", str(tmp_path / "e.jsonl")]) == 0 and json.loads(capsys.readouterr().out)["sent"] == len((tmp_path / "e.jsonl").read_text().splitlines()) == 50
     assert cli.main(["version"]) == 0 and len(capsys.readouterr().out.strip()) == 64
     assert cli.main(["plan"]) == 0 and "history_days" in capsys.readouterr().out
     with pytest.raises(SystemExit):

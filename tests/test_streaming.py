@@ -81,6 +81,13 @@ def test_native_ranking(spark, tmp_path):
         pipeline.native_ranking(pipeline.parsed(sources.file_stream(spark, source)), 0)
 
 
+def test_log_sink(spark, tmp_path):
+    put(spark, str(tmp_path / "in"), FIRST)
+    query = pipeline.log_sink(pipeline.parsed(sources.file_stream(spark, str(tmp_path / "in"))), "log", str(tmp_path / "state"))
+    query.awaitTermination()
+    assert query.lastProgress["numInputRows"] == len(FIRST)
+
+
 def test_supervision_and_checkpoint_guard(tmp_path):
     calls = []
 
