@@ -106,3 +106,25 @@ def test_command_line(capsys, tmp_path):
     assert cli.main(["plan"]) == 0 and "history_days" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         cli.main(["profile", "only-one-argument"])
+
+
+def test_command_line_from_workbook_to_profiles(spark, tmp_path, capsys):
+    from test_sources import book, cell
+
+    rows = []
+    for n in range(2, 42):
+        parts = [cell(f"A{n}", 500000 + n), f'<c r="B{n}" t="inlineStr"><is><t>S{n % 4}</t></is></c>', cell(f"D{n}", 1 + n % 5), cell(f"E{n}", 40700 + n, ' s="1"'), cell(f"F{n}", "2.5"), cell(f"G{n}", 17000 + n % 9)]
+        rows.append(f'<row r="{n}">' + "".join(parts) + "</row>")
+    (tmp_path / "b.xlsx").write_bytes(book(rows))
+
+    def run(*args):
+        assert cli.main(["--work", str(tmp_path / "work"), *args]) == 0
+        return capsys.readouterr().out.strip()
+
+    source = run("ingest", str(tmp_path / "b.xlsx"))
+    assert run("ingest", str(tmp_path / "b.xlsx")) == source
+    release = run("build", source)
+    assert run("build", source) == release and json.loads(run("report", release))["rows"] == 40
+    assert run("profile", release, "2011-09-01")
+    service = serving.CustomerService(spark, tmp_path / "work" / "customers")
+    assert service.page("retail", limit=100).count() == 9
