@@ -9,7 +9,11 @@
    class, and the posterior probability of each pattern.
 3. *Scorer.*  A logistic regression over hashed features (words by density, shapes of words and the labellers' shares by steps) with an L1
    penalty is trained on the posterior labels of a bounded sample, ``sample`` documents chosen by a hash of their id, in
-   one task; its few non-zero weights score every document.
+   one task; its few non-zero weights score every document.  Half of the sample is drawn from all documents alike, a
+   quarter evenly from the vote patterns of either question, so what is rare in the corpus isn't rare in the sample.
+   Documents weigh by the inverse of their rate, but those that the posterior calls bad at least as much as in a draw
+   from all alike, and where they make up less than ``FLOOR`` they are raised to it (by ``RAISE`` at most): the penalty
+   would keep a rare kind of bad documents from getting weights otherwise.
 
 A document is kept if its quality is at least one half and its toxicity below one half.  A document without words gives
 the scorer nothing to go by and is kept.
@@ -30,6 +34,7 @@ from .textbytes import CODES_LOWER, CODES_RAW, column_bytes, mix, prefix_sums, s
 
 SAMPLE = 8_000
 DIMENSIONS = 1 << 22
+FLOOR, RAISE = 0.05, 16
 GOOD, BAD, NONE = 1, 0, 2
 #: Bytes of a word that stand for it beside the whole, so inflected forms count together.
 BEGINNINGS = (4, 6)
@@ -203,26 +208,28 @@ def _features(b: _Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(docs), (np.concatenate(hashes) >> np.uint64(64 - DIMENSIONS.bit_length() + 1)).astype(np.int64), np.concatenate(values)
 
 
-def train_scorer(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, target: np.ndarray, penalty: float = 3e-4, rounds: int = 500, least: int = 10, clear: float = 6.0) -> tuple[np.ndarray, np.ndarray, float]:
+def train_scorer(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, target: np.ndarray, penalty: float = 3e-4, rounds: int = 500, least: int = 10, clear: float = 6.0, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Features and weights that aren't 0, and the bias: logistic regression on soft labels by accelerated proximal gradient.
 
     Weights are evidence against the good class only, so a short document isn't held to lack evidence for it.  Features
     of fewer than ``least`` documents, and those whose documents' mean label is within ``clear`` standard errors of the
-    mean of all, are left out.
+    mean of all, are left out.  ``weight`` is what each document counts, one where it isn't given.
     """
     n = len(target)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0), 0.0
-    away, spread = target - target.mean(), max(target.var(), 1e-12)
-    shift = np.bincount(feature, value * away[doc], DIMENSIONS)
-    good = (np.bincount(feature, minlength=DIMENSIONS) >= least) & (shift <= -clear * np.sqrt(np.bincount(feature, value * value, DIMENSIONS) * spread + 1e-12))
+    weight = np.ones(n) if weight is None else weight / weight.mean()
+    away = target - np.dot(weight, target) / n
+    spread, of = max(np.dot(weight, away * away) / n, 1e-12), value * weight[doc]
+    shift = np.bincount(feature, of * away[doc], DIMENSIONS)
+    good = (np.bincount(feature, minlength=DIMENSIONS) >= least) & (shift <= -clear * np.sqrt(np.bincount(feature, of * of, DIMENSIONS) * spread + 1e-12))
     kept = np.flatnonzero(good)
     use = good[feature]
     row, value, column, k = doc[use].astype(np.int64), value[use].astype(float), np.searchsorted(kept, feature[use]), len(kept)
     # a column of ones for the bias beside the features; the step is the inverse of the curvature's bound, by power iteration
     v, top = np.ones(k + 1), 1.0
     for _ in range(30):
-        x = np.bincount(row, value * v[:k][column], n) + v[k]
+        x = (np.bincount(row, value * v[:k][column], n) + v[k]) * weight
         v = np.append(np.bincount(column, value * x[row], k), x.sum())
         top = np.linalg.norm(v)
         v /= top
@@ -230,7 +237,7 @@ def train_scorer(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, target
     w, z, t = np.zeros(k + 1), np.zeros(k + 1), 1.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * z[:k][column], n) + z[k], -30, 30)))
-        error = (p - target) / n
+        error = (p - target) * weight / n
         new = z - step * np.append(np.bincount(column, value * error[row], k), error.sum())
         new[:k] = np.minimum(new[:k] + step * penalty, 0)
         if np.dot(z - new, new - w) > 0:
@@ -254,9 +261,37 @@ def _sampled(rows: DataFrame, key: str, size: int, total: int, salt: int) -> Dat
     return rows.where(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 30)) < F.lit(int((1 << 30) * size / total)))
 
 
+def _level(counts: np.ndarray, size: float) -> float:
+    """The level at which ``counts`` cut to it sum to ``size``; the largest count where they don't reach it."""
+    rising = np.sort(counts)
+    filled = np.cumsum(rising) - rising + rising * np.arange(len(rising), 0, -1)  # the sum when cut to each count
+    k = int(np.searchsorted(filled, size))
+    return float(rising[-1]) if k == len(rising) else float((size - rising[:k].sum()) / (len(rising) - k))
+
+
+def draw_rates(counts: np.ndarray, patterns: list[np.ndarray], size: int) -> np.ndarray:
+    """The share to draw of each group of ``counts`` documents, about ``size`` in all: a half from all documents alike,
+    the rest in equal parts from each numbering of the groups in ``patterns``, as evenly from its numbers as they allow."""
+    if counts.sum() <= size:
+        return np.ones(len(counts))
+    rates = np.full(len(counts), size / 2 / counts.sum())
+    for numbers in patterns:
+        sizes = np.bincount(numbers, counts)
+        some = sizes > 0
+        rates += np.where(some, np.minimum(sizes, _level(sizes[some], size / 2 / len(patterns))) / np.maximum(sizes, 1), 0)[numbers]
+    return np.minimum(rates, 1)
+
+
 def learn_lexicon(docs: DataFrame, labels: DataFrame, size: int) -> np.ndarray:
-    """Sorted fingerprints of words that abusive labelled documents hold far more often, from ``size`` labelled documents."""
-    ids = _sampled(labels.where("toxic is not null"), "key", size, labels.count(), 5).select("key", "toxic")
+    """Sorted fingerprints of words that abusive labelled documents hold far more often, from ``size`` labelled documents.
+
+    Half of them are abusive and half aren't, or as many as there are of either.
+    """
+    known = labels.where("toxic is not null")
+    per_class = dict(known.groupBy(F.col("toxic").cast("int")).count().collect())
+    level = _level(np.array(list(per_class.values()), float), size) if per_class else 0.0
+    drawn = [_sampled(known.where(F.col("toxic").cast("int") == c), "key", int(level), n, 5) for c, n in sorted(per_class.items())]
+    ids = (drawn[0].unionByName(drawn[1]) if len(drawn) == 2 else (drawn or [known])[0]).select("key", "toxic")
     rows = docs.join(F.broadcast(ids), "key").select("text", "toxic")  # at most about `size` ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +320,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
 
     ``labels`` (doc_id, quality 0/1, toxic 0/1) may cover some documents; nulls in it count as missing, of repeated ids
     the worse label counts.  The word list and the scorers are fitted on at most about ``sample`` labelled documents and
-    ``sample`` documents; the weak labels come from all documents.  Without documents all scores are one half.
+    ``sample`` documents; the weak labels come from all documents.  A feature needs 10 of the documents drawn.  Without
+    documents all scores are one half.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
@@ -316,10 +352,13 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
     quality = np.concatenate([table[:, : len(QUALITY) - 1], (codes // 3 % 3)[:, None]], axis=1)
     toxicity = np.concatenate([table[:, len(QUALITY) - 1 :], (codes % 3)[:, None]], axis=1)
     posts = [weak_labels(x, counts)[0] for x in (quality, toxicity)]
+    rates = draw_rates(counts, [x @ 3 ** np.arange(x.shape[1]) for x in (quality, toxicity)], sample)
     order = np.argsort(codes)
-    codes, posts = codes[order], [p[order] for p in posts]
+    codes, rates, posts = codes[order], rates[order], [p[order] for p in posts]
+    even = min(1.0, sample / max(counts.sum(), 1))
 
-    chosen = _sampled(votes, "key", sample, int(counts.sum()), 11)
+    limits = spark.createDataFrame(pa.table({"votes": codes, "below": np.ceil(rates * (1 << 30)).astype(np.int64)}))  # a row for each pattern
+    chosen = votes.join(F.broadcast(limits), "votes").where(F.pmod(F.xxhash64(F.lit(11), F.col("key")), F.lit(1 << 30)) < F.col("below")).select("key", "votes")
 
     def train(table: pa.Table) -> pa.Table:
         at = np.searchsorted(codes, table["votes"].to_numpy())
@@ -330,7 +369,11 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
         del parts
         model = []
         for post in posts:
-            names, weights, bias = train_scorer(doc, feature, value, post[at])
+            weight = 1 / np.where(post < 0.5, np.minimum(rates, even), rates)
+            weight, bad = weight[at], post[at] < 0.5
+            if 0 < (rare := weight[bad].sum()) < FLOOR * weight.sum():
+                weight[bad] *= min(RAISE, FLOOR / (1 - FLOOR) * weight[~bad].sum() / rare)
+            names, weights, bias = train_scorer(doc, feature, value, post[at], weight=weight)
             model.append({"features": names.tolist(), "weights": weights.tolist(), "bias": bias})
         return pa.table({"model": [json.dumps(model)]})
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 
@@ -413,3 +414,31 @@ def test_classifier_edges(spark):
     assert quality.keep_good(docs, model).columns == docs.columns
     none = docs.limit(0)
     assert quality.classify(none, quality.fit(none)).count() == 0
+
+
+def test_classifier_finds_a_rare_class(spark):
+    data = Path("/root/testdata/sf0.1")
+    if not data.exists():
+        pytest.skip("the synthetic tables aren't here")
+    rows = spark.read.parquet(f"{data}/documents.parquet").where("length(text) between 200 and 1500").join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id")
+    rows = rows.where("toxic = 0").select("doc_id", "text", "quality", F.expr("pmod(xxhash64(doc_id), 100)").alias("part"))
+    abuse = F.concat("text", F.lit(" zorgling vrimmel zorgling vrimmel"))
+    few = rows.where("part < 2 and quality = 1").withColumn("text", abuse).select(F.col("doc_id") * 100, "text", "quality", F.lit(1)).toDF("doc_id", "text", "quality", "toxic").cache()
+    many = rows.where("part < 80").select(F.explode(F.sequence(F.lit(1), F.lit(24))).alias("copy"), "*").select(F.col("doc_id") * 100 + F.col("copy"), "text", "quality", F.lit(0)).toDF("doc_id", "text", "quality", "toxic")
+    docs = few.unionByName(many).cache()
+    n, abusive = docs.count(), few.count()
+    assert n > 8000 and 15 < abusive < n / 900
+    # as many labels again say nothing of abuse
+    labels = docs.select("doc_id", "quality", "toxic").unionByName(docs.select(-F.col("doc_id") - 1, F.lit(1), F.lit(None).cast("int")).toDF("doc_id", "quality", "toxic"))
+    model = quality.fit(docs.select("doc_id", "text"), labels)
+    hidden = rows.where("part >= 80 and quality = 1")
+    good, bad = ([r.keep for r in quality.classify(x, model).collect()] for x in (hidden, hidden.withColumn("text", abuse)))
+    assert len(bad) > 200 and sum(bad) <= 0.1 * len(bad), (n, abusive, len(bad), sum(bad))
+    assert len(good) > 200 and sum(good) >= 0.97 * len(good), (len(good), sum(good))
+
+
+def test_draw_rates_reach_rare_patterns():
+    counts, numbers = np.array([900_000.0, 99_000, 970, 20, 10]), [np.array([0, 1, 2, 2, 2]), np.array([0, 0, 0, 1, 1])]
+    rates = quality.draw_rates(counts, numbers, 8000)
+    assert rates[3] == rates[4] == 1 and 7500 < (rates * counts).sum() <= 8000 and rates.min() >= 0.004
+    assert (quality.draw_rates(counts, numbers, 1_000_000) == 1).all() and len(quality.draw_rates(np.zeros(0), [np.zeros(0, int)] * 2, 10)) == 0
