@@ -3,13 +3,14 @@
 Pieces are whole documents, and 1024-token cuts of longer ones.  The plan depends on the multiset of lengths only,
 which is a histogram with at most ``capacity`` entries at any corpus size; it is all that the driver sees.
 
-1. Pieces longer than ``small`` are ordered by length and put into ``groups`` groups of equal cardinality; each length
-   is rounded up to its group's largest.
-2. For these few sizes, column generation finds the fractional optimum of the configuration problem (which multisets
-   of sizes fill a sequence, and how often each is used); the integer parts of the counts are taken.
-3. Slots of a configuration get actual pieces of the slot's group, which are never longer than the slot; a sequence
-   that then has more than ``slack`` tokens free is given up and its pieces go to step 4.
-4. What is left of the groups, then the small pieces, go by best-fit decreasing into the room that remains.
+1. Pieces longer than ``small`` are ordered by length and put into ``groups`` groups of equal cardinality (of 8 pieces
+   at least); each length is rounded up to its group's largest.
+2. For these few sizes, column generation optimises the configuration problem (which multisets of sizes fill a
+   sequence, and how often each is used), from the configurations of a first fit on; the integer parts of the counts
+   are taken.
+3. Slots of a configuration get actual pieces: the longest left that isn't longer than the slot, and in the last slot
+   the longest left that fits.
+4. The few pieces that the integer parts leave, then the small pieces, go by best-fit decreasing into the room that remains.
 
 Sequences with the same contents are handled as one run with a count, so the work on the driver is bounded by the
 number of distinct lengths and configurations.  Executors then give each piece its rank among the pieces of its length
@@ -19,8 +20,9 @@ into a run of the plan, which names the sequence and the place in it.
 
 from __future__ import annotations
 
+import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -33,6 +35,7 @@ from pyspark.sql.window import Window
 from .exchange import few_files, release, settle, shared_dir
 
 CAPACITY = 1024
+GROUPS = 512
 END_ID = 2
 TOKENIZER = "byte_bpe_50k"
 #: The pattern and the special token that the public vocabulary file states.
@@ -56,9 +59,32 @@ def _default_encoder():
     return load_encoder(public.path(f"{TOKENIZER}.tiktoken"), public.PATTERN)
 
 
+#: The encoder's pattern keeps a state for each character of a run of white space; texts with longer runs go to the other library.
+LONG_SPACE = 1 << 14
 _encoder = None
 
 
+class _Encoder:
+    """Ids of a text: by the rank file, or where white space runs on for long by the same vocabulary's other file, which takes a few times as long."""
+
+    def __init__(self):
+        self.fast = _default_encoder()
+        self.space = re.compile(r"\s{%d}" % LONG_SPACE)
+        self.slow = None
+
+    def __call__(self, text: str) -> np.ndarray:
+        if len(text) < LONG_SPACE or not self.space.search(text):
+            return self.fast.encode_to_numpy(text, allowed_special="all")
+        if self.slow is None:
+            import public_tokenizers as public
+            from tokenizers import Tokenizer
+
+            self.slow = Tokenizer.from_file(public.path(f"{TOKENIZER}.json"))
+            self.slow.no_truncation()
+            self.slow.no_padding()
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def cut(docs: DataFrame, capacity: int = CAPACITY, text: str = "text") -> DataFrame:
     """Rows of ``docs`` without its text, once for each piece, with piece, start, length and ids_crc32.
 
@@ -72,12 +98,12 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, text: str = "text") -> DataFr
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         global _encoder
-        _encoder = _encoder or _default_encoder()
-        encode, end = _encoder.encode_to_numpy, np.array([END_ID], "<u4")
+        _encoder = _encoder or _Encoder()
+        end = np.array([END_ID], "<u4")
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, value in enumerate(batch.column(len(others)).to_pylist()):
-                ids = np.concatenate([encode(value, allowed_special="all"), end]).astype("<u4", copy=False) if value else end
+                ids = np.concatenate([_encoder(value), end]).astype("<u4", copy=False) if value else end
                 first = (len(ids) - 1) % capacity + 1
                 for p, s in enumerate([0, *range(first, len(ids), capacity)]):
                     part = ids[s : first if s == 0 else s + capacity]
@@ -141,103 +167,152 @@ class _Room:
                 n = 0
 
 
-def _knapsack(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[float, list[int]]:
-    """The multiset of sizes of the greatest value that fits: an unbounded knapsack over integer capacities."""
+def _price(sizes: np.ndarray, values: np.ndarray, capacity: int):
+    """For each size the value of the best configuration that holds it, and a function that gives that configuration.
+
+    The best single size for each room, then (max, +) products of it with itself: 2, 4, ... sizes to a sequence.
+    """
     best = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1)
-    for c in range(1, capacity + 1):
-        best[c], last[c] = best[c - 1], -1
-        for k, s in enumerate(sizes):
-            if s <= c and best[c - s] + values[k] > best[c] + 1e-12:
-                best[c], last[c] = best[c - s] + values[k], k
-    counts, c = [0] * len(sizes), capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            counts[last[c]] += 1
-            c -= sizes[last[c]]
-    return float(best[capacity]), counts
-
-
-def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 200) -> list[tuple[list[int], float]]:
-    """Configurations and how often each is used in the fractional optimum, by column generation with the simplex method.
-
-    The basis starts with one configuration for each size, filled with that size alone.
+    best[sizes] = values
+    number = np.full(capacity + 1, -1)
+    number[sizes] = np.arange(len(sizes))
+    run = np.maximum.accumulate(best)
+    single = number[np.maximum.accumulate(np.where((best == run) & (number >= 0), np.arange(capacity + 1), 0))]
+    rooms = np.arange(capacity + 1)
+    rest = rooms[:, None] - rooms[None, :]
+    levels, splits = [run], []
+    while 1 << len(splits) < capacity // sizes.min():
+        grid = np.where(rest >= 0, levels[-1][np.maximum(rest, 0)] + levels[-1][None, :], -1)
+        splits.append(grid.argmax(axis=1))
+        levels.append(grid[rooms, splits[-1]])
+
+    def fill(level: int, room: int, counts: np.ndarray) -> None:
+        if level:
+            part = int(splits[level - 1][room])
+            fill(level - 1, part, counts)
+            fill(level - 1, room - part, counts)
+        elif single[room] >= 0 and best[sizes[single[room]]] > 0:
+            counts[single[room]] += 1
+
+    def column(k: int) -> np.ndarray:
+        counts = np.zeros(len(sizes))
+        fill(len(splits), capacity - int(sizes[k]), counts)
+        counts[k] += 1
+        return counts
+
+    return values + levels[-1][capacity - sizes], column
+
+
+def _greedy(sizes: list[int], demand: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Configurations by first fit, each used until a size runs out: as many as sizes, and independent, as each holds a size that later ones don't."""
+    alive, left = list(range(len(sizes))), [float(d) for d in demand]  # sizes fall
+    columns, use = np.zeros((len(sizes), len(sizes))), np.zeros(len(sizes))
+    for j in range(len(sizes)):
+        room, counts, falling = capacity, columns[:, j], [-sizes[k] for k in alive]
+        i = 0
+        while i < len(alive):
+            n = room // sizes[alive[i]] if i else 1
+            counts[alive[i]] += n
+            room -= n * sizes[alive[i]]
+            i = bisect_left(falling, -room, i if not i else i + 1)
+        use[j], out = min((left[k] / counts[k], k) for k in alive if counts[k])
+        for k in alive:
+            left[k] -= use[j] * counts[k]
+        alive.remove(out)
+    return columns, use
+
+
+def configurations(sizes: list[int], demand: list[int], capacity: int, pricings: int = 40) -> list[tuple[list[int], float]]:
+    """Configurations and how often each is used to hold ``demand`` pieces of falling ``sizes``: column generation with the simplex method.
+
+    It starts from the configurations of a first fit, and stops at the fractional optimum or after ``pricings``
+    searches for columns; every step is a valid plan.
     """
-    m = len(sizes)
-    basis = [[capacity // s if k == i else 0 for k in range(m)] for i, s in enumerate(sizes)]
-    use = np.array([d / (capacity // s) for s, d in zip(sizes, demand, strict=True)], float)
-    for _ in range(rounds):
-        matrix = np.array(basis, float).T
-        duals = np.linalg.solve(matrix.T, np.ones(m))
-        value, column = _knapsack(sizes, np.maximum(duals, 0), capacity)
-        if value <= 1 + 1e-7:
-            break
-        move = np.linalg.solve(matrix, np.array(column, float))
-        up = np.flatnonzero(move > 1e-9)
-        if not len(up):
+    wanted = np.array(demand, float)
+    basis, use = _greedy(sizes, demand, capacity)
+    lengths, inverse = np.array(sizes), np.linalg.inv(basis)
+    for _ in range(pricings):
+        values, column = _price(lengths, np.maximum(inverse.sum(axis=0), 0), capacity)
+        entered = 0
+        for k in np.argsort(-values)[: max(8, len(sizes) // 8)]:
+            new = column(int(k))
+            if inverse.sum(axis=0) @ new <= 1 + 1e-6:
+                continue
+            move = inverse @ new
+            up = np.flatnonzero(move > 1e-9)
+            if not len(up):
+                continue
+            leave = up[np.argmin(use[up] / move[up])]
+            step = max(use[leave] / move[leave], 0.0)
+            use = use - step * move
+            use[leave] = step
+            basis[:, leave] = new
+            row = inverse[leave] / move[leave]
+            inverse -= np.outer(move, row)
+            inverse[leave] = row
+            entered += 1
+        if not entered:
             break
-        leave = up[np.argmin(use[up] / move[up])]
-        step = use[leave] / move[leave]
-        use = use - step * move
-        use[leave] = step
-        basis[leave] = column
-    return [(b, float(u)) for b, u in zip(basis, use, strict=True) if u > 1e-9]
+        inverse = np.linalg.inv(basis)
+        use = np.maximum(inverse @ wanted, 0)
+    return [([int(x) for x in basis[:, j]], float(use[j])) for j in range(len(sizes)) if use[j] > 1e-9]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 24, small: int = CAPACITY // 8, slack: int = CAPACITY // 64) -> list[tuple[int, tuple[int, ...]]]:
-    """Runs (count, lengths in a sequence) that hold each length as often as the histogram says."""
+def _grouped(left: dict[int, int], small: int, groups: int) -> tuple[list[int], list[int]]:
+    """The sizes, falling, that lengths above ``small`` are rounded up to in groups of equal cardinality, and how many pieces each stands for."""
+    large = sorted((k for k in left if k > small), reverse=True)
+    total = sum(left[k] for k in large)
+    per = -(-total // max(1, min(groups, total // 8)))
+    demand: dict[int, int] = {}
+    size, room = 0, 0
+    for k in large:
+        n = left[k]
+        while n:
+            if not room:
+                size, room = k, per
+            take = min(n, room)  # a length may straddle groups; groups that round to one size are one
+            demand[size] = demand.get(size, 0) + take
+            n, room = n - take, room - take
+    return list(demand), list(demand.values())
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int = CAPACITY // 8, by_configuration: list[int] | None = None) -> list[tuple[int, tuple[int, ...]]]:
+    """Runs (count, lengths in a sequence) that hold each length as often as the histogram says.
+
+    ``by_configuration``, where given, gets the number of pieces that the configurations placed.
+    """
     left = {int(k): int(v) for k, v in histogram.items() if v}
     room = _Room(capacity)
     out: list[tuple[int, tuple[int, ...]]] = []
     if full := left.pop(capacity, 0):
         out.append((full, (capacity,)))
-    large = sorted((k for k in left if k > small), reverse=True)
-    total = sum(left[k] for k in large)
-    if total >= 4 * groups:
-        # equal cardinalities: a length may straddle groups
-        per, members, current, filled = -(-total // groups), [], [], 0
-        for k in large:
-            n = left[k]
-            while n:
-                take = min(n, per - filled)
-                current.append([k, take])
-                filled, n = filled + take, n - take
-                if filled == per:
-                    members.append(current)
-                    current, filled = [], 0
-        if current:
-            members.append(current)
-        merged: list[list[list[int]]] = []
-        for group in members:  # groups that round to one size are one
-            if merged and merged[-1][0][0] == group[0][0]:
-                merged[-1] += group
-            else:
-                merged.append(group)
-        sizes, demand = [g[0][0] for g in merged], [sum(n for _, n in g) for g in merged]
-        queues = [[list(x) for x in reversed(g)] for g in merged]  # shortest last
-        for contents, used in configurations(sizes, demand, capacity):
-            need = [c for c in range(len(sizes)) for _ in range(contents[c])]
-            count = int(used + 1e-9)
-            for c in set(need):
-                count = min(count, sum(n for _, n in queues[c]) // contents[c])
-            while count:
-                # each slot takes the head of its group's queue: a run lasts while no head runs out
-                run, chosen = count, []
-                for c in set(need):
-                    run = min(run, max(1, queues[c][-1][1] // contents[c]))
-                for c in need:
-                    head = queues[c][-1]
-                    chosen.append(head[0])
-                    head[1] -= run
-                    if not head[1]:
-                        queues[c].pop()
-                if capacity - sum(chosen) <= slack:  # else its pieces stay for best fit
-                    for x in chosen:
-                        left[x] -= run
-                    room.add(run, tuple(chosen))
-                count -= run
+    sizes, demand = _grouped(left, small, groups)
+    have, placed = sorted(k for k in left if k > small), 0
+    for contents, used in configurations(sizes, demand, capacity) if sizes else []:
+        slots, count = [s for s, n in zip(sizes, contents, strict=True) for _ in range(n)], int(used + 1e-9)
+        while count:
+            # a slot takes the longest piece that its size allows, the last one the longest that still fits: a run lasts while none runs out
+            chosen: dict[int, int] = defaultdict(int)
+            inside: list[int] = []
+            for i, s in enumerate(slots):
+                at = bisect_right(have, s if i < len(slots) - 1 else capacity - sum(inside)) - 1
+                while at >= 0 and left[have[at]] == chosen[have[at]]:
+                    at -= 1
+                if at < 0:
+                    break
+                chosen[have[at]] += 1
+                inside.append(have[at])
+            if len(inside) < len(slots):
+                break  # what is left is shorter than all groups it could stand for
+            run = min(count, *(left[x] // n for x, n in chosen.items()))
+            for x, n in chosen.items():
+                left[x] -= run * n
+                if not left[x]:
+                    have.remove(x)
+            room.add(run, tuple(inside))
+            count, placed = count - run, placed + run * len(inside)
+    if by_configuration is not None:
+        by_configuration.append(placed)
     for k in sorted((k for k in left if left[k]), reverse=True):
         room.best_fit(k, left[k])
     return out + [run for f in sorted(room.runs) for run in room.runs[f]]
@@ -259,7 +334,7 @@ def lay_out(runs: list[tuple[int, tuple[int, ...]]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "count", "base", "offset"), table.T, strict=True))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece"), groups: int = 24) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece"), groups: int = GROUPS) -> DataFrame:
     """``pieces`` (with ``length``, 1 to ``capacity``) plus sequence_id and offset.  ``pieces`` is read twice: hand in a written table.
 
     Ties among equal rows are broken at random within a rank; either gets a place of its own.
