@@ -209,7 +209,7 @@ def test_plan_is_close_to_the_bound():
     assert used <= 1.002 * -(-sum(k * v for k, v in histogram.items()) // 1024)
     # the scheme places the large pieces, best fit the few that its integer parts leave
     large = sum(v for k, v in histogram.items() if 128 < k < 1024)
-    assert 0.97 * large <= placed[0] <= large
+    assert 0.95 * large <= placed[0] <= large
 
 
 def test_configurations_reach_the_fractional_optimum():
