@@ -9,16 +9,20 @@ counts taken before they meet, are sorted by ranges over the cluster, and a pair
 whose pair occurs once have no longer repeat and leave, so each round works on fewer rows.
 
 *Intervals.*  The suffixes of one name at depth h are an interval of the suffix array with a common prefix of h lines or
-more: the repeated runs.  The first of them in the order of documents is the copy that stays.  A run of any length m is
-two overlapping runs of the depth below m, so the intervals of every depth follow from those of powers of two.
+more: the repeated runs.  The first of them in the order of documents is the copy that stays.  Doubling starts at the
+least length m of a run and goes on until no two suffixes tie.  A maximal run of any length l is two overlapping ones of
+the greatest depth m, 2m, 4m, ... up to l, so the later suffixes of all depths cover every later copy from end to end.
 
 All steps are DataFrame operations; joins on frequent lines are split by AQE.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .exchange import few_files, release, settle, shared_dir
 
@@ -54,43 +58,47 @@ def _is_later():
     return ~F.struct("key", "rid", "pos").eqNullSafe(F.col("first"))
 
 
-def first_depth(lines: DataFrame, folder: str) -> DataFrame:
+def first_depth(lines: DataFrame, folder: str, size: int = 0) -> DataFrame:
     """Suffixes whose first line repeats: name, copies and first occurrence at depth 1."""
     named = _name(_classes(lines, ["a", "b"]), ["a", "b"])
-    named = settle(named, folder, "names-1")
-    return settle(lines.join(named, ["a", "b"]).select(*_PLACE, "name", "copies", "first"), folder, "depth-1")
+    named = settle(named, folder, "names-1", size)
+    return settle(lines.join(named, ["a", "b"]).select(*_PLACE, "name", "copies", "first"), folder, "depth-1", size)
 
 
-def deepen(now: DataFrame, step: int, folder: str, depth: int) -> DataFrame:
+def deepen(now: DataFrame, step: int, folder: str, depth: int, size: int = 0) -> DataFrame:
     """Suffixes that repeat to depth h + step from those at depth h (``step`` at most h); ``depth`` is the new depth."""
     other = now.select("rid", (F.col("pos") - step).alias("pos"), F.col("name").alias("name2"))
     both = now.select(*_PLACE, F.col("name").alias("one")).join(other, ["rid", "pos"])
-    both = settle(both, folder, f"pairs-{depth}")
-    named = settle(_name(_classes(both, ["one", "name2"]), ["one", "name2"]), folder, f"names-{depth}")
-    return settle(both.join(named, ["one", "name2"]).select(*_PLACE, "name", "copies", "first"), folder, f"depth-{depth}")
+    both = settle(both, folder, f"pairs-{depth}", size)
+    named = settle(_name(_classes(both, ["one", "name2"]), ["one", "name2"]), folder, f"names-{depth}", size)
+    return settle(both.join(named, ["one", "name2"]).select(*_PLACE, "name", "copies", "first"), folder, f"depth-{depth}", size)
 
 
-def to_depth(now: DataFrame, depth: int, folder: str) -> DataFrame:
+def to_depth(now: DataFrame, depth: int, folder: str, size: int = 0) -> DataFrame:
     """Suffixes that repeat to ``depth`` lines, from those of depth 1."""
     h = 1
     while 2 * h <= depth:
-        now, h = deepen(now, h, folder, 2 * h), 2 * h
-    return deepen(now, depth - h, folder, depth) if h < depth else now
+        now, h = deepen(now, h, folder, 2 * h, size), 2 * h
+    return deepen(now, depth - h, folder, depth, size) if h < depth else now
 
 
-def intervals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All repeated runs whose length is a power of two: depth, name (its order in the suffix array), copies, first (key and place).
+def doublings(now: DataFrame, depth: int, folder: str, size: int = 0) -> Iterator[tuple[int, DataFrame]]:
+    """(depth, suffixes that tie at it) for ``depth`` and each doubling of it, until no two suffixes tie."""
+    while not now.isEmpty():
+        yield depth, now
+        release(now.sparkSession)
+        now, depth = deepen(now, depth, folder, 2 * depth, size), 2 * depth
 
-    Doubling goes on until no two suffixes tie.
-    """
+
+def intervals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All repeated runs whose length is a power of two: depth, name (its order in the suffix array), copies, first (key and place)."""
     folder = shared_dir(docs.sparkSession)
     base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    now, h, out = first_depth(settle(line_suffixes(settle(base, folder, "docs")), folder, "lines"), folder), 1, None
-    while not now.isEmpty():
-        found = now.select(F.lit(h).alias("depth"), "name", "copies", "first").distinct()
-        out = found if out is None else out.unionByName(found)
-        now, h = deepen(now, h, folder, 2 * h), 2 * h
-    return out if out is not None else now.select(F.lit(1).alias("depth"), "name", "copies", "first")
+    ones = first_depth(settle(line_suffixes(settle(base, folder, "docs")), folder, "lines"), folder)
+    out = ones.limit(0).select(F.lit(1).alias("depth"), "name", "copies", "first")
+    for depth, tied in doublings(ones, 1, folder):
+        out = out.unionByName(tied.select(F.lit(depth).alias("depth"), "name", "copies", "first").distinct())
+    return out
 
 
 def remove_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -107,27 +115,30 @@ def remove_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words
     others = [c for c in docs.columns if c not in own]
     # a number for each row that stays the same from here on
     base = docs.select(*[F.col(f"`{c}`") for c in others]).withColumn("rid", F.monotonically_increasing_id())
-    base = settle(base, folder, "docs")
-    lines = settle(line_suffixes(base.select("rid", F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))), folder, "lines")
-    ones = first_depth(lines, folder)
-    release(docs.sparkSession)
-    runs = to_depth(ones, min_lines, folder).where(_is_later()).select("rid", F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos"))
-    long = ones.where((F.col("words") >= min_words) & _is_later()).select("rid", "pos")
-    gone = settle(runs.unionByName(long).distinct(), folder, "gone")
-    gone = gone.join(lines.select("rid", "pos", "line"), ["rid", "pos"])
-    per = gone.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("gone"))  # one document's lines
-    counts = lines.groupBy("rid").agg(F.count("*").alias("n_lines"))
+    base = settle(base, folder, "docs", None)
+    size = int(base.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).first()[0])
+    lines = settle(line_suffixes(base.select("rid", F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))), folder, "lines", size)
+    ones = first_depth(lines, folder, size)
+    # a later copy reaches from its place over as many lines as its depth says
+    reaches = ones.where((F.col("words") >= min_words) & _is_later()).select("rid", "pos", F.lit(1).alias("reach"))
+    for depth, tied in doublings(to_depth(ones, min_lines, folder, size), min_lines, folder, size):
+        reaches = reaches.unionByName(tied.where(_is_later()).select("rid", "pos", F.lit(depth).alias("reach")))
+    rows = lines.select("rid", "pos", "line", F.lit(0).alias("reach")).unionByName(reaches.select("rid", "pos", F.lit(None).cast("int").alias("line"), "reach"))
+    before = Window.partitionBy("rid").orderBy("pos", F.col("line").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)  # one document's lines
+    rows = rows.withColumn("gone", F.col("line").isNotNull() & (F.max(F.col("pos") + F.col("reach")).over(before) > F.col("pos")))
+    per = rows.groupBy("rid").agg(F.count("line").alias("n_lines"), F.sort_array(F.collect_list(F.when(F.col("gone"), F.struct("pos", "line")))).alias("gone"))
+    per = per.withColumn("gone", F.when(F.size("gone") > 0, F.col("gone")))
 
     at, pos = F.col("gone.line"), F.col("gone.pos")
     parts = F.zip_with(F.concat(F.array(F.lit(-1)), at), F.concat(at, F.array(F.size("lines"))), lambda a, b: F.struct((a + 2).alias("from"), (b - a - 1).alias("n")))
     left = F.array_join(F.flatten(F.transform(F.filter("parts", lambda p: p["n"] > 0), lambda p: F.slice("lines", p["from"], p["n"]))), "\n")
     starts = F.filter(F.zip_with(F.concat(F.array(F.lit(-2)), F.slice(pos, 1, F.size(pos) - 1)), pos, lambda before, x: x != before + 1), lambda x: x)
-    joined = base.join(counts, "rid", "left").join(per, "rid", "left")
+    joined = base.join(per, "rid", "left")
     joined = joined.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split(F.col(f"`{text}`"), "\n", -1)))
     joined = joined.withColumn("parts", F.when(F.col("gone").isNotNull(), parts))
     columns = [F.when(F.col("gone").isNull(), F.col(f"`{c}`")).otherwise(left).alias(c) if c == text else F.col(f"`{c}`") for c in others]
     none = F.col("gone").isNull()
-    return few_files(joined.select(*columns, F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.when(none, 0).otherwise(F.size("gone")).alias("n_removed"), F.when(none, 0).otherwise(F.size(starts)).alias("n_runs")))
+    return few_files(joined.select(*columns, F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.when(none, 0).otherwise(F.size("gone")).alias("n_removed"), F.when(none, 0).otherwise(F.size(starts)).alias("n_runs")), size)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
