@@ -10,10 +10,12 @@ Documents link when the Jaccard similarity of their sets of word n-grams reaches
 3. The sets of a cluster are stored in a trie, the frequent n-grams first, so near copies share long paths.  A set
    walks the trie, takes its partial overlap with a shared path from the path's last visitor, and leaves a subtree when
    the n-grams missed on the way exceed what the threshold and the remaining lengths allow.  Sets known to be connected
-   are passed over, so a large group of near copies costs about a walk for each set.
-4. A cluster above ``block`` sets is dealt into blocks, with some hubs visiting all blocks.  Then every set that is not
-   connected with its cluster's largest component visits all blocks of the cluster: with it all pairs of different
-   components have been tried, whatever the cluster's size.
+   are passed over, so a large group of near copies costs about a walk for each set; so are those whose sizes, or whose
+   bitmaps of n-grams, rule a link out.
+4. A cluster of more than ``BLOCK`` sets is dealt into blocks by the rarest n-gram, with some hubs visiting all blocks.
+   Then a set that isn't connected with its cluster's largest component visits those blocks of the cluster in which
+   one of its first n-grams occurs among the first of a set of a suitable size in another component: all pairs that can
+   link and aren't connected have been tried then, whatever the cluster's size.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .components import connected_components
-from .exchange import BLOCK_SCHEMA, answer_repeats, answer_totals, blocks, bucket_count, chunk_count, few_files, flagged, read_repeats, read_totals, release, settle, shared_dir, with_chunk
+from .exchange import BLOCK_SCHEMA, answer_repeats, answer_totals, blocks, bucket_count, chunk_count, few_files, flagged, once, read_repeats, read_totals, release, repeat, settle, shared_dir, with_chunk
 from .textbytes import column_bytes, mix, shingles, slices, word_hashes
 
-BLOCK = 128
+BLOCK = 512
 HUBS = 8
+GUESTS = 2048
 
 
 def _sets(table: pa.Table, text: str, words: int):
@@ -64,24 +66,23 @@ class Trie:
     """Sets over a small vocabulary as sorted paths; the common depth of neighbours is all there is of inner nodes."""
 
     def __init__(self, paths: list[np.ndarray]):
-        self.order = sorted(range(len(paths)), key=lambda i: paths[i].tolist())
+        self.order = np.array(sorted(range(len(paths)), key=lambda i: paths[i].tolist()), np.int64)
         self.paths = [paths[i] for i in self.order]
-        self.common = [0]
+        common = [0]
         for x, y in zip(self.paths, self.paths[1:], strict=False):
             m = min(len(x), len(y))
             differ = np.flatnonzero(x[:m] != y[:m])
-            self.common.append(int(differ[0]) if len(differ) else m)
+            common.append(int(differ[0]) if len(differ) else m)
+        self.common = np.array(common)
 
-    def walk(self, mask: np.ndarray, allowed: int, wanted):
-        """(set, overlap) of the sets that ``wanted`` accepts and that miss at most ``allowed`` of the mask."""
+    def walk(self, mask: np.ndarray, allowed: int, wanted: np.ndarray):
+        """(set, overlap) of those sets that ``wanted`` marks and that miss at most ``allowed`` of the mask."""
         overlap: np.ndarray = np.zeros(0, np.int64)  # along the path of the last visited set
-        depth, left_at = 0, None  # how far it is valid here; where that path was left
-        for i, path in enumerate(self.paths):
-            depth = min(depth, self.common[i])
+        depth, left_at, last = 0, None, -1  # how far it is valid here; where that path was left; the last place
+        for i in np.flatnonzero(wanted[self.order]).tolist():
+            path, depth, last = self.paths[i], min(depth, int(self.common[last + 1 : i + 1].min())), i
             if left_at is not None and depth >= left_at:
                 continue  # below the node that was left
-            if not wanted(self.order[i]):
-                continue
             before = int(overlap[depth - 1]) if depth else 0
             overlap = np.concatenate([overlap[:depth], before + np.cumsum(mask[path[depth:]])])
             missed = np.arange(1, len(path) + 1) - overlap
@@ -89,41 +90,51 @@ class Trie:
             if len(path) and missed[-1] > allowed:
                 left_at = int(np.searchsorted(missed, allowed, "right")) + 1
                 continue
-            yield self.order[i], int(overlap[-1]) if len(path) else 0
+            yield int(self.order[i]), int(overlap[-1]) if len(path) else 0
+
+
+def _bitmaps(paths: list[np.ndarray]) -> np.ndarray:
+    """A row of bits for each path, one set for each of its n-grams (several may share one); about two bits to an n-gram of the longest path."""
+    width = min(1 << 14, max(64, 1 << (2 * max(map(len, paths), default=0)).bit_length()))
+    out = np.zeros((len(paths), width // 8), np.uint8)
+    for row, path in zip(out, paths, strict=True):
+        bits = np.zeros(width, bool)
+        bits[path % width] = True
+        row[:] = np.packbits(bits)
+    return out.view(np.uint64)
 
 
 def trie_join(nodes: list[int], sizes: list[int], grams: list[np.ndarray], parts: list[int], residents: list[int], queries: list[int], num: int, den: int) -> list[tuple[int, int]]:
     """Edges that join the sets at ``queries`` with those at ``residents``; ``parts`` are components known before.
 
-    The edges connect what links connect, without a link between sets that are connected already.
+    The edges connect what links connect, without a link between sets that are connected already.  A resident that is
+    too long or too short, connected, or misses too many bits of a query's bitmap isn't visited in the trie.
     """
     vocabulary, inverse, counts = np.unique(np.concatenate(grams) if grams else np.zeros(0, np.uint64), return_inverse=True, return_counts=True)
     rank = np.empty(len(vocabulary), np.int64)
     rank[np.lexsort((vocabulary, -counts))] = np.arange(len(vocabulary))
     ends = np.cumsum([len(g) for g in grams])
     paths = [np.sort(rank[x]) for x in np.split(inverse, ends[:-1])]
-    trie = Trie([paths[r] for r in residents])
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = up = parent.get(up, up)
-            x = up
-        return x
-
+    trie, bits = Trie([paths[r] for r in residents]), _bitmaps(paths)
+    label, size, held = np.unique(np.array(parts), return_inverse=True)[1], np.array(sizes, np.int64), np.array([len(p) for p in paths])
+    at, resident_bits = np.array(residents, np.int64), bits[residents]
     mask, edges, place = np.zeros(len(vocabulary), bool), [], {q: k for k, q in enumerate(residents)}
     for q in queries:
+        n, ns = size[q], size[at]
+        fits = (label[at] != label[q]) & (den * np.minimum(n, ns) >= num * np.maximum(n, ns))
+        fits[: place.get(q, -1) + 1] = False  # two residents meet once, the first of them asks
+        of = np.flatnonzero(fits)
+        if not len(of):
+            continue
+        need = -(-num * (n + ns[of]) // (num + den))
+        fits[of] = (held[q] - np.bitwise_count(bits[q] & ~resident_bits[of]).sum(axis=1) >= need) & (held[at[of]] - np.bitwise_count(resident_bits[of] & ~bits[q]).sum(axis=1) >= need)
+        if not fits.any():
+            continue
         mask[paths[q]] = True
-        n = sizes[q]
-
-        def wanted(k: int, q: int = q, n: int = n) -> bool:
-            r = residents[k]  # two residents meet once, the first of them asks
-            return place.get(q, -1) < k and den * min(n, sizes[r]) >= num * max(n, sizes[r]) and find(parts[r]) != find(parts[q])
-
-        for k, overlap in trie.walk(mask, (den - num) * n // num, wanted):
-            r = residents[k]
-            if den * overlap >= num * (n + sizes[r] - overlap) and find(parts[r]) != find(parts[q]):
-                parent[find(parts[q])] = find(parts[r])
+        for k, overlap in trie.walk(mask, int((den - num) * n // num), fits):
+            r = int(at[k])
+            if label[r] != label[q] and den * overlap >= num * (n + size[r] - overlap):
+                label[label == label[q]] = label[r]
                 edges.append((nodes[q], nodes[r]))
         mask[paths[q]] = False
     return edges
@@ -165,9 +176,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    n, buckets = chunk_count(docs), bucket_count(spark)
     base = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).withColumn("_row", F.xxhash64("key", "text"))
-    base = with_chunk(base, "_row", n)
+    base, size = once(base.withColumn("_twin", F.xxhash64(F.lit(1), "key", "text")), folder)
+    n, buckets = chunk_count(docs, size=size), bucket_count(spark, size)
+    base = with_chunk(base, "_row", n).drop("_twin")
     kind = base.schema["key"].dataType.simpleString()
 
     def send(table: pa.Table) -> pa.Table:
@@ -175,7 +187,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
         keys = flagged(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
         return pa.Table.from_batches([blocks(table["chunk"][0].as_py(), keys, None, buckets)])
 
-    answers = settle(answer_repeats(base.groupBy("chunk").applyInArrow(send, BLOCK_SCHEMA)), folder, "repeated")
+    answers = settle(answer_repeats(base.groupBy("chunk").applyInArrow(send, BLOCK_SCHEMA)), folder, "repeated", size)
     release(spark)
 
     def keep(table: pa.Table, notes: pa.Table) -> pa.Table:
@@ -196,20 +208,20 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
             sizes.append(total)
             names.append(pa.array(_set_names(grams, at, b - a), mask=~alive))
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        return pa.table({"key": table["key"], "_row": table["_row"], "n": pa.array(cat(sizes, np.int64)), "node": pa.chunked_array(names, pa.int64()), "grams": _binary_rows(cat(sets, np.uint64), cat(lengths, np.int64))})
+        return pa.table({"key": table["key"], "_row": table["_row"], "_n": table["_n"], "n": pa.array(cat(sizes, np.int64)), "node": pa.chunked_array(names, pa.int64()), "grams": _binary_rows(cat(sets, np.uint64), cat(lengths, np.int64))})
 
-    kept = settle(base.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(keep, f"key {kind}, _row long, n long, node long, grams binary"), folder, "kept")
+    kept = settle(base.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(keep, f"key {kind}, _row long, _n long, n long, node long, grams binary"), folder, "kept", size)
     release(spark)
 
     classes = kept.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("grams").alias("grams"))
-    classes = with_chunk(settle(classes, folder, "classes"), "node", n)
+    classes = with_chunk(settle(classes, folder, "classes", size // 2), "node", n)
 
     def send_again(table: pa.Table) -> pa.Table:
         grams = np.frombuffer(b"".join(table["grams"].to_pylist()), np.uint64)
         keys, counts = np.unique(grams, return_counts=True)
         return pa.Table.from_batches([blocks(table["chunk"][0].as_py(), keys, counts.astype(np.uint32).reshape(-1, 1), buckets)])
 
-    answers = settle(answer_totals(classes.groupBy("chunk").applyInArrow(send_again, BLOCK_SCHEMA), 1), folder, "counted")
+    answers = settle(answer_totals(classes.groupBy("chunk").applyInArrow(send_again, BLOCK_SCHEMA), 1), folder, "counted", size // 2)
 
     def rank(table: pa.Table, notes: pa.Table) -> pa.Table:
         rows = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
@@ -232,60 +244,90 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
         return pa.table({c: pa.array(v, types[c]) for c, v in out.items()})
 
     ranked = classes.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(rank, "node long, n long, weight long, first array<long>, grams binary")
-    ranked = settle(ranked, folder, "ranked")
+    ranked = settle(ranked, folder, "ranked", size // 2)
 
+    # nodes, postings and edges have tens of bytes where a document has thousands
+    slim = size // 32
     postings = ranked.select("node", F.explode("first").alias("gram"))
     hubs = postings.groupBy("gram").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last")
-    hubs = settle(hubs, folder, "hubs")  # with a plain table on either side, AQE splits a frequent n-gram
-    clusters = connected_components(postings.join(hubs, "gram").select(F.col("node").alias("a"), F.col("hub").alias("b")), folder, "clusters")
-    members = settle(ranked.drop("first").join(clusters.withColumnRenamed("component", "cluster"), "node"), folder, "members")
+    hubs = settle(hubs, folder, "hubs", slim)  # with a plain table on either side, AQE splits a frequent n-gram
+    clusters = connected_components(postings.join(hubs, "gram").select(F.col("node").alias("a"), F.col("hub").alias("b")), folder, "clusters", slim)
+    members = settle(ranked.join(clusters.withColumnRenamed("component", "cluster"), "node"), folder, "members", size // 2)
 
     centre = [F.max_by("node", F.struct("weight", "node")), *(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(1, HUBS))]
-    sizes = settle(members.groupBy("cluster").agg(F.count("*").alias("size"), F.array_distinct(F.array(*centre)).alias("hubs")), folder, "sizes")
-    placed = members.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    unit = [F.when(F.col("blocks") > 1, F.col("cluster")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(n))).alias("u"), F.when(F.col("blocks") > 1, F.col("block")).otherwise(-1).alias("v")]
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"), F.array_distinct(F.array(*centre)).alias("hubs"))
+    sizes = settle(sizes.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")), folder, "sizes", slim)
+    crowded = sizes.where("blocks > 1")
     shape = ["cluster", "node", "n", "part", "visits", "grams"]
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))
+    alone = members.join(sizes.where("blocks = 1").select("cluster"), "cluster").withColumn("part", F.col("node")).withColumn("visits", F.lit(False))
+    unit = F.pmod(F.xxhash64("cluster"), F.lit(n))
+    edges = settle(alone.groupBy(unit.alias("u")).applyInArrow(_join_unit(num, den), "a long, b long"), folder, "edges", slim)
+    if not crowded.isEmpty():
+        edges = edges.unionByName(_join_crowded(members.join(crowded, "cluster"), shape, num, den, folder, slim))
 
-    home = placed.withColumn("part", F.col("node")).withColumn("visits", F.lit(False))
-    visiting = home.where("blocks > 1 and array_contains(hubs, node)").withColumn("block", F.explode(others)).withColumn("visits", F.lit(True))
-    first = home.select(*unit, *shape).unionByName(visiting.select(*unit, *shape))
-    edges = settle(first.groupBy("u", "v").applyInArrow(_join_unit(num, den), "a long, b long"), folder, "edges-1")
-
-    parts = settle(connected_components(edges, folder, "parts"), folder, "parts")
-    big = placed.where("blocks > 1").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    counts = big.groupBy("cluster", "part").count()
-    main = counts.groupBy("cluster").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    big = big.join(main, "cluster").withColumn("visits", F.lit(False))
-    guests = big.where("part <> main").withColumn("block", F.explode(others)).withColumn("visits", F.lit(True))
-    own = big.where("part <> main").withColumn("visits", F.lit(True))
-    second = big.select(*unit, *shape).unionByName(guests.select(*unit, *shape)).unionByName(own.select(*unit, *shape))
-    more = second.groupBy("u", "v").applyInArrow(_join_unit(num, den, True), "a long, b long")
-    edges = edges.unionByName(settle(more, folder, "edges-2"))
-
-    found = connected_components(edges, folder, "components")
+    found = connected_components(edges, folder, "components", slim)
     found = classes.select("node", "key").join(found, "node")
     least = found.groupBy("component").agg(F.min("key").alias("least"))
-    found = settle(found.join(least, "component").select("node", "least", "component"), folder, "found")
+    found = settle(found.join(least, "component").select("node", "least", "component"), folder, "found", slim)
     single = classes.select("node", F.col("key").alias("own"))
     named = single.join(found, "node", "left").select("node", F.coalesce("least", "own").alias("component_id"), F.coalesce("component", "node").alias("part"))
     out = kept.drop("grams").join(named, "node", "left")
-    return few_files(out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), *["_row", "part"] * rows))
+    return few_files(repeat(out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), *["_row", "part"] * rows, "_n")), slim)
+
+
+def _join_crowded(placed: DataFrame, shape: list[str], num: int, den: int, folder: str, slim: int) -> DataFrame:
+    """Edges of the clusters with more than a block of sets; ``placed`` has their members with ``blocks`` and ``hubs``.
+
+    Sets are dealt to blocks by their rarest n-gram, those of a frequent one by a hash of their own.  First each block is
+    joined with itself and with the cluster's hubs; then a set that isn't connected with the largest component visits
+    those blocks that hold a set of a suitable size with one of its first n-grams, and nothing but its own component.
+    """
+    placed = placed.withColumn("lead", F.get("first", F.lit(0)))
+    leads = placed.groupBy("cluster", "lead").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("shares"))
+    leads = settle(leads, folder, "leads", slim)  # with a plain table on either side, AQE splits a frequent one
+    placed = placed.join(leads, (placed["cluster"] == leads["cluster"]) & placed["lead"].eqNullSafe(leads["lead"])).drop(leads["cluster"]).drop(leads["lead"])
+    own = F.xxhash64("cluster", "lead", F.pmod(F.xxhash64("node"), F.col("shares")))
+    placed = placed.withColumn("block", F.when(F.col("shares") > 1, own).otherwise(F.xxhash64("cluster", F.pmod(F.xxhash64("lead"), F.col("blocks"))))).drop("lead", "shares", "blocks")
+    placed = settle(placed, folder, "placed", 16 * slim)
+
+    home = placed.withColumn("part", F.col("node")).withColumn("visits", F.lit(False))
+    all_blocks = settle(placed.select("cluster", "block").distinct(), folder, "blocks", slim)
+    hubs = home.where("array_contains(hubs, node)").drop("block").join(all_blocks, "cluster").withColumn("visits", F.lit(True))
+    hubs = hubs.join(placed.select("node", F.col("block").alias("at")), "node").where("at <> block")
+    first = home.select("block", *shape).unionByName(hubs.select("block", *shape))
+    edges = settle(first.groupBy("block").applyInArrow(_join_unit(num, den), "a long, b long"), folder, "edges-1", slim)
+
+    parts = settle(connected_components(edges, folder, "parts", slim), folder, "parts", slim)
+    known = placed.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    known = settle(known, folder, "known", 16 * slim)
+    counts = known.groupBy("cluster", "part").count()
+    main = counts.groupBy("cluster").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    known = known.join(settle(main, folder, "main", slim), "cluster")
+    rest = known.where("part <> main")
+    posted = known.select("cluster", "block", "part", "n", F.explode("first").alias("gram"))
+    posted = settle(posted.groupBy("cluster", "gram", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("part").alias("p"), F.max("part").alias("q")), folder, "posted", slim)
+    asked = rest.select("cluster", "node", "n", "part", F.col("block").alias("at"), F.explode("first").alias("gram")).join(posted, ["cluster", "gram"])
+    asked = asked.where((F.col("at") != F.col("block")) & (F.lit(den) * F.col("most") >= F.lit(num) * F.col("n")) & (F.lit(num) * F.col("least") <= F.lit(den) * F.col("n")) & ((F.col("p") != F.col("part")) | (F.col("q") != F.col("part"))))
+    asked = settle(asked.select("node", "block").distinct(), folder, "asked", slim)
+    tables = settle(asked.groupBy("block").agg(F.ceil(F.count("*") / GUESTS).cast("int").alias("tables")), folder, "tables", slim)  # so many groups of guests
+    guests = rest.drop("block").join(asked.join(tables, "block"), "node").withColumn("table", F.pmod(F.xxhash64("node"), F.col("tables")).cast("int")).withColumn("visits", F.lit(True))
+    hosts = known.join(tables, "block").withColumn("table", F.explode(F.sequence(F.lit(0), F.col("tables") - 1))).withColumn("visits", F.lit(False))
+    more = hosts.select("block", "table", *shape).unionByName(guests.select("block", "table", *shape)).groupBy("block", "table").applyInArrow(_join_unit(num, den, True), "a long, b long")
+    return edges.unionByName(settle(more, folder, "edges-2", slim))
 
 
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component, that of the smallest key (equal keys: of the smallest digest); all rows without words stay."""
-    found = settle(jaccard_components(docs, words, num, den, text, key, rows=True), shared_dir(docs.sparkSession), "components")
-    linked = found.where("part is not null")
-    best = linked.groupBy("part").agg(F.min(F.struct(F.col(f"`{key}`").alias("k"), F.col("_row").alias("r"))).alias("b")).select("b.k", "b.r")
-    stay = best.unionByName(found.where("part is null").select(F.col(f"`{key}`").alias("k"), F.col("_row").alias("r"))).distinct()
-    marked = docs.withColumn("_r", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")))
-    out = marked.join(stay, (F.col("_r") == F.col("r")) & F.col(f"`{key}`").eqNullSafe(F.col("k")), "left_semi")
-    if not linked.groupBy(key, "_row").count().where("count > 1").isEmpty():  # rows that are there more than once
-        again = out.withColumn("_n", F.row_number().over(Window.partitionBy("_r", key).orderBy("_r"))).where((F.col("_n") == 1) | (F.coalesce(F.trim(text), F.lit("")) == ""))
-        out = again.drop("_n")
-    return out.drop("_r")
+    folder = shared_dir(docs.sparkSession)
+    found = settle(jaccard_components(docs, words, num, den, text, key, rows=True).select(F.col(f"`{key}`").alias("_key9"), F.col("_row").alias("_row9"), "n_shingles", "part"), folder, "components")
+    best = found.where("part is not null").groupBy("part").agg(F.min(F.struct("_key9", "_row9")).alias("b")).select("b.*")
+    stay = best.unionByName(found.where("part is null").select("_key9", "_row9")).distinct()
+    marked = docs.withColumn("_mark9", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")))
+    out = marked.join(stay, (F.col("_mark9") == F.col("_row9")) & F.col(f"`{key}`").eqNullSafe(F.col("_key9")), "left_semi")
+    if not found.where("n_shingles > 0").groupBy("_key9", "_row9").count().where("count > 1").isEmpty():  # rows that are there more than once
+        words_in = F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        out = out.where(words_in).dropDuplicates(["_mark9", key]).unionByName(out.where(~words_in))
+    return out.drop("_mark9")
 
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
