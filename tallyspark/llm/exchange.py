@@ -11,6 +11,7 @@ can be recomputed from its chunk's documents, in whatever order they arrive.
 from __future__ import annotations
 
 import uuid
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -21,39 +22,56 @@ BLOCK_SCHEMA = "chunk int, bucket int, keys binary, counts binary"
 ANSWER_SCHEMA = "chunk int, bucket int, answer binary"
 
 
+#: Bytes of text to a file, to a chunk and to a bucket at least, where the number of shuffle partitions asks for fewer.
+FILE_BYTES, CHUNK_BYTES, BUCKET_BYTES = 256 << 20, 32 << 20, 64 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests), one under the local temp folder."""
+    """A new folder under spark.checkpoint.dir; where that is unset (tests), one under the local temp folder, with a warning."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
         import tempfile
 
-        base = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
-        spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.gettempdir()
+        warnings.warn(f"spark.checkpoint.dir is unset: intermediate tables go to {base}", stacklevel=2)
     return f"{base.rstrip('/')}/tallyspark-{uuid.uuid4().hex}"
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """``df`` with several small partitions, one after the other, to a task and file.
+def few_files(df: DataFrame, size: int) -> DataFrame:
+    """``df``, made from ``size`` bytes of text, with several small partitions, one after the other, to a task and file.
 
-    It stays at a fifth of the shuffle partitions and at two tasks to a core at least, so no core of a large cluster idles.
+    It stays at two tasks to a core, a fifth of the shuffle partitions and a task to ``FILE_BYTES`` of text at least.
     """
     spark = df.sparkSession
-    return df.coalesce(max(36, int(spark.conf.get("spark.sql.shuffle.partitions")) // 5, 2 * spark.sparkContext.defaultParallelism))
+    return df.coalesce(max(36, int(spark.conf.get("spark.sql.shuffle.partitions")) // 5, 2 * spark.sparkContext.defaultParallelism, size // FILE_BYTES))
+
+
+def fewer_splits(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """``df``, which is a projection of the table ``docs``, with up to four of its splits to a task and file."""
+    spark = df.sparkSession
+    return df.coalesce(max(36, docs.rdd.getNumPartitions() // 4, 2 * spark.sparkContext.defaultParallelism))
+
 
+def settle(df: DataFrame, folder: str, name: str, size: int | None = 0) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: it cuts the lineage and survives lost executors.
 
-def settle(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: it cuts the lineage and survives lost executors."""
-    few_files(df).write.mode("overwrite").parquet(f"{folder}/{name}")
+    ``size`` is the bytes of text behind it; with None its partitions stay as they are.
+    """
+    (df if size is None else few_files(df, size)).write.mode("overwrite").parquet(f"{folder}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps that are over.
+    """Let Spark's cleaner drop the shuffle files of steps that are over; ``tallyspark.release`` set to false leaves that to it.
 
     The session holds on to its last execution, so an empty one takes that place before the collection.
     """
+    if spark.conf.get("tallyspark.release", "true") == "false":
+        return
     import gc
 
     spark.range(1).write.format("noop").mode("overwrite").save()
@@ -61,15 +79,34 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def chunk_count(df: DataFrame, per_partition: int = 8) -> int:
-    """Number of chunks: a few to a partition of the input, so that a chunk holds a few MB."""
+def once(base: DataFrame, folder: str, text: str = "text") -> tuple[DataFrame, int]:
+    """``base`` with one of each equal rows and _n, how often it occurs; and the bytes of text in all.
+
+    Rows are known by ``_row`` and ``_twin``, two digests of all their columns.  A row that is there very often would
+    be one group in one task otherwise; ``repeat`` brings the copies back.
+    """
+    rows = base.groupBy("_row", "_twin").agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes"))
+    size, most = rows.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    if most <= 1:
+        return base.withColumn("_n", F.lit(1).cast("long")), int(size)
+    others = [c for c in base.columns if c not in ("_row", "_twin")]
+    return settle(base.groupBy("_row", "_twin").agg(*(F.first(c).alias(c) for c in others), F.count("*").alias("_n")), folder, "once", size), int(size)
+
+
+def repeat(rows: DataFrame) -> DataFrame:
+    """Results for the rows of ``once``, each ``_n`` times."""
+    return rows.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int")))).drop("_n")
+
+
+def chunk_count(df: DataFrame, per_partition: int = 8, size: int = 0) -> int:
+    """Number of chunks: a few to a partition of the input, so that a chunk holds a few MB and no more than ``CHUNK_BYTES`` beside long texts."""
     spark = df.sparkSession
-    return max(per_partition * df.rdd.getNumPartitions(), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(per_partition * df.rdd.getNumPartitions(), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // CHUNK_BYTES)
 
 
-def bucket_count(spark: SparkSession) -> int:
-    """Number of buckets: one to a shuffle partition, so the blocks are as many as chunks times shuffle partitions at most."""
-    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def bucket_count(spark: SparkSession, size: int = 0) -> int:
+    """Number of buckets: one to a shuffle partition, more where there are more than ``BUCKET_BYTES`` of text to each."""
+    return max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
 
 
 def with_chunk(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -80,18 +117,24 @@ def _edges(buckets: int) -> np.ndarray:
     return np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
 
 
+def _width_of(values: np.ndarray) -> type:
+    """The narrow type of counts where it holds them all."""
+    return np.uint32 if values.max(initial=0) < 1 << 32 else np.uint64
+
+
 def _pack(counts: np.ndarray) -> bytes:
-    """Counts (rows x width) as a byte each, column by column; those from 255 on follow as 32-bit numbers."""
+    """Counts (rows x width) as a byte each, column by column; those from 255 on follow as 64-bit numbers."""
     flat = counts.T.ravel()
-    return np.minimum(flat, 255).astype(np.uint8).tobytes() + flat[flat >= 255].astype("<u4").tobytes()
+    return np.minimum(flat, 255).astype(np.uint8).tobytes() + flat[flat >= 255].astype("<u8").tobytes()
 
 
 def _unpack(data: bytes, width: int, rows: int | None = None) -> np.ndarray:
     """The counts of ``_pack``; without ``rows`` the number of rows stands in front."""
     if rows is None:
         rows, data = int.from_bytes(data[:4], "little"), data[4:]
-    out = np.frombuffer(data, np.uint8, rows * width).astype(np.uint32)
-    out[out == 255] = np.frombuffer(data, "<u4", offset=rows * width)
+    large = np.frombuffer(data, "<u8", offset=rows * width)
+    out = np.frombuffer(data, np.uint8, rows * width).astype(_width_of(large))
+    out[out == 255] = large
     return out.reshape(width, rows).T
 
 
@@ -147,7 +190,7 @@ def totals_schema(width: int) -> str:
 
 def _totals(width: int):
     def totals(table: pa.Table) -> pa.Table:
-        """One bucket of keys with ``width`` uint32 counts each; the totals over all chunks, saturated at 2**32-1."""
+        """One bucket of keys with ``width`` counts each; the totals over all chunks."""
         keys, at = _bucket_keys(table)
         at = at.tolist()
         order = np.argsort(keys)
@@ -158,9 +201,9 @@ def _totals(width: int):
         counts = np.concatenate([_unpack(c, width, j - i) for c, i, j in zip(table["counts"].to_pylist(), at, at[1:], strict=False)])
         sums = np.stack([np.add.reduceat(counts[order, k], starts, dtype=np.int64) for k in range(width)], axis=1)
         del counts
-        out = np.empty((len(keys), width), np.uint32)
+        out = np.empty((len(keys), width), _width_of(sums))
         for k in range(width):
-            out[order, k] = np.repeat(np.minimum(sums[:, k], 2**32 - 1).astype(np.uint32), sizes)
+            out[order, k] = np.repeat(sums[:, k].astype(out.dtype), sizes)
         answers = _answers(table, pa.array([(j - i).to_bytes(4, "little") + _pack(out[i:j]) for i, j in zip(at, at[1:], strict=False)], pa.binary()))
         for name, values in (("d", (sums > 0).sum(axis=0)), ("t", sums.sum(axis=0))):
             for k in range(width):
@@ -207,6 +250,6 @@ def read_repeats(table: pa.Table) -> np.ndarray:
 
 
 def read_totals(table: pa.Table, width: int) -> np.ndarray:
-    """A chunk's answers of ``answer_totals`` (rows x width, uint32) in the order of its sorted keys."""
+    """A chunk's answers of ``answer_totals`` (rows x width) in the order of its sorted keys."""
     parts = [_unpack(a, width) for a in _by_bucket(table)]
     return np.concatenate(parts) if parts else np.zeros((0, width), np.uint32)

@@ -98,7 +98,8 @@ def edited_neighbours(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     ranges = chunk_count(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shares = [k / ranges for k in range(1, ranges)]
-    found = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * ranges)).alias("bounds"), F.min("doc_id").alias("least"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
+    found = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * ranges)).alias("bounds"), F.min("doc_id").alias("least"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"), F.sum(F.octet_length("text")).alias("size")).first()
+    size = int(found["size"] or 0)
     bounds = np.unique(np.array(found["bounds"] or [], np.int64))
     least = found["least"] if found["least"] is not None else 0
     bounds = bounds[bounds > least]
@@ -137,7 +138,7 @@ def edited_neighbours(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
 
     dealt = docs.mapInArrow(deal, "doc_id long, text string, place int, extra int")
     out = dealt.groupBy("place").applyInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return few_files(out)
+    return few_files(out, size)
 
 
 def op5_document_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import few_files
+from .exchange import fewer_splits
 from .textbytes import column_bytes, slices
 
 BLOCK = 1024
@@ -515,4 +515,4 @@ def stored_features(media: DataFrame) -> DataFrame:
 
 def op4_media_columns(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return few_files(stored_features(encode_column(docs)))
+    return fewer_splits(stored_features(encode_column(docs)), docs)

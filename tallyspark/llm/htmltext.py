@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import few_files
+from .exchange import fewer_splits
 
 WIDE = 60
 MOST_SPAN = 1000
@@ -483,4 +483,5 @@ def extract_pages(pages: DataFrame, column: str = "html") -> DataFrame:
 
 
 def op8_html_extraction(spark, sf_dir: str) -> DataFrame:
-    return few_files(extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return fewer_splits(extract_pages(pages), pages)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import BLOCK_SCHEMA, answer_totals, blocks, bucket_count, chunk_count, few_files, read_totals, release, settle, shared_dir, with_chunk
+from .exchange import BLOCK_SCHEMA, answer_totals, blocks, bucket_count, chunk_count, few_files, once, read_totals, release, repeat, settle, shared_dir, with_chunk
 from .textbytes import column_bytes, mix, slices, word_hashes
 
 END = np.uint64(0xE4D0F7E47)
@@ -54,12 +54,12 @@ def _pairs(tokens: np.ndarray) -> np.ndarray:
     return mix(np.concatenate([[END], tokens[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + tokens)
 
 
-def _count(keys: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, and how often each occurs in the counted part and in all training documents."""
+def _count(keys: np.ndarray, part: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and how often each occurs in the counted part and in all training documents; a place stands for ``copies``."""
     order = np.argsort(keys)
-    ranked, part = keys[order], part[order]
+    ranked, part, copies = keys[order], part[order], copies[order]
     starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-    counts = [np.add.reduceat(x, starts, dtype=np.uint32) for x in (part == COUNTED, part != HELD_OUT)]
+    counts = [np.add.reduceat(np.where(x, copies, 0), starts, dtype=np.int64) for x in (part == COUNTED, part != HELD_OUT)]
     return ranked[starts], np.stack(counts, axis=1)
 
 
@@ -100,25 +100,26 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", he
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    n, buckets = chunk_count(docs), bucket_count(spark)
     if held_out is None:
         held_out = F.crc32(F.col(f"`{key}`").cast("string")) % 7 == 2
     part = F.when(held_out, HELD_OUT).when(F.pmod(F.xxhash64(F.col(f"`{key}`").cast("string")), F.lit(DELETED_EVERY)) == 0, DELETED).otherwise(COUNTED)
-    base = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), part.alias("part")).withColumn("_row", F.xxhash64("key", "text"))
-    base = with_chunk(base, "_row", n).drop("_row")
+    base = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), part.alias("part")).withColumn("_row", F.xxhash64("key", "text", "part"))
+    base, size = once(base.withColumn("_twin", F.xxhash64(F.lit(1), "key", "text", "part")), folder)
+    n, buckets = chunk_count(docs, size=size), bucket_count(spark, size)
+    base = with_chunk(base, "_row", n).drop("_row", "_twin")
     kind = base.schema["key"].dataType.simpleString()
 
     def send(pairs: bool):
         def run(table: pa.Table) -> pa.Table:
             tokens, sizes = _tokens(table, "text")
-            part = np.repeat(table["part"].to_numpy(), sizes)
-            return pa.Table.from_batches([blocks(table["chunk"][0].as_py(), *_count(_pairs(tokens) if pairs else tokens, part), buckets)])
+            part, copies = (np.repeat(table[c].to_numpy(), sizes) for c in ("part", "_n"))
+            return pa.Table.from_batches([blocks(table["chunk"][0].as_py(), *_count(_pairs(tokens) if pairs else tokens, part, copies), buckets)])
 
         return run
 
     notes = []
     for k in (WORDS, PAIRS):
-        answers = settle(answer_totals(base.groupBy("chunk").applyInArrow(send(k == PAIRS), BLOCK_SCHEMA), 2), folder, f"counts-{k}")
+        answers = settle(answer_totals(base.groupBy("chunk").applyInArrow(send(k == PAIRS), BLOCK_SCHEMA), 2), folder, f"counts-{k}", size)
         release(spark)
         if k == WORDS:
             sums = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("d0", "t0", "d1", "t1"))).first()
@@ -147,11 +148,12 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", he
     def gather(table: pa.Table, notes: pa.Table) -> pa.Table:
         sizes, pair, context, word = features(table, notes)
         at = np.repeat(table["part"].to_numpy() == DELETED, sizes)
+        copies = np.repeat(table["_n"].to_numpy(), sizes)[at].astype(float)
         pair, context, word = pair[at, 0].astype(float), context[at, 0].astype(float), word[at, 0].astype(float)
         f2, f1 = pair / np.maximum(context, 1), word / max(n0, 1)
         cell = (bucket(context) << 40) + (octave(f2) + (1 << 19) << 20) + octave(f1) + (1 << 19)
         cells, inverse = np.unique(cell, return_inverse=True)
-        return pa.table(_cells(cells, inverse, f2, f1))
+        return pa.table(_cells(cells, inverse, copies, f2, f1))
 
     def meet(function, schema: str) -> DataFrame:
         return base.groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(function, schema)
@@ -173,16 +175,16 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", he
         add = lambda x: np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
         return pa.table({
             "key": table["key"], "held_out": pa.array(table["part"].to_numpy() == HELD_OUT), "n_tokens": pa.array(sizes.astype(np.int64)), "n_known": pa.array(add((word > 0).astype(np.int64)), pa.int64()),
-            "train_tokens": pa.array(np.full(len(sizes), n1, np.int64)), "base_score": pa.array(add(np.log10((word + 1) / (n1 + v1 + 1)))), "score": pa.array(add(np.log10(p))),
+            "train_tokens": pa.array(np.full(len(sizes), n1, np.int64)), "base_score": pa.array(add(np.log10((word + 1) / (n1 + v1 + 1)))), "score": pa.array(add(np.log10(p))), "_n": table["_n"],
         })
 
-    out = meet(score, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return few_files(out.withColumnRenamed("key", key))
+    out = meet(score, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, _n long")
+    return few_files(repeat(out.withColumnRenamed("key", key)), size)
 
 
-def _cells(cells: np.ndarray, inverse: np.ndarray, f2: np.ndarray, f1: np.ndarray) -> dict[str, pa.Array]:
+def _cells(cells: np.ndarray, inverse: np.ndarray, copies: np.ndarray, f2: np.ndarray, f1: np.ndarray) -> dict[str, pa.Array]:
     k = len(cells)
-    sums = {"n": np.bincount(inverse, minlength=k), "f2": np.bincount(inverse, f2, k), "f1": np.bincount(inverse, f1, k)}
+    sums = {"n": np.bincount(inverse, copies, k), "f2": np.bincount(inverse, copies * f2, k), "f1": np.bincount(inverse, copies * f1, k)}
     return {"cell": pa.array(cells, pa.int64())} | {c: pa.array(x[:k].astype(float)) for c, x in sums.items()}
 
 

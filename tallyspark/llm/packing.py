@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .exchange import few_files, release, settle, shared_dir
+from .exchange import few_files, fewer_splits, release, settle, shared_dir
 
 CAPACITY = 1024
 GROUPS = 512
@@ -361,7 +361,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names[:-2]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(laid["base"][at] + rank - laid["rank"][at]), pa.array(laid["offset"][at])], names=names)
 
-    return few_files(ranks.mapInArrow(place, kinds))
+    return few_files(ranks.mapInArrow(place, kinds), 4 * sum(k * n for k, n in histogram.items()))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -372,7 +372,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     own = {"piece", "start", "length", "ids_crc32", "sequence_id", "offset", "_rank", "_part", "_before", "count"}
     docs = docs.drop(*[c for c in docs.columns if c in own])
     folder = shared_dir(docs.sparkSession)
-    pieces = settle(cut(docs, capacity), folder, "pieces")
+    pieces = settle(fewer_splits(cut(docs, capacity), docs), folder, "pieces", None)
     release(docs.sparkSession)
     return pack(pieces, capacity)
 

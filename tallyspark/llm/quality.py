@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import few_files, settle, shared_dir
-from .textbytes import CODES_LOWER, CODES_RAW, column_bytes, mix, prefix_sums, slices, span_hashes, word_spans
+from .exchange import fewer_splits, settle, shared_dir
+from .textbytes import column_bytes, lower, mix, slices, span_hashes, word_spans
 
 SAMPLE = 8_000
 DIMENSIONS = 1 << 22
@@ -42,7 +42,7 @@ QUALITY = ("case", "symbols", "noisy words", "monotony", "echo", "commonest word
 TOXICITY = ("first half of the list", "second half of the list", "density", "label")
 
 _UPPER, _LOWER, _DIGIT, _SYMBOL, _OTHER = 1, 2, 3, 4, 5
-_CLASS = np.full(256, _LOWER, np.int64)
+_CLASS = np.full(256, _LOWER, np.int8)
 _CLASS[:128] = _OTHER
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58] = _UPPER, _LOWER, _DIGIT
 _CLASS[[ord(c) for c in "!#$%&*+<=>@\\^_`{|}~"]] = _SYMBOL
@@ -61,6 +61,8 @@ class _Batch:
         self.words = np.bincount(self.doc, minlength=self.n)
 
     def count(self, kind: int) -> np.ndarray:
+        if self.n == 1:
+            return np.array([np.count_nonzero(self.kind == kind)])
         return np.diff(np.concatenate([[0], np.cumsum(self.kind == kind)])[self.offsets])
 
     def per_word(self, marked: np.ndarray) -> np.ndarray:
@@ -78,12 +80,12 @@ class _Batch:
         first[1:] &= ~letter[:-1] | edge[1:n]
         last[:-1] &= ~letter[1:] | edge[1:n]
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        sums, doc = prefix_sums(self.data, CODES_LOWER), np.searchsorted(self.offsets, starts, "right") - 1
-        docs, hashes = [doc], [span_hashes(sums, starts, ends)]
+        data, doc = lower(self.data), np.searchsorted(self.offsets, starts, "right") - 1
+        docs, hashes = [doc], [span_hashes(data, starts, ends)]
         for k in BEGINNINGS:
             of = np.flatnonzero(ends - starts > k)
             docs.append(doc[of])
-            hashes.append(mix(span_hashes(sums, starts[of], starts[of] + k) + np.uint64(k)))
+            hashes.append(mix(span_hashes(data, starts[of], starts[of] + k) + np.uint64(k)))
         doc, h = np.concatenate(docs), np.concatenate(hashes)
         order = np.argsort(h, kind="stable")
         order = order[np.argsort(doc[order], kind="stable")]
@@ -98,7 +100,7 @@ class _Batch:
         ends = self.kind[self.ends - 1]
         last = np.where(ends == _SYMBOL, 16 + self.data[self.ends - 1].astype(np.int64), ends)
         second = np.where(self.ends - self.starts > 1, self.kind[np.maximum(self.ends - 2, 0)], 0)
-        shape = (self.kind[self.starts] * 8 + second) * 512 + last
+        shape = (self.kind[self.starts].astype(np.int64) * 8 + second) * 512 + last
         pair, counts = np.unique(self.doc.astype(np.int64) << 32 | shape, return_counts=True)
         doc = pair >> 32
         share = counts / np.maximum(self.words[doc], 20)  # a few words aren't a share
@@ -122,8 +124,7 @@ def statistics(b: _Batch) -> dict[str, np.ndarray]:
     """Shares that the labellers look at; NaN where a document has too little of something."""
     upper, lower, symbols = (b.count(k) for k in (_UPPER, _LOWER, _SYMBOL))
     letters, solid = upper + lower, upper + lower + symbols + b.count(_DIGIT) + b.count(_OTHER)
-    sums = prefix_sums(b.data, CODES_RAW)
-    word = span_hashes(sums, b.starts, b.ends)
+    word = span_hashes(b.data, b.starts, b.ends)
     doc, name = _distinct(b.doc, word)
     same = np.zeros(len(word), bool)
     same[1:] = (word[1:] == word[:-1]) & (b.doc[1:] == b.doc[:-1])
@@ -137,7 +138,7 @@ def statistics(b: _Batch) -> dict[str, np.ndarray]:
     cuts = np.unique(np.concatenate([b.offsets, ends]))
     line_doc = np.searchsorted(b.offsets, cuts[:-1], "right") - 1
     lines = np.bincount(line_doc, minlength=b.n)
-    once = np.bincount(_distinct(line_doc, span_hashes(sums, cuts[:-1], cuts[1:]))[0], minlength=b.n)
+    once = np.bincount(_distinct(line_doc, span_hashes(b.data, cuts[:-1], cuts[1:]))[0], minlength=b.n)
     share = lambda x, of, least: np.where(of >= least, x / np.maximum(of, 1), np.nan)
     return {
         "case": share(upper, letters, 20), "symbols": share(symbols, solid, 1), "noisy words": share(b.per_word(b.kind[b.ends - 1] == _SYMBOL), b.words, 1),
@@ -344,7 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
     width = len(QUALITY) + len(TOXICITY) - 2
     given = F.coalesce(F.col("quality").cast("long"), F.lit(NONE)) * 3 + F.coalesce(1 - F.col("toxic").cast("long"), F.lit(NONE))
     votes = base.mapInArrow(vote, f"key {kind}, votes long").join(labels, "key", "left").select("key", (F.col("votes") * 9 + given).alias("votes"))
-    votes = settle(votes, folder, "votes")
+    votes = settle(votes, folder, "votes", None)
     patterns = votes.groupBy("votes").count().collect()  # at most 3 ** (labellers) rows
     codes = np.array([r[0] for r in patterns], np.int64)
     counts = np.array([r[1] for r in patterns], float)
@@ -424,4 +425,4 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return few_files(classify(docs, fit(docs, labels)))
+    return fewer_splits(classify(docs, fit(docs, labels)), docs)

@@ -1,27 +1,31 @@
-"""Vectorised work on UTF-8 bytes: words, rolling fingerprints and shingles of many texts at once.
+"""Vectorised work on UTF-8 bytes: words, fingerprints of spans and windows, and shingles of many texts at once.
 
 A batch of texts is one ``uint8`` array plus document offsets, as Arrow holds a string column, so a batch costs a few
 numpy passes instead of a Python loop over words.  Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; all white
-space is ASCII, so this is exact on UTF-8 bytes.  Fingerprints are 64-bit polynomial hashes modulo 2**64 over random
-byte codes, finished by an avalanche step; two different strings of a corpus of n get the same one with a probability
-of about n*n/2**64.
+space is ASCII, so this is exact on UTF-8 bytes.
+
+Fingerprints have 64 bits.  A span is read eight bytes at a time, each of which is added to the state and stirred by an
+invertible step that is neither linear in the integers nor in bits; spans above ``LONG`` bytes get a BLAKE2b digest.
+Fingerprints of strings that aren't made to collide behave like random numbers: of n distinct strings two are the same
+with a probability of about n*n/2**65.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
-_CODES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-CODES_LOWER = _CODES[_LOWER]
-CODES_RAW = _CODES
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[32, *range(9, 14)]] = False
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
+#: Bytes of text that are worked on at a time.
+SLICE = 1 << 20
+LONG = 256
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +45,7 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, size: int = 1 << 20):
+def slices(offsets: np.ndarray, size: int = SLICE):
     """(first, last) document ranges of about ``size`` bytes; a longer document stands alone."""
     first, n = 0, len(offsets) - 1
     while first < n:
@@ -50,19 +54,6 @@ def slices(offsets: np.ndarray, size: int = 1 << 20):
         first = min(last, n)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) <= n:
-        size = max(1 << 20, 2 * n) + 1
-        out = []
-        for base in (BASE, pow(BASE, -1, 2**64)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            out.append(np.multiply.accumulate(x))
-        _powers, _inverses = out
-    return _powers, _inverses
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(32))
     h *= np.uint64(0xD6E8FEB86659FD93)
@@ -72,18 +63,70 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_sums(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    powers, _ = _tables(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(codes[data] * powers[: len(data)], out=sums[1:])
-    return sums
-
-
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Fingerprints of data[starts:ends]; the length takes part."""
-    _, inverses = _tables(len(sums))
-    h = (sums[ends] - sums[starts]) * inverses[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x94D049BB133111EB))
+def lower(data: np.ndarray) -> np.ndarray:
+    """A-Z lower-cased."""
+    return _LOWER[data]
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, zeros behind the end."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Fingerprints of data[start:end]; the length takes part."""
+    sizes = ends - starts
+    out = sizes.astype(np.uint64)
+    out *= np.uint64(BASE)
+    if not len(out):
+        return out
+    eights = _eights(data)
+    live, at, left = None, starts, sizes
+    whole = np.flatnonzero(sizes > LONG)
+    if len(whole):
+        live = np.flatnonzero(sizes <= LONG)
+        at, left = starts[live], sizes[live]
+    while len(at):
+        part = eights[at] & _KEEP[np.minimum(left, 8)]
+        if live is None:
+            out = mix(out ^ part)
+        else:
+            out[live] = mix(out[live] ^ part)
+        more = np.flatnonzero(left > 8)
+        live = more if live is None else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in whole.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+class Windows:
+    """Fingerprints of windows of one or two lengths (at least ``least``) at any place of a text."""
+
+    def __init__(self, data: np.ndarray, least: int):
+        self.width, self.hashes = (8, _eights(data)[: max(len(data) - 7, 0)].copy()) if least >= 8 else (1, data.astype(np.uint64))
+        while 2 * self.width <= min(least, 64):
+            first, second = self.hashes[: -self.width], self.hashes[self.width :]
+            self.hashes = self._join(first, second) if len(self.hashes) > self.width else self.hashes[:0]
+            self.width *= 2
+
+    @staticmethod
+    def _join(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        x = first * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        x += second
+        x *= np.uint64(0xA3B195354A39B70D)
+        x ^= x >> np.uint64(29)
+        return x
+
+    def at(self, starts: np.ndarray, length: int) -> np.ndarray:
+        """Of data[start:start+length] for each start; the window lies within the text."""
+        if not len(starts):
+            return np.zeros(0, np.uint64)
+        out = self.hashes[starts]
+        for k in [*range(self.width, length - self.width, self.width), length - self.width]:
+            out = self._join(out, self.hashes[starts + k])
+        return mix(out + np.uint64(length))
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,10 +146,29 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray = CODES_LOWER) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprint and document number of each word."""
-    starts, ends, doc = word_spans(data, offsets)
-    return span_hashes(prefix_sums(data, codes), starts, ends), doc
+def cuts(data: np.ndarray, size: int = SLICE):
+    """(start, end) parts of one text of about ``size`` bytes that end behind white space; a longer word stands whole."""
+    start, n = 0, len(data)
+    while start < n:
+        end = min(start + size, n)
+        while end < n and IS_WORD[data[end - 1]]:
+            ahead = np.flatnonzero(~IS_WORD[data[end : end + size]])
+            end = end + int(ahead[0]) + 1 if len(ahead) else min(end + size, n)
+        yield start, end
+        start = end
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint and document number of each word.  A long document is taken in parts, so beside its words little is held."""
+    hashes, docs = [], []
+    for a, b in slices(offsets):
+        begin, end = int(offsets[a]), int(offsets[b])
+        for s, e in cuts(data[begin:end]) if b == a + 1 and end - begin > SLICE else [(0, end - begin)]:
+            part = lower(data[begin + s : begin + e])
+            starts, ends, doc = word_spans(part, np.clip(offsets[a : b + 1] - begin - s, 0, e - s))
+            hashes.append(span_hashes(part, starts, ends))
+            docs.append(doc + a)
+    return (np.concatenate(hashes), np.concatenate(docs)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def chain(h: np.ndarray, n: int) -> np.ndarray:

@@ -10,7 +10,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-from helpers import components, line_dedup, repeats  # noqa: E402
+from helpers import components, line_dedup, repeats, shingles  # noqa: E402
 
 from tallyspark.llm import linededup, ngramjoin, suffixdedup  # noqa: E402
 from tallyspark.llm.components import connected_components  # noqa: E402
@@ -71,10 +71,11 @@ def test_intervals_are_the_repeated_runs(spark):
     assert len(set(names.values())) == 3
 
 
-@pytest.mark.parametrize("words,num,den,block", [(4, 85, 100, 128), (5, 80, 100, 128), (2, 60, 100, 2), (1, 50, 100, 3)])
+@pytest.mark.parametrize("words,num,den,block", [(4, 85, 100, 512), (5, 80, 100, 512), (2, 60, 100, 2), (1, 50, 100, 3)])
 def test_ngram_join(spark, monkeypatch, words, num, den, block):
     monkeypatch.setattr(ngramjoin, "BLOCK", block)
     monkeypatch.setattr(ngramjoin, "HUBS", 2)
+    monkeypatch.setattr(ngramjoin, "GUESTS", 5)
     docs = corpus(words)
     got = {r.doc_id: (r.doc_id, r.n_shingles, r.component_id) for r in ngramjoin.jaccard_components(frame(spark, docs), words, num, den).collect()}
     assert [got[i] for i, _ in docs] == components(docs, words, num, den)
@@ -131,4 +132,53 @@ def test_suffix_dedup_edges(spark):
     rows = spark.createDataFrame([(None, a, 1), (3, rest + a, 2), (3, rest + a, 3), (4, "xyz" + a, 4)], "doc_id long, text string, chunk int")
     out = suffixdedup.remove_repeats(rows, 20, keep_text=True)
     got = sorted((str(r.doc_id), r.text) for r in out.collect())
-    assert got == [("3", ""), ("3", ""), ("4", "xyz"), ("None", "")] and out.columns == ["doc_id", "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert got == [("3", ""), ("3", ""), ("4", "xyz"), ("None", "")] and out.columns == ["doc_id", "text", "chunk", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
+def test_unlinked_sets_of_one_cluster(spark, monkeypatch):
+    """Shuffled templates share many first n-grams, yet none link: sets visit blocks, and brute force agrees."""
+    monkeypatch.setattr(ngramjoin, "BLOCK", 32)
+    r = random.Random(5)
+    parts = [" ".join("".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(12)) for _ in range(40)]
+    docs = [(i, " ".join(r.sample(parts, 12))) for i in range(200)]
+    docs += [(1000 + i, docs[i][1] + " and one word more") for i in range(0, 200, 9)]
+    got = {x.doc_id: (x.doc_id, x.n_shingles, x.component_id) for x in ngramjoin.jaccard_components(frame(spark, docs)).collect()}
+    want = components(docs, 4, 85, 100)
+    assert [got[i] for i, _ in docs] == want and sum(i != c for i, _, c in want) == 23
+
+
+@pytest.mark.parametrize("n", [10, 11, 13])
+def test_regular_words_differ(spark, n):
+    """Thue-Morse words and their complements, which polynomials modulo 2**64 can't tell apart, neither link nor repeat."""
+    word = "a"
+    while len(word) < 1 << n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = [(1, word), (2, other), (3, word[:300] + " x"), (4, other[:300] + " y")]
+    got = {r.doc_id: r.component_id for r in ngramjoin.jaccard_components(frame(spark, docs), 1).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+    out = {r.doc_id: r for r in suffixdedup.remove_repeats(frame(spark, docs), 200).collect()}
+    for (i, t), gone in zip(docs, repeats([t for _, t in docs], 200), strict=True):
+        assert out[i].n_removed == sum(gone)
+
+
+def test_repeated_rows_in_one_group(spark):
+    """Equal rows are counted once and come back as often as they were there."""
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = [(1, text)] * 50 + [(2, text + " more")] + [(3, "short")] * 20
+    got = sorted((r.doc_id, r.component_id) for r in ngramjoin.jaccard_components(frame(spark, docs)).collect())
+    assert got == [(1, 1)] * 50 + [(2, 1)] + [(3, 3)] * 20
+    out = [(r.doc_id, r.n_removed) for r in suffixdedup.remove_repeats(frame(spark, docs[:51]), 200).collect()]
+    assert sorted(out) == [(1, len(text))] * 50 + [(2, len(text))]
+
+
+def test_long_document(spark):
+    """A text of several slices is cut for the work and comes out whole."""
+    r = random.Random(9)
+    passage = " ".join(str(r.random()) for _ in range(30))
+    long = " ".join(str(r.random()) for _ in range(150_000))
+    long = long[:1_048_500] + passage + long[1_048_500:] + passage
+    (a, b) = sorted(suffixdedup.remove_repeats(frame(spark, [(1, long), (2, "before " + passage)]), 200).collect())
+    assert (a.n_bytes, a.n_spans) == (len(long), 2) and b.n_spans == 1 and 2 * len(passage) <= a.n_removed <= 2 * len(passage) + 8
+    left = {x.doc_id: x.n_shingles for x in ngramjoin.jaccard_components(frame(spark, [(1, long), (2, long + " end")])).collect()}
+    assert left == {1: len(shingles(long, 4)), 2: len(shingles(long + " end", 4))}
