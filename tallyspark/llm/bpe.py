@@ -1,8 +1,9 @@
 """BPE encoding and decoding by a bounded-lookahead streaming transducer.
 
-Encoding.  A text is normalised, cut into words, and each word's bytes run through ``Transducer``, which may be fed in
-pieces of any size.  It holds a window of symbols; tokens that end at least ``lookahead`` symbols before the window's
-end can no longer change and are emitted, so memory stays constant however long a word is.
+Encoding.  A text is read in parts that end with white space, which separates words and belongs to none; a part is
+normalised and cut into words, and each word's bytes run through ``Transducer``, which may be fed in pieces of any size.
+It holds a window of symbols; tokens that end at least ``lookahead`` symbols before the window's end can no longer change
+and are emitted, so memory stays constant however long a text or a word is.  Tokens of recent short words are kept.
 
 Sufficient lookahead.  Let a string be cut off at some place, and the rest arrive later.  Merges happen in the order of
 the merge list.  Up to some merge both processes (with and without the rest) agree left of a boundary.  The boundary only
@@ -11,8 +12,8 @@ it moves over x, and at the new boundary begins xy in the one process and x in t
 pass over the merge list in its order keeps, for each token, the furthest that the boundary can have moved when that
 token begins there.  The largest value plus the longest token bounds how far what is still to come can reach back.
 
-Decoding.  ``Decoder`` turns ids into pieces, and ``ByteText`` is a state machine from bytes to text that holds at most an
-incomplete character between calls.
+Decoding.  Ids become the bytes of their pieces, and ``ByteText`` is a state machine from bytes to text that holds at most
+an incomplete character between calls.  ``encode_documents`` digests ids and decoded text part by part.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
-WINDOW = 4096
+WINDOW = 512
+#: Characters of a text that are read at a time.
+PART = 1 << 16
 CACHED_WORDS = 300_000
 CACHED_LENGTH = 64
 
@@ -151,6 +154,7 @@ class WordBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for piece, i in self.special.items():
             self.pieces[i] = piece
+        self.piece_bytes = [p.encode() for p in self.pieces]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {m: r for r, m in enumerate(merges)}
         suffix = len(self.suffix)
@@ -167,11 +171,6 @@ class WordBPE:
 
     def _tokens(self, word: str) -> Iterator[str]:
         data = word.encode()
-        if len(data) <= WINDOW:
-            symbols = [self.symbols[b] for b in data]
-            symbols[-1] += self.suffix
-            yield from apply_merges(symbols, self.ranks)
-            return
         machine = Transducer(self.ranks, self.lookahead, length=self.length)
         yield from machine.feed(self.symbols[b] for b in data[:-1])
         yield from machine.feed([self.symbols[data[-1]] + self.suffix])
@@ -197,7 +196,8 @@ class WordBPE:
 
     def decode(self, ids: Iterable[int]) -> str:
         """The pieces joined by a space, special tokens included, as a file without a decoder says."""
-        return " ".join(map(self.pieces.__getitem__, ids))
+        machine = Decoder(self)
+        return machine.feed(ids) + machine.finish()
 
     def to_text(self, ids: Iterable[int]) -> Iterator[str]:
         """Readable text, bit by bit: bytes of the pieces through the state machine, a space for each end of a word."""
@@ -213,6 +213,39 @@ class WordBPE:
         yield machine.finish()
 
 
+class Decoder:
+    """Ids in, bit by bit, the text of ``WordBPE.decode`` out: the bytes of pieces and of the spaces between them run through ``ByteText``."""
+
+    def __init__(self, model: WordBPE):
+        self.data = model.piece_bytes
+        self.machine, self.begun = ByteText(), False
+
+    def feed(self, ids: Iterable[int]) -> str:
+        data = b" ".join(map(self.data.__getitem__, ids))
+        if not data:
+            return ""
+        lead, self.begun = b" " * self.begun, True
+        return self.machine.feed(lead + data)
+
+    def finish(self) -> str:
+        return self.machine.finish()
+
+
+def parts(text: str, size: int = PART) -> Iterator[str]:
+    """A text in parts of about ``size`` characters that end with a space or a line's end; a longer word stands whole."""
+    start = 0
+    while len(text) - start > size:
+        end = max(text.rfind(" ", start, start + size), text.rfind("\n", start, start + size)) + 1
+        if not end:
+            ahead = [k for k in (text.find(" ", start + size), text.find("\n", start + size)) if k >= 0]
+            if not ahead:
+                break
+            end = min(ahead) + 1
+        yield text[start:end]
+        start = end
+    yield text[start:] if start else text
+
+
 _models: dict[str, WordBPE] = {}
 
 
@@ -244,12 +277,20 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
                 part = batch.slice(at, 256)
                 n, digest, decoded, kept = [], [], [], []
                 for value in part.column(len(others)).to_pylist():
-                    found = model.encode(value) if value else []
-                    n.append(len(found))
-                    digest.append(hashlib.sha256(" ".join(map(str, found)).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(model.decode(found).encode()).hexdigest())
-                    if ids:
-                        kept.append(found)
+                    total, found, machine, sums = 0, [], Decoder(model), (hashlib.sha256(), hashlib.sha256())
+                    for piece in parts(value or ""):
+                        some = model.encode(piece)
+                        if some:
+                            sums[0].update((" " * (total > 0) + " ".join(map(str, some))).encode())
+                            sums[1].update(machine.feed(some).encode())
+                        total += len(some)
+                        if ids:
+                            found += some
+                    sums[1].update(machine.finish().encode())
+                    n.append(total)
+                    digest.append(sums[0].hexdigest())
+                    decoded.append(sums[1].hexdigest())
+                    kept.append(found)
                 columns = [pa.array(n, pa.int64()), pa.array(digest), pa.array(decoded), *[pa.array(kept, pa.list_(pa.int32()))] * ids]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(others))), *columns], names=[*others, *own])
 
@@ -257,4 +298,5 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
 
 
 def op3_bpe_encoding(spark, sf_dir: str) -> DataFrame:
-    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), ids=False)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return encode_documents(docs, ids=False)

@@ -114,8 +114,22 @@ def test_bpe_is_the_library(model, library):
     assert "".join(model.to_text(model.encode("Héllo wörld"))) == "héllo wörld "
 
 
+def test_bpe_in_parts(model, library):
+    """A text of several parts, and one word of several windows, come out as the library gives them whole."""
+    letters = random.Random(4)
+    for t in ("x y\n" * 40_000 + "<|endoftext|>é é end", "".join(letters.choice("etaoinshr") for _ in range(100_000)), " " * 200_000 + "a", "no" * 70_000 + " don't"):
+        ids, decoder, out = [], bpe.Decoder(model), ""
+        for part in bpe.parts(t):
+            some = model.encode(part)
+            ids += some
+            out += decoder.feed(some)
+        want = library.encode(t, add_special_tokens=False).ids
+        assert ids == want and out + decoder.finish() == library.decode(want, skip_special_tokens=False)
+    assert "".join(bpe.parts("ab cd\nef", 3)) == "ab cd\nef" and list(bpe.parts("ab cd\nef", 3)) == ["ab ", "cd\n", "ef"]
+
+
 def test_encode_documents(spark, model):
-    values = [*HARD, None]
+    values = [*HARD, None, "many words " * 20_000]
     for r in bpe.encode_documents(frame(spark, values)).collect():
         ids = model.encode(values[r.doc_id] or "")
         assert r.ids == ids and r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(model.decode(ids).encode()).hexdigest() and r.piece == "own"
