@@ -8,14 +8,16 @@ of a ``select`` the chosen options.  Texts of buttons and text fields count as s
 
 *Layout.*  White space collapses but in ``pre`` and the like.  Paragraphs, headings, lists, tables and quotations stand
 between blank lines, other blocks on lines of their own.  List items carry their bullet or number and are indented by
-depth.  Table cells stand in columns, padded to the widest cell of a column (columns wider than ``WIDE`` aren't padded);
-column and row spans are kept, and cells with several lines are laid out side by side.
+depth.  Table cells stand in columns, padded to the widest cell of a column; lines longer than ``WIDE`` are wrapped where
+another column follows.  Column and row spans are kept, and cells with several lines are laid out side by side.  A table
+whose padding would take more than ``PADDING`` characters and 16 to each of its text stands unpadded.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,15 +28,16 @@ from .exchange import fewer_splits
 
 WIDE = 60
 MOST_SPAN = 1000
+PADDING = 1 << 20
 #: Deeper elements become siblings, as in browsers; it bounds the recursion.
-DEEPEST = 150
+DEEPEST = 512
 
 # Element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes noscript".split())
 ESCAPABLE = frozenset("textarea title".split())
 HIDDEN_TAGS = frozenset("head script style template noscript iframe noembed noframes title meta link base datalist area param source track audio video canvas object svg math map rp".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre figure table hr fieldset form listing xmp".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir blockquote pre figure table hr fieldset form listing plaintext xmp".split())
 LINES = frozenset("address article aside body caption center dd details dialog div dt fieldset figcaption footer header hgroup html legend li main nav optgroup option search section summary tbody td tfoot th thead tr".split())
 BLOCKS = SPACED | LINES
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u span".split())
@@ -169,6 +172,10 @@ def parse(source: str) -> Node:
             name = name.lower()
             inner = m["attributes"]
             builder.start(name, _attributes(inner) if inner and not inner.isspace() else {})
+            if name == "plaintext":  # nothing ends it
+                if at < len(source):
+                    builder.text(source[at:])
+                return builder.root
             if name in RAW or name in ESCAPABLE:
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
                 data = source[at : close.start() if close else len(source)]
@@ -268,6 +275,42 @@ def _whole(value: str | None, default: int) -> int:
     return int(m[1]) if m else default
 
 
+def _wrapped(line: str) -> list[str]:
+    """A line cut at spaces into lines of ``WIDE`` characters; a longer word stands whole."""
+    out, current = [], ""
+    for word in line.split(" "):
+        if current and len(current) + 1 + len(word) > WIDE:
+            out.append(current)
+            current = word
+        else:
+            current = f"{current} {word}" if current else word
+    return [*out, current]
+
+
+def _laid_out(grid: list[dict[int, list[str]]]) -> list[str]:
+    """Rows of cells (lines by column) as lines with aligned columns; columns without text are left out."""
+    used = sorted({k for cells in grid for k, lines in cells.items() if any(lines)})
+    place = {k: i for i, k in enumerate(used)}
+    rows = [{place[k]: lines for k, lines in cells.items() if k in place} for cells in grid]
+    rows = [{i: [x for line in lines for x in (_wrapped(line) if len(line) > WIDE and i < len(used) - 1 else [line])] for i, lines in cells.items()} for cells in rows]
+    width = [0] * len(used)
+    for cells in rows:
+        for i, lines in cells.items():
+            width[i] = max(width[i], max(map(len, lines), default=0))
+    ends = [0]
+    for w in width:
+        ends.append(ends[-1] + w + 2)
+    text = sum(len(x) for cells in rows for lines in cells.values() for x in lines)
+    padded = sum(ends[max(cells)] * max(map(len, cells.values())) for cells in rows if cells)
+    aligned, out = padded <= PADDING + 16 * text, []
+    for cells in rows:
+        columns = range(max(cells, default=-1) + 1) if aligned else sorted(cells)
+        for n in range(max(map(len, cells.values()), default=0)):
+            parts = [(cells[i][n] if i in cells and n < len(cells[i]) else "").ljust(width[i] if aligned else 0) for i in columns]
+            out.append("  ".join(parts).rstrip(" "))
+    return out
+
+
 class Renderer:
     def lines(self, nodes: list, pre: bool = False, seen: bool = True, depth: int = 0) -> list[str]:
         out = _Lines()
@@ -324,7 +367,7 @@ class Renderer:
             self._list(node, out, pre, seen, depth)
         elif tag == "table":
             self._table(node, out, pre, seen, depth)
-        elif tag in ("pre", "listing", "xmp"):
+        elif tag in ("pre", "listing", "plaintext", "xmp"):
             children = node.children
             if children and isinstance(children[0], str) and children[0].startswith("\n"):
                 children = [children[0][1:], *children[1:]]
@@ -410,42 +453,32 @@ class Renderer:
                 before.append(child)
         rows = sections["thead"] + sections["tbody"] + sections["tfoot"]
         lead = self.lines(before, pre, seen, depth)  # the caption, and what was misplaced in the table
-        grid: list[list[list[str]]] = []
-        taken: dict[tuple[int, int], bool] = {}
+        grid: list[dict[int, list[str]]] = []
+        taken: list[tuple[int, int, int]] = []  # columns from, to, and the row until which they are taken
         for r, row in enumerate(rows):
-            cells: list[list[str]] = []
+            cells: dict[int, list[str]] = {}
             grid.append(cells)
-            column = 0
+            taken = [t for t in taken if t[2] > r]
+            column, spans, at = 0, [], 0
             for cell in row.children:
                 if isinstance(cell, str) and not cell.strip():
                     continue
                 if isinstance(cell, Node) and self._gone(cell):
                     continue
-                while taken.get((r, column)):
-                    column += 1
-                lines = self.lines([cell], pre, seen, depth)
+                while at < len(taken) and taken[at][0] <= column:
+                    column = max(column, taken[at][1])
+                    at += 1
                 wide = tall = 1
                 if isinstance(cell, Node):
                     wide = min(max(_whole(cell.attributes.get("colspan"), 1), 1), MOST_SPAN)
                     tall = min(max(_whole(cell.attributes.get("rowspan"), 1), 1), len(rows) - r)
-                while len(cells) <= column:
-                    cells.append([])
-                cells[column] = lines
+                cells[column] = self.lines([cell], pre, seen, depth)
                 if tall > 1:
-                    for down in range(1, tall):
-                        for over in range(wide):
-                            taken[r + down, column + over] = True
+                    spans.append((column, column + wide, r + tall))
                 column += wide
-        width: dict[int, int] = {}
-        for cells in grid:
-            for k, lines in enumerate(cells):
-                width[k] = max(width.get(k, 0), max(map(len, lines), default=0))
-        laid: list[str] = []
-        for cells in grid:
-            for line in range(max(map(len, cells), default=0)):
-                text = "  ".join((lines[line] if line < len(lines) else "").ljust(width[k] if width[k] <= WIDE else 0) for k, lines in enumerate(cells) if width[k])
-                laid.append(text.rstrip(" "))
-        self._spaced(out, lead + laid)
+            if spans:
+                taken = sorted(taken + spans)
+        self._spaced(out, lead + _laid_out(grid))
 
     @staticmethod
     def _gone(node: Node) -> bool:
@@ -456,6 +489,7 @@ def render(source: str | None) -> str:
     """The visible text of a page; null or empty gives an empty text."""
     if not source:
         return ""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * DEEPEST))
     lines, out = Renderer().lines(parse(source.replace("\0", "�")).children), []
     for line in lines:
         if line or (out and out[-1]):

@@ -475,3 +475,16 @@ def test_draw_rates_reach_rare_patterns():
     rates = quality.draw_rates(counts, numbers, 8000)
     assert rates[3] == rates[4] == 1 and 7500 < (rates * counts).sum() <= 8000 and rates.min() >= 0.004
     assert (quality.draw_rates(counts, numbers, 1_000_000) == 1).all() and len(quality.draw_rates(np.zeros(0), [np.zeros(0, int)] * 2, 10)) == 0
+
+
+def test_spans_cost_columns_not_cells():
+    source = "<table>" + "<tr><td rowspan=1000 colspan=1000>x" * 2000 + "</table>"
+    assert render(source).count("x") == 2000
+    assert len(render("<table>" + "<tr><td rowspan=9 colspan=9>x" * 30 + "</table>").split("\n")) == 30
+
+
+def test_wide_columns_are_wrapped_and_plaintext_is_text():
+    lines = render("<table><tr><td>" + "word " * 30 + "<td>b<tr><td>c<td>d</table>").split("\n")
+    assert [len(x) for x in lines[:1]] == [62] and lines[0].endswith("  b") and lines[-1] == "c".ljust(61) + "d"
+    assert render("a<plaintext><b>x</b>\n</p>") == "a\n\n<b>x</b>\n</p>"
+    assert render("<div>" * 2000 + "deep" + "</div>" * 2000 + "end") == "deep\nend"
