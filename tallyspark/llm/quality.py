@@ -8,8 +8,8 @@
    doesn't depend on the corpus.  Expectation-maximisation over it estimates how often each labeller votes what on either
    class, and the posterior probability of each pattern.
 3. *Scorer.*  A logistic regression over hashed features (words by density, shapes of words and the labellers' shares by steps) with an L1
-   penalty is trained on the posterior labels of a bounded sample, ``sample`` documents chosen by a hash of their id, in
-   one task; its few non-zero weights score every document.  Half of the sample is drawn from all documents alike, a
+   penalty is trained on the posterior labels of a bounded sample, ``sample`` documents chosen by a hash of id and text, in
+   one task that holds their features; its few non-zero weights score every document.  Half of the sample is drawn from all documents alike, a
    quarter evenly from the vote patterns of either question, so what is rare in the corpus isn't rare in the sample.
    Documents weigh by the inverse of their rate, but those that the posterior calls bad at least as much as in a draw
    from all alike, and where they make up less than ``FLOOR`` they are raised to it (by ``RAISE`` at most): the penalty
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -326,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    base = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    base = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("key", "text"))
     if labels is None:
         labels = base.select("key", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).limit(0)
     else:
@@ -340,11 +341,11 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
             for a, b, part in _each(batch.column(1)):
                 both = np.concatenate([quality_votes(part), toxicity_votes(part, lexicon)], axis=1)
                 code = both @ 3 ** np.arange(both.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(code.astype(np.int64))], names=["key", "votes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(code.astype(np.int64))], names=["key", "row", "votes"])
 
     width = len(QUALITY) + len(TOXICITY) - 2
     given = F.coalesce(F.col("quality").cast("long"), F.lit(NONE)) * 3 + F.coalesce(1 - F.col("toxic").cast("long"), F.lit(NONE))
-    votes = base.mapInArrow(vote, f"key {kind}, votes long").join(labels, "key", "left").select("key", (F.col("votes") * 9 + given).alias("votes"))
+    votes = base.mapInArrow(vote, f"key {kind}, row long, votes long").join(labels, "key", "left").select("row", (F.col("votes") * 9 + given).alias("votes"))
     votes = settle(votes, folder, "votes", None)
     patterns = votes.groupBy("votes").count().collect()  # at most 3 ** (labellers) rows
     codes = np.array([r[0] for r in patterns], np.int64)
@@ -359,26 +360,38 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
     even = min(1.0, sample / max(counts.sum(), 1))
 
     limits = spark.createDataFrame(pa.table({"votes": codes, "below": np.ceil(rates * (1 << 30)).astype(np.int64)}))  # a row for each pattern
-    chosen = votes.join(F.broadcast(limits), "votes").where(F.pmod(F.xxhash64(F.lit(11), F.col("key")), F.lit(1 << 30)) < F.col("below")).select("key", "votes")
+    drawn = F.pmod(F.xxhash64(F.lit(11), F.col("row")), F.lit(1 << 30)) < F.col("below")
+    chosen = votes.join(F.broadcast(limits), "votes").where(drawn).groupBy("row", "votes").agg(F.count("*").alias("copies"))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Features of the drawn documents, so that the one task that trains holds no texts."""
+        for batch in batches:
+            for a, b, part in _each(batch.column(0)):
+                doc, feature, value = _features(part)
+                order = np.argsort(doc, kind="stable")
+                at = pa.array(np.searchsorted(doc[order], np.arange(part.n + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at, pa.array(x[order].astype(t))) for x, t in ((feature, np.int32), (value, np.float32))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (1, 2, 3)), *lists], names=["row", "votes", "copies", "features", "values"])
 
     def train(table: pa.Table) -> pa.Table:
-        at = np.searchsorted(codes, table["votes"].to_numpy())
-        order = np.argsort(table["key"].combine_chunks().cast(pa.string()).fill_null("").to_numpy(zero_copy_only=False), kind="stable")
-        table, at = table.take(pa.array(order)), at[order]
-        parts = [((d + a).astype(np.int32), f.astype(np.int32), v.astype(np.float32)) for a, _, part in _each(table["text"]) for d, f, v in [_features(part)]]
-        doc, feature, value = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
+        table = table.sort_by([("row", "ascending"), ("votes", "ascending")])
+        at, copies = np.searchsorted(codes, table["votes"].to_numpy()), table["copies"].to_numpy()
+        sizes = pc.list_value_length(table["features"]).to_numpy()
+        doc = np.repeat(np.arange(table.num_rows, dtype=np.int32), sizes)
+        feature, value = (pc.list_flatten(table[c]).to_numpy() for c in ("features", "values"))
         model = []
         for post in posts:
             weight = 1 / np.where(post < 0.5, np.minimum(rates, even), rates)
-            weight, bad = weight[at], post[at] < 0.5
+            weight, bad = weight[at] * copies, post[at] < 0.5
             if 0 < (rare := weight[bad].sum()) < FLOOR * weight.sum():
                 weight[bad] *= min(RAISE, FLOOR / (1 - FLOOR) * weight[~bad].sum() / rare)
             names, weights, bias = train_scorer(doc, feature, value, post[at], weight=weight)
             model.append({"features": names.tolist(), "weights": weights.tolist(), "bias": bias})
         return pa.table({"model": [json.dumps(model)]})
 
-    rows = base.join(F.broadcast(chosen), "key")  # at most about `sample` rows
+    # at most about `sample` rows; equal ones are one with a count
+    rows = base.join(F.broadcast(chosen), "row").groupBy("row", "votes", "copies").agg(F.first("text").alias("text")).select("text", "row", "votes", "copies")
+    rows = rows.mapInArrow(gather, "row long, votes long, copies long, features array<int>, values array<float>")
     found = rows.groupBy(F.lit(0).alias("one")).applyInArrow(train, "model string").first()
     return [(np.array(m["features"], np.int64), np.array(m["weights"]), m["bias"]) for m in (json.loads(found[0]) if found else [{"features": [], "weights": [], "bias": 0.0}] * 2)]
 
