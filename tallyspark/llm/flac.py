@@ -187,10 +187,17 @@ def encode_streams(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     number = np.arange(len(doc)) - np.repeat(np.cumsum(frames) - frames, frames)
     begin = offsets[doc] + number * BLOCK
     length = np.minimum(BLOCK, offsets[doc + 1] - begin)
-    at = np.minimum(begin[:, None] + np.arange(BLOCK), len(data) - 1)
-    samples = np.where(np.arange(BLOCK) < length[:, None], data[at].astype(np.int32) - 128, 0)
-    coded, at = encode_frames(samples, length, number)
-    signed = (data ^ 0x80).tobytes()
+    done, spans = [np.zeros(0, np.uint8)], [np.zeros(1, np.int64)]
+    for k in range(0, len(doc), BATCH // BLOCK):  # a batch of frames at a time, however long a stream is
+        here = slice(k, k + BATCH // BLOCK)
+        at = np.minimum(begin[here, None] + np.arange(BLOCK), len(data) - 1)
+        samples = np.where(np.arange(BLOCK) < length[here, None], data[at].astype(np.int32) - 128, 0)
+        coded, at = encode_frames(samples, length[here], number[here])
+        done.append(coded[: at[-1]])
+        spans.append(np.diff(at))
+    coded, at = np.concatenate(done), np.cumsum(np.concatenate(spans))
+    del done
+    signed = memoryview(data ^ 0x80)
     out, f = [], 0
     for i, n in enumerate(frames.tolist()):
         here = at[f : f + n + 1]
@@ -401,8 +408,8 @@ def decode_streams(media: list[bytes]) -> list[list[tuple[int, bytes]]]:
     data = np.frombuffer(b"".join(media), np.uint8)
     out: list[list[tuple[int, bytes]]] = [[] for _ in media]
 
-    def run(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-        samples, sizes, number, ends = decode_frames(data, at, np.array([streams[d].bits for d in doc]), np.array([streams[d].block for d in doc]))
+    def run(doc: np.ndarray, at: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
+        samples, sizes, number, ends = decode_frames(data[first:last], at - first, np.array([streams[d].bits for d in doc]), np.array([streams[d].block for d in doc]))
         narrow = (samples + 128).astype(np.uint8)
         for r, d in enumerate(doc.tolist()):
             n = int(sizes[r])
@@ -413,7 +420,9 @@ def decode_streams(media: list[bytes]) -> list[list[tuple[int, bytes]]]:
     if whole:
         doc = np.concatenate([np.full(len(streams[d].points), d) for d in whole])
         at = np.concatenate([base[d] + streams[d].first + streams[d].points[:, 1] for d in whole])
-        run(doc, at)
+        for k in range(0, len(doc), BATCH // BLOCK):  # a batch of frames and the bytes that hold it
+            j = min(k + BATCH // BLOCK, len(doc))
+            run(doc[k:j], at[k:j], int(at[k]), int(base[doc[j - 1] + 1] if j == len(doc) or doc[j] != doc[j - 1] else at[j]))
     place = {d: int(base[d]) + s.first for d, s in enumerate(streams) if d not in set(whole)}
     while place := {d: p for d, p in place.items() if p < base[d + 1]}:
         doc = np.array(list(place))
@@ -444,7 +453,8 @@ def _payloads(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.diff(offsets)
     padded = np.concatenate([[0], np.cumsum(np.maximum(-(-sizes // 64) * 64, 64))])
     out = np.zeros(int(padded[-1]), np.uint8)
-    out[np.arange(len(data)) + np.repeat(padded[:-1] - offsets[:-1], sizes)] = data
+    for i, j, to in zip(offsets[:-1].tolist(), offsets[1:].tolist(), padded[:-1].tolist(), strict=True):
+        out[to : to + j - i] = data[i:j]
     return out, padded, sizes
 
 
@@ -489,9 +499,14 @@ def decode_column(media: DataFrame, column: str = "media") -> DataFrame:
 
 def feature(pcm: bytes) -> str:
     """Number of samples, their sum and energy around the middle, sign changes and peak."""
-    x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
-    changes = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"samples={len(x)};sum={int(x.sum())};energy={int((x * x).sum())};crossings={changes};peak={int(np.abs(x).max(initial=0))}"
+    data = np.frombuffer(pcm, np.uint8)
+    total = energy = changes = peak = 0
+    for k in range(0, len(data), BATCH):
+        x = data[max(k - 1, 0) : k + BATCH].astype(np.int64) - 128  # one sample of the last part, for its sign
+        changes += int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+        x = x[1:] if k else x
+        total, energy, peak = total + int(x.sum()), energy + int((x * x).sum()), max(peak, int(np.abs(x).max(initial=0)))
+    return f"samples={len(data)};sum={total};energy={energy};crossings={changes};peak={peak}"
 
 
 def stored_features(media: DataFrame) -> DataFrame:

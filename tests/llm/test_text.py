@@ -286,6 +286,20 @@ def test_flac_roundtrip_and_seek():
         assert flac.read_samples(media[i], 30, 1100) == want[30:1130]
 
 
+def test_flac_of_a_long_text():
+    """A stream of several batches of frames, among short ones, is read back byte for byte."""
+    r = np.random.default_rng(3)
+    long = bytes(r.integers(97, 123, 2_500_000, np.uint8)).decode()
+    values = ["a", long, "", "b" * 3000]
+    data, offsets, _ = payloads(values)
+    for i, blocks in enumerate(flac.decode_streams(media := flac.encode_streams(data, offsets))):
+        pcm = b"".join(x for _, x in blocks)
+        assert pcm == data[offsets[i] : offsets[i + 1]].tobytes()
+        x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
+        assert flac.feature(pcm) == f"samples={len(x)};sum={x.sum()};energy={(x * x).sum()};crossings={np.count_nonzero((x[1:] < 0) != (x[:-1] < 0))};peak={np.abs(x).max()}"
+    assert flac.read_samples(media[1], 2_000_000, 100) == long[2_000_000:2_000_100].encode()
+
+
 def test_flac_without_seek_table_and_damage():
     data, offsets, _ = payloads(["hello " * 600, "x"])
     media = flac.encode_streams(data, offsets)
