@@ -65,7 +65,7 @@ def _count(keys: np.ndarray, part: np.ndarray, copies: np.ndarray) -> tuple[np.n
 
 def bucket(count: np.ndarray) -> np.ndarray:
     """0 for an unseen context, else 1 plus the whole binary logarithm of its frequency."""
-    return np.minimum(np.frexp(count.astype(np.float64))[1], BUCKETS - 1)
+    return np.minimum(np.frexp(count.astype(np.float64))[1].astype(np.int64), BUCKETS - 1)
 
 
 def learn_weights(bucket_of: np.ndarray, pair: np.ndarray, word: np.ndarray, weight: np.ndarray, uniform: float, rounds: int = 100) -> tuple[np.ndarray, float]:

@@ -79,6 +79,62 @@ def test_lm_scoring(spark):
     assert lmscore.score_documents(frame(spark, values).limit(0)).count() == 0
 
 
+def test_lm_score_by_brute_force(spark):
+    """The score of every text from counts in dictionaries, with the weights of an EM written out token by token."""
+    values = [*chained(120, 8), *texts()[50:], chained(1, 8)[0]]
+    docs = frame(spark, values)
+    parts = {r.doc_id: 2 if zlib.crc32(str(r.doc_id).encode()) % 7 == 2 else int(r.h % 8 == 0) for r in docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect()}
+    tokens = {i: [*words(t), None] for i, t in enumerate(values)}
+    tables = []
+    for kinds in ((0,), (0, 1)):  # what the estimates for EM come from, and all training texts
+        word = Counter(w for i, t in tokens.items() if parts[i] in kinds for w in t)
+        pair = Counter((h, w) for i, t in tokens.items() if parts[i] in kinds for h, w in zip([None, *t], t, strict=False))
+        tables.append((word, pair, sum(word.values())))
+    word, pair, n = tables[0]
+    log2 = lambda x: int(x).bit_length()
+    octave = lambda x: math.floor(4 * math.log2(x)) if x > 0 else 1
+    cells = defaultdict(lambda: [0, 0.0, 0.0])
+    for i, t in tokens.items():
+        for h, w in zip([None, *t], t, strict=False) if parts[i] == 1 else []:
+            f2, f1 = pair[h, w] / max(word[h], 1), word[w] / n
+            cell = cells[log2(word[h]), octave(f2), octave(f1)]
+            cell[0], cell[1], cell[2] = cell[0] + 1, cell[1] + f2, cell[2] + f1
+    a, low, uniform = defaultdict(lambda: 0.5), 0.9, 1 / (len(word) + 1)
+    before = -math.inf
+    for _ in range(100):
+        high, seen, left, rest, now = Counter(), Counter(), 0.0, 0.0, 0.0
+        for (b, _, _), (count, f2, f1) in cells.items():
+            f2, f1 = f2 / count, f1 / count
+            lower = low * f1 + (1 - low) * uniform
+            total = a[b] * f2 + (1 - a[b]) * lower
+            share = a[b] * f2 / total
+            high[b], seen[b] = high[b] + count * share, seen[b] + count
+            left, rest = left + count * (1 - share) * low * f1 / lower, rest + count * (1 - share)
+            now += count * math.log(total)
+        a.update({b: min(high[b] / seen[b], 1 - 1e-6) for b in seen} | {0: 0.0})
+        low = min(max(left / rest, 1e-6), 1 - 1e-6)
+        if now - before < 1e-7 * abs(now):
+            break
+        before = now
+    word, pair, n = tables[1]
+    for r in lmscore.score_documents(docs).collect():
+        t = tokens[r.doc_id]
+        want = 0.0
+        for h, w in zip([None, *t], t, strict=False):
+            weight = a[log2(word[h])]
+            want += math.log10(weight * pair[h, w] / max(word[h], 1) + (1 - weight) * (low * word[w] / n + (1 - low) / (len(word) + 1)))
+        assert math.isclose(r.score, want, rel_tol=1e-6), r.doc_id
+
+
+def test_lm_repeated_rows_count(spark):
+    """Equal rows are worked on once, and count as often as they are there."""
+    rows = [(1, "a b a"), (1, "a b a"), (1, "a b a"), (2, "c"), (None, "a"), (None, None)]
+    got = lmscore.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), held_out=F.lit(False)).collect()
+    assert len(got) == 6 and {r.train_tokens for r in got} == {12 + 2 + 2 + 1} and len({r.score for r in got if r.doc_id == 1}) == 1
+    none = {r.n_known for r in got if r.doc_id is None}
+    assert none == {2, 1}
+
+
 def test_lm_probabilities_sum_to_one_and_em_improves():
     r = np.random.default_rng(0)
     bucket, pair, word, weight = r.integers(0, 5, 500), r.random(500) * 0.5, r.random(500) * 0.1, r.random(500)
@@ -440,6 +496,33 @@ def test_weak_labels_find_the_accurate_labellers():
     assert np.allclose(accuracy, [0.95, 0.9, 0.7, 0.85], atol=0.06)
 
 
+def test_posteriors_by_brute_force():
+    """The posterior of each pattern of votes is Bayes' rule with the rates that EM estimated from these posteriors."""
+    r = np.random.default_rng(1)
+    truth = r.random(4000) < 0.8
+    votes = np.stack([np.where(r.random(4000) < 0.3, 2, np.where(r.random(4000) < p, truth, ~truth).astype(int)) for p in (0.9, 0.8, 0.7)], axis=1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    post, rates = quality.weak_labels(patterns, counts.astype(float))
+    good = sum(c * p for c, p in zip(counts, post, strict=True))
+    prior = (good + 1) / (counts.sum() + 2)
+    for pattern, p in zip(patterns.tolist(), post.tolist(), strict=True):
+        x, y = prior, 1 - prior
+        for k, v in enumerate(pattern):
+            x, y = x * rates[k, 1, v], y * rates[k, 0, v]
+        assert math.isclose(p, x / (x + y), rel_tol=1e-3, abs_tol=1e-6)
+    # voters that agree with the truth more often are believed more
+    assert rates[0, 1, 1] > rates[1, 1, 1] > rates[2, 1, 1]
+
+
+def test_classifier_takes_repeated_and_null_keys(spark):
+    rows = [(1, "good plain words stand here in a row " * 4)] * 60 + [(None, "@@@ ### $$$ " * 30)] * 40 + [(k, f"some other plain text number {k} goes on " * 3) for k in range(2, 60)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, votes string, row string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 0, 0), (5, None, 1)], "doc_id long, quality int, toxic int")
+    out = quality.classify(docs, quality.fit(docs, labels, sample=50)).collect()
+    assert len(out) == len(rows) and len({r.quality_score for r in out if r.doc_id == 1}) == 1
+    assert quality.keep_good(docs, quality.fit(docs, labels)).columns == docs.columns
+
+
 def test_classifier_on_held_out_labels(spark):
     data = Path("/root/testdata/sf0.1")
     if not data.exists():
