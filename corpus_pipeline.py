@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import linededup, ngramjoin, packing, quality, suffixdedup
-from tallyspark.llm.exchange import few_files, release, shared_dir
+from tallyspark.llm.exchange import few_files, fewer_splits, release, shared_dir
 from tallyspark.session import prepare
 
 
@@ -17,13 +17,13 @@ def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
     """The columns of ``docs`` with the number of characters brought up to date."""
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return few_files(out.select(*docs.columns))
+    return out.select(*docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of some quality and without abuse; those without words stay."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return few_files(quality.keep_good(docs, model))
+    return fewer_splits(quality.keep_good(docs, model), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of five-word shingles at 0.8 connect: that with the smallest id."""
-    return few_files(ngramjoin.keep_one(docs))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return few_files(ngramjoin.keep_one(docs), int(size))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
