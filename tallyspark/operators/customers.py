@@ -101,15 +101,39 @@ def page(rows: DataFrame, limit: int = 100, after: str | None = None, segment: s
     return found.orderBy("customer_id").limit(limit).crossJoin(F.broadcast(more))
 
 
-def samples(facts: DataFrame, observation: date, history_days: int, horizon_days: int) -> DataFrame:
-    """Features at an observation date, labelled 1.0 if the customer buys within the horizon from that date on.
+def samples_at(facts: DataFrame, dates: list[date], history_days: int, horizon_days: int) -> DataFrame:
+    """Features at each observation date, labelled 1.0 if the customer buys within the horizon from that date on.
 
-    Features only see what was before the date, so the future changes labels alone.
+    Features only see what was before the date, so the future changes labels alone.  One pass over the facts serves all
+    dates: a fact is repeated for the dates that it is the past or the near future of.
     """
-    ahead = in_window(facts, observation, observation + timedelta(days=horizon_days)).where(F.col("disposition") == PURCHASE)
-    buyers = ahead.select("customer_id").distinct().withColumn("bought", F.lit(1.0))
-    joined = features(facts, observation, history_days).join(buyers, "customer_id", "left")
-    return joined.select(*[c for c in joined.columns if c != "bought"], F.lit(observation.isoformat()).alias("observation"), F.coalesce("bought", F.lit(0.0)).alias("label"))
+    if not 1 <= history_days <= 366:
+        raise ValueError("window-days must be 1 to 366")
+    bought, time = F.col("disposition") == PURCHASE, F.col("invoice_time")
+    roles = []
+    for d in sorted(set(dates)):
+        start, end = (d - timedelta(days=history_days)).isoformat(), (d + timedelta(days=horizon_days)).isoformat()
+        past = F.when((time >= start) & (time < d.isoformat()), True).when((time >= d.isoformat()) & (time < end) & bought, False)
+        roles.append(F.struct(F.lit(d.isoformat()).alias("observation"), F.lit(d).alias("day"), past.alias("past")))
+    near = in_window(facts, min(dates) - timedelta(days=history_days), max(dates) + timedelta(days=horizon_days))
+    rows = near.select("customer_id", "invoice_no", "stock_code", "disposition", "invoice_time", "signed_amount", "country", "source_row_id", F.explode(F.filter(F.array(*roles), lambda r: r["past"].isNotNull())).alias("role")).select("*", "role.*").drop("role")
+    mine = F.col("past") & bought
+    when = lambda c: F.when(mine, F.col(c))
+    zero, cancelled = F.lit(0).cast(AMOUNT), F.col("past") & (F.col("disposition") == CANCELLATION)
+    totals = rows.groupBy("customer_id", "observation", "day").agg(
+        F.count_distinct(when("invoice_no")).alias("orders"), F.sum(when("signed_amount")).cast(AMOUNT).alias("purchase_amount"), F.date_diff("day", F.max(when("invoice_time").cast("date"))).alias("recency_days"),
+        F.min(when("invoice_time")).alias("first_purchase"), F.max(when("invoice_time")).alias("last_purchase"), F.coalesce(F.sum(F.when(cancelled, F.col("signed_amount"))).cast(AMOUNT), zero).alias("cancellation_amount"),
+        F.max_by("country", F.when(F.col("past"), F.struct("invoice_time", "source_row_id"))).alias("country"), F.count_if(mine).alias("purchases"), F.max(F.when(F.col("past"), 0.0).otherwise(1.0)).alias("label"),
+    ).where("purchases > 0")
+    spent = rows.where(mine).groupBy("customer_id", "observation", "stock_code").agg(F.sum("signed_amount").alias("amount"))
+    favourite = spent.groupBy("customer_id", "observation").agg(F.min_by("stock_code", F.struct(F.negative("amount"), "stock_code")).alias("preferred_product"))
+    return totals.drop("purchases", "day").join(favourite, ["customer_id", "observation"], "left").select(
+        "customer_id", "orders", "purchase_amount", "recency_days", "first_purchase", "last_purchase", "cancellation_amount", "country", "preferred_product", "observation", "label",
+    )
+
+
+def samples(facts: DataFrame, observation: date, history_days: int, horizon_days: int) -> DataFrame:
+    return samples_at(facts, [observation], history_days, horizon_days)
 
 
 def all_samples(facts: DataFrame, plan: ExperimentPlan, start: date, end: date) -> DataFrame:
@@ -117,11 +141,7 @@ def all_samples(facts: DataFrame, plan: ExperimentPlan, start: date, end: date)
     missing = [d.isoformat() for d in plan.dates() if not plan.available(d, start, end)]
     if missing:
         raise ValueError(f"the data don't cover {', '.join(missing)}")
-    out = None
-    for d in plan.dates():
-        one = samples(facts, d, plan.history_days, plan.horizon_days)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return samples_at(facts, list(plan.dates()), plan.history_days, plan.horizon_days)
 
 
 def label_counts(rows: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..schema import AMOUNT, CANCELLATION, EXCLUDED_DUPLICATE, PURCHASE, QUARANTINED
 
@@ -26,12 +25,14 @@ def classify(raw: DataFrame) -> DataFrame:
 
     The first row of equal content stands for all; of the rest the first rule that is broken is the reason.
     """
-    same = Window.partitionBy("content_hash").orderBy(F.col("source_row").cast("long"))
-    rows = raw.withColumn("occurrence", F.row_number().over(same)).withColumn("first_row_id", F.first("source_row_id").over(same))
+    # repeated contents are few: a narrow aggregate finds them, and rows aren't sorted by content
+    firsts = raw.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min_by("source_row_id", F.col("source_row").cast("long")).alias("first_row_id")).where("copies > 1")
+    firsts = firsts.select(F.col("content_hash").alias("same"), "first_row_id")
+    rows = raw.join(firsts, F.col("content_hash").eqNullSafe(F.col("same")), "left")
     typed = rows.select(
         "source_row_id", F.col("source_row").cast("long").alias("source_row"), "content_hash", *[_text(c).alias(c) for c in ("invoice_no", "stock_code", "description", "customer_id", "country")],
         _number("quantity").alias("exact_quantity"), F.col("quantity").try_cast("long").alias("quantity"), F.col("invoice_time").try_cast("timestamp_ntz").alias("at"), _number("unit_price").alias("unit_price"),
-        "occurrence", "first_row_id",
+        "first_row_id",
     ).withColumn("signed_amount", (F.col("exact_quantity") * F.col("unit_price")).cast(AMOUNT))
     quantity, cancels = F.col("quantity"), is_cancellation()
     rules = (
@@ -43,7 +44,7 @@ def classify(raw: DataFrame) -> DataFrame:
         (~cancels & (quantity < 0), "NEGATIVE_WITHOUT_CANCELLATION"),
     )
     broken = F.coalesce(*[F.when(rule, F.lit(name)) for rule, name in rules])
-    again = F.col("occurrence") > 1
+    again = F.col("first_row_id").isNotNull() & (F.col("source_row_id") != F.col("first_row_id"))
     out = typed.withColumn("broken", broken)
     return out.select(
         "source_row_id", "source_row", "content_hash", "invoice_no", "stock_code", "description", "quantity", F.col("at").cast("string").alias("invoice_time"), F.col("at").cast("date").alias("invoice_date"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import SCORE
+from ..staging import settle
 
 #: Best first; ties by observation, then customer.
 ORDER = (F.desc, "score"), (F.asc, "observation"), (F.asc, "customer_id")
@@ -34,6 +35,7 @@ def contacts(samples: int, fraction: float) -> int:
 
 def top_fraction(scored: DataFrame, fraction: float) -> DataFrame:
     """The best ceil(n * fraction) samples: a distributed top-k, not an order over all rows."""
+    scored = settle(scored)
     return scored.orderBy(*_order()).limit(contacts(scored.count(), fraction))
 
 
@@ -42,6 +44,7 @@ def ranking_metrics(scored: DataFrame, fraction: float) -> DataFrame:
 
     ValueError for no samples, or scores that aren't finite numbers.
     """
+    scored = settle(scored.select("score", "observation", "customer_id", "label"))
     bad = F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf"))
     total = scored.agg(F.count("*").alias("n"), F.count_if(bad).alias("bad")).first()
     if not total["n"] or total["bad"]:
@@ -90,5 +93,7 @@ def coverage(profiles: DataFrame, scores: DataFrame) -> DataFrame:
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """How many rows either side has that the other hasn't, counting repeats."""
-    count = lambda df, side: df.agg(F.lit(side).alias("side"), F.count("*").alias("row_count"))
-    return count(left.exceptAll(right), "only left").unionAll(count(right.exceptAll(left), "only right"))
+    both = left.withColumn("sign", F.lit(1)).unionByName(right.withColumn("sign", F.lit(-1)))
+    more = both.groupBy(*left.columns).agg(F.sum("sign").alias("more"))  # one grouping, combined before the shuffle
+    sides = more.agg(F.coalesce(F.sum(F.greatest("more", F.lit(0))), F.lit(0)).alias("l"), F.coalesce(F.sum(F.greatest(F.negative("more"), F.lit(0))), F.lit(0)).alias("r"))
+    return sides.select(F.inline(F.array(F.struct(F.lit("only left").alias("side"), F.col("l").alias("row_count")), F.struct(F.lit("only right").alias("side"), F.col("r").alias("row_count")))))

@@ -40,6 +40,16 @@ def window_range(rows: DataFrame, dataset: str, start: datetime, end: datetime,
     return found.orderBy("window_start").limit(limit).crossJoin(F.broadcast(more))
 
 
+def last_hour(rows: DataFrame, dataset: str, limit: int = 120) -> DataFrame:
+    """The windows of the hour before the newest window's end, in order, with ``truncated``: one plan, nothing is looked up first."""
+    mine = rows.where(F.col("dataset") == dataset)
+    edge = mine.agg(F.max("window_end").alias("edge"))  # one row
+    near = mine.crossJoin(F.broadcast(edge)).where((F.col("window_start") >= F.col("edge") - F.expr("INTERVAL 1 HOUR")) & (F.col("window_start") < F.col("edge"))).drop("edge")
+    found = newest(near).orderBy("window_start").limit(limit + 1)
+    more = found.agg((F.count("*") > limit).alias("truncated"))  # one row
+    return found.orderBy("window_start").limit(limit).crossJoin(F.broadcast(more))
+
+
 def check_ranking(window_start: datetime, result_version: int, limit: int) -> None:
     if window_start.second or window_start.microsecond:
         raise ValueError("a window starts at a whole minute")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import parse
 from ..operators import customers, ledger, metrics, ranking, snapshots
 from ..schema import CANCELLATION, HIGH_VALUE, PURCHASE
+from ..staging import settle
 from . import adapters
 from .adapters import EVENTS_SQL, LEDGER_SQL
 
@@ -206,9 +207,7 @@ def snapshot_ranking_all(spark, sf_dir):
 
 @query("dashboard_last_hour", f"{_MINUTES}, edge AS (SELECT max(window_end) AS t FROM current) SELECT current.*, FALSE AS truncated FROM current, edge WHERE window_start >= t - INTERVAL 1 hour AND window_start < t ORDER BY window_start LIMIT 120")
 def dashboard_last_hour(spark, sf_dir):
-    rows = _minutes(spark, sf_dir)
-    last = snapshots.latest(rows, DATASET).first()
-    return snapshots.window_range(rows, DATASET, last["window_end"] - (NOON - datetime(2024, 1, 1, 11)), last["window_end"])
+    return snapshots.last_hour(_minutes(spark, sf_dir), DATASET)
 
 
 @query("exact_numbers", f"{EVENTS_SQL}, {_totals_sql('day')} SELECT window_start, window_end, CAST(paid_orders AS VARCHAR) AS paid_orders, CAST(paid_users AS VARCHAR) AS paid_users, CAST(paid_quantity AS VARCHAR) AS paid_quantity, CAST(gmv AS VARCHAR) AS gmv, CAST(refunds AS VARCHAR) AS refunds, CAST(refund_amount AS VARCHAR) AS refund_amount FROM totals")
@@ -220,7 +219,8 @@ def exact_numbers(spark, sf_dir):
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.classify(adapters.ledger_rows(spark, sf_dir))
+    """The raw rows are written once, as a landing is; classification reads them twice, once for two columns of them."""
+    return ledger.classify(settle(adapters.ledger_rows(spark, sf_dir)))
 
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,13 +279,13 @@ def dim_product_latest(spark, sf_dir):
 
 @query("ledger_dimension_join", f"{_DIMS} SELECT count(*) AS fact_rows, count(dim_p.stock_code) AS product_matches, count(dim_c.customer_id) AS customer_matches FROM facts LEFT JOIN dim_p ON facts.stock_code = dim_p.stock_code LEFT JOIN dim_c ON facts.customer_id = dim_c.customer_id")
 def ledger_dimension_join(spark, sf_dir):
-    rows = _facts(spark, sf_dir)
+    rows = settle(_facts(spark, sf_dir).select("stock_code", "description", "customer_id", "country", "invoice_time", "source_row"))
     return ledger.dimension_matches(rows, ledger.products(rows), ledger.customers(rows))
 
 
 @query("dimension_cardinality", f"{_DIMS} SELECT (SELECT count(*) FROM dim_p) AS products, (SELECT count(*) FROM dim_c) AS customers")
 def dimension_cardinality(spark, sf_dir):
-    rows = _facts(spark, sf_dir)
+    rows = settle(_facts(spark, sf_dir).select("stock_code", "description", "customer_id", "country", "invoice_time", "source_row"))
     return ledger.dimension_sizes(ledger.products(rows), ledger.customers(rows))
 
 
@@ -357,9 +357,7 @@ def profile_filter_segment(spark, sf_dir):
 
 @query("profile_detail", f"{_PROFILES}, one AS (SELECT min(customer_id) AS id FROM prof) SELECT prof.*, FALSE AS has_more FROM prof, one WHERE customer_id = id")
 def profile_detail(spark, sf_dir):
-    rows = _profiles(spark, sf_dir)
-    first = rows.agg(F.min("customer_id")).first()[0]
-    return customers.page(rows, 1, customer_id=first)
+    return customers.page(_profiles(spark, sf_dir).orderBy("customer_id").limit(1), 1)
 
 
 # --- samples, ranking metrics and predictions
@@ -379,8 +377,7 @@ def _one_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _facts(spark, sf_dir)
-    return customers.samples(rows, EARLIER, 180, HORIZON).unionByName(customers.samples(rows, OBSERVATION, 180, HORIZON))
+    return customers.samples_at(_facts(spark, sf_dir), [EARLIER, OBSERVATION], 180, HORIZON)
 
 
 query("repurchase_samples", f"{_SAMPLES} SELECT * FROM bsmp")(_one_sample)
@@ -423,11 +420,10 @@ def _scores(rows: DataFrame) -> DataFrame:
 
 @query("prediction_lookup", f"{_PREDICTIONS} SELECT customer_id, 'p1' AS profile_batch, 'b1' AS score_batch, 'm1' AS model_id, score FROM scores WHERE customer_id IN (SELECT min(customer_id) FROM prof)")
 def prediction_lookup(spark, sf_dir):
-    rows = _profiles(spark, sf_dir)
-    first = rows.agg(F.min("customer_id")).first()[0]
+    rows = _profiles(spark, sf_dir).orderBy("customer_id").limit(1)
     heads = spark.createDataFrame([(DATASET, "p1")], "dataset string, profile_batch string")
     batches = spark.createDataFrame([(DATASET, "b1", "p1", "m1")], "dataset string, score_batch string, profile_batch string, model_id string")
-    found = _scores(rows).withColumnRenamed("batch_id", "score_batch").where(F.col("customer_id") == first)
+    found = _scores(rows).withColumnRenamed("batch_id", "score_batch")
     joined = batches.join(heads, ["dataset", "profile_batch"]).join(found, "score_batch")
     return joined.select("customer_id", "profile_batch", "score_batch", "model_id", "score")
 
@@ -440,7 +436,7 @@ def score_coverage_check(spark, sf_dir):
 
 @query("release_equivalence", f"{_DIMS}, a AS (SELECT * EXCLUDE (content_hash) FROM facts), b AS (SELECT * EXCLUDE (content_hash) FROM facts WHERE source_row % 50 <> 0) SELECT 'only left' AS side, count(*) AS row_count FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'only right', count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
 def release_equivalence(spark, sf_dir):
-    rows = _facts(spark, sf_dir)
+    rows = settle(_facts(spark, sf_dir))
     return ranking.differences(rows.drop("content_hash"), rows.where(F.col("source_row") % 50 != 0).drop("content_hash"))
 
 
