@@ -3,28 +3,29 @@
     python -m tallyspark.cli VERB [--work DIR] ARGUMENTS
 
 download URL ENTRY FILE | ingest FILE | build SOURCE_SHA | report RELEASE | plan | version | profile RELEASE OBSERVATION |
-samples RELEASE | train RELEASE | evaluate MODEL | score RELEASE OBSERVATION MODEL | generate COUNT FILE | produce COUNT SERVERS TOPIC
+samples RELEASE | train RELEASE | evaluate MODEL | score RELEASE OBSERVATION MODEL | expire FOLDER DAYS | generate COUNT FILE | produce COUNT SERVERS TOPIC
 """
 
 from __future__ import annotations
 
 import argparse
 import json
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta, timezone
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from .config import ExperimentPlan, GenerationSettings, ProfileBatch, ScoreBatch
-from .operators import customers
+from .operators import customers, snapshots
 from .plans import experiment, publication, serving
+from .plans.folder import Folder
 from .schema import SHEET
 from .session import local_session
 from .sources import events, generator, workbook
 from .streaming.pipeline import code_version
 
 ARGUMENTS = {
-    "download": ["url", "entry", "file"], "ingest": ["file"], "build": ["source"], "report": ["release"], "plan": [], "version": [], "profile": ["release", "observation"], "samples": ["release"], "train": ["release"], "evaluate": ["model"], "score": ["release", "observation", "model"],
+    "download": ["url", "entry", "file"], "ingest": ["file"], "build": ["source"], "report": ["release"], "plan": [], "version": [], "profile": ["release", "observation"], "samples": ["release"], "train": ["release"], "evaluate": ["model"], "score": ["release", "observation", "model"], "expire": ["folder", "days"],
     "generate": ["count", "file"], "produce": ["count", "servers", "topic"],
 }
 DATASET = "retail"
@@ -33,7 +34,7 @@ DEFAULT_PLAN = ExperimentPlan(training=(date(2011, 6, 1), date(2011, 7, 1)), val
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tallyspark", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("--work", type=Path, default=Path("work"))
+    p.add_argument("--work", default="work", help="a folder, or the URI of one on a shared filesystem")
     verbs = p.add_subparsers(dest="verb", required=True)
     for verb, names in ARGUMENTS.items():
         sub = verbs.add_parser(verb)
@@ -49,7 +50,6 @@ def _coverage(facts) -> tuple[date, date]:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    work = a.work.resolve()
     if a.verb == "version":
         print(code_version())
         return 0
@@ -64,30 +64,35 @@ def main(argv: list[str] | None = None) -> int:
         Path(a.file).write_text("".join(f"{g.event.to_json()}\n" for g in made))
         print(json.dumps({"sent": len(made), "duplicates": sum(g.duplicate for g in made), "out_of_order": sum(g.late for g in made)}))
         return 0
+    spark = local_session()
+    work = Folder.of(spark, a.work if "://" in a.work else Path(a.work))
     if a.verb in ("report", "evaluate"):
         folder, name = (work / "releases" / a.release, "quality.json") if a.verb == "report" else (work / "models" / a.model, "evaluation.json")
         publication.verify(folder)
-        print((folder / name).read_text())
-        return 0
-    spark = local_session()
-    if a.verb == "produce":
+        print((folder / name).read())
+    elif a.verb == "produce":
         rows = generator.generated(spark, GenerationSettings(count=int(a.count)))
         events.write_kafka(rows, a.servers, a.topic)
         print(rows.count())
+    elif a.verb == "expire":
+        print(snapshots.expire_stored(spark, a.folder, datetime.now(timezone.utc).replace(tzinfo=None), int(a.days)))
     elif a.verb == "ingest":
         source = Path(a.file)
         sha = publication.file_digest(source)
 
-        def fill(part: Path) -> dict:
-            rows = list(workbook.read_workbook(source.read_bytes()))
-            workbook.write_landing(spark.createDataFrame(rows, workbook.LEDGER), f"file://{part}/landing")
-            return {"source": source.name, "sha256": sha, "sheet": SHEET, "rows": len(rows)}
+        spark.dataSource.register(workbook.WorkbookSource)
+
+        def fill(part: Folder) -> dict:
+            # an executor reads the workbook (a sheet is one task) and writes the landing
+            (part / source.name).fetch(source)
+            workbook.write_landing(spark.read.format("retail-workbook").load(str(part / source.name).removeprefix("file://")), f"{part}/landing")
+            return {"source": source.name, "sha256": sha, "sheet": SHEET, "rows": workbook.read_landing(spark, f"{part}/landing").count()}
 
         publication.publish_folder(work / "raw" / sha, fill)
         print(sha)
     elif a.verb == "build":
         manifest = publication.verify(work / "raw" / a.source)
-        raw = workbook.read_landing(spark, f"file://{work}/raw/{a.source}/landing")
+        raw = workbook.read_landing(spark, f"{work}/raw/{a.source}/landing")
         print(publication.build_release(raw, work / "releases", a.source, manifest["rows"]))
     else:
         facts = publication.release_table(spark, work / "releases", a.release, "facts")

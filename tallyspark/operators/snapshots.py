@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ("dataset", "window_start")
@@ -82,6 +82,21 @@ def expire(rows: DataFrame, now: datetime, days: int = 90) -> DataFrame:
     return rows.where(F.col("received_at") >= F.lit(now - timedelta(days=days)))
 
 
+def expire_stored(spark: SparkSession, folder: str, now: datetime, days: int = 90) -> int:
+    """Retention of snapshots stored in partitions (batch=.../...): batches all of whose rows are too old go; how many did.
+
+    Batches are written once and never changed, so a batch goes as a whole and no row is written again.
+    """
+    rows = spark.read.option("basePath", folder).parquet(folder)
+    newest_of = rows.groupBy("batch").agg(F.max("received_at").alias("newest"))
+    old = [r["batch"] for r in newest_of.where(F.col("newest") < F.lit(now - timedelta(days=days))).select("batch").collect()]  # numbers of batches
+    base = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    for number in old:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(base, f"batch={number}"), True)
+    return len(old)
+
+
 def exact_numbers(rows: DataFrame) -> DataFrame:
     """Longs and decimals as text, so JSON readers don't round them."""
     wide = {f.name for f in rows.schema if f.dataType.typeName() in ("long", "decimal")}

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass
 from datetime import date, timedelta
-from pathlib import Path
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -17,6 +16,8 @@ from pyspark.sql import functions as F
 from ..config import ExperimentPlan, _need
 from ..operators import customers, ranking
 from . import publication
+from .folder import Folder
+from .publication import Place
 
 INPUTS = ("recency", "log_orders", "log_purchase", "log_cancellation")
 # The grid of candidates.
@@ -85,18 +86,19 @@ def select(evaluations: list[Evaluation]) -> tuple[Evaluation, list[Evaluation]]
     return order[0], list(best.values())
 
 
-def train(facts: DataFrame, plan: ExperimentPlan, coverage: tuple[date, date], root: Path, release: str, feature_version: str) -> str:
+def train(facts: DataFrame, plan: ExperimentPlan, coverage: tuple[date, date], root: Place, release: str, feature_version: str) -> str:
     """Train all candidates, choose on the validation dates, evaluate on the test dates, publish; the model's id.
 
     The published model is loaded again and must give the same scores.
     """
     model_id = publication.identity(release, json.dumps(asdict(plan), default=str, sort_keys=True), feature_version)
+    root = Folder.of(facts.sparkSession, root)
     with publication.writer_lock(root / "models.lock"):
 
-        def fill(part: Path) -> dict:
+        def fill(part: Folder) -> dict:
             spark = facts.sparkSession
-            customers.all_samples(facts, plan, *coverage).write.parquet(f"file://{part}/samples")
-            samples = spark.read.parquet(f"file://{part}/samples")
+            customers.all_samples(facts, plan, *coverage).write.parquet(f"{part}/samples")
+            samples = spark.read.parquet(f"{part}/samples")
             groups = {g: customers.observed(samples, list(getattr(plan, g))).persist() for g in ("training", "validation", "test")}
             try:
                 for g in ("training", "validation"):
@@ -104,15 +106,15 @@ def train(facts: DataFrame, plan: ExperimentPlan, coverage: tuple[date, date], r
                 models = {c.id: c.estimator().fit(groups["training"]) for c in CANDIDATES}
                 chosen, finalists = select([evaluate(c, "validation", predict(m, groups["validation"]), plan.contact_fraction) for c, m in models.items()])
                 best = models[chosen.candidate]
-                best.write().save(f"file://{part}/model")
-                same = ranking.differences(predict(best, groups["test"]), predict(PipelineModel.load(f"file://{part}/model"), groups["test"]))
+                best.write().save(f"{part}/model")
+                same = ranking.differences(predict(best, groups["test"]), predict(PipelineModel.load(f"{part}/model"), groups["test"]))
                 if any(r["row_count"] for r in same.collect()):
                     raise publication.PublicationError("the stored model gives other scores")
                 tests = [("test", groups["test"])] + [(f"test {d}", customers.observed(groups["test"], [d])) for d in plan.test]
                 results = [evaluate(e.candidate, name, predict(models[e.candidate], rows), plan.contact_fraction) for e in finalists for name, rows in tests]
                 results += [evaluate(BASELINE, name, ranking.recency_baseline(rows), plan.contact_fraction) for name, rows in [("validation", groups["validation"]), *tests]]
                 scored = predict(best, groups["test"])
-                scored.select("observation", "customer_id", "label", "score").orderBy("observation", "customer_id").coalesce(1).write.option("header", True).csv(f"file://{part}/predictions")
+                scored.select("observation", "customer_id", "label", "score").orderBy("observation", "customer_id").write.option("header", True).csv(f"{part}/predictions")
                 publication.write_json(part / "evaluation.json", {"chosen": asdict(chosen), "results": [asdict(r) for r in results], "examples": [r.asDict() for r in ranking.error_examples(scored).collect()]})
                 return {"model": model_id, "candidate": chosen.candidate, "release": release, "feature_version": feature_version, "history_days": plan.history_days, "horizon_days": plan.horizon_days, "last_validation": max(plan.validation).isoformat()}
             finally:
@@ -131,9 +133,10 @@ def compatible(manifest: dict, release: str, window_days: int, observation: date
     _need(manifest["feature_version"] == feature_version, "the model was trained on other features")
 
 
-def score(spark: SparkSession, root: Path, model_id: str, profiles: DataFrame) -> DataFrame:
+def score(spark: SparkSession, root: Place, model_id: str, profiles: DataFrame) -> DataFrame:
     """customer_id and score, after the model's checksums were found to hold."""
     if not (len(model_id) == 64 and all(c in "0123456789abcdef" for c in model_id)):
         raise ValueError("a model's id has 64 hexadecimal digits")
-    publication.verify(root / model_id)
-    return predict(PipelineModel.load(f"file://{root / model_id}/model"), profiles).select("customer_id", F.col("score"))
+    folder = Folder.of(spark, root) / model_id
+    publication.verify(folder)
+    return predict(PipelineModel.load(f"{folder}/model"), profiles).select("customer_id", F.col("score"))

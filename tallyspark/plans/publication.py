@@ -1,17 +1,17 @@
-"""Publication on the driver: locks, digests, atomic files, content-addressed releases and batches with a head.
+"""Publication: locks, digests, atomic files, content-addressed releases and batches with a head, on any shared filesystem.
 
-A folder counts once its manifest is there; manifests are written last and renamed into place.
+A folder counts once its manifest is there; manifests are written last and renamed into place.  Executors write the data
+and take the checksums, the driver handles small files alone.
 """
 
 from __future__ import annotations
 
 import contextlib
-import fcntl
 import hashlib
 import json
 import os
-import shutil
-import tempfile
+import socket
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger
 from ..streaming.pipeline import code_version
+from .folder import Folder
 
+#: A path on this machine, or a URI.
+Place = Path | str | Folder
 
 class PublicationError(RuntimeError):
     """Something published isn't what it claims to be, or another writer is at work."""
@@ -39,80 +42,83 @@ def file_digest(path: Path) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def folder_digests(folder: Path, skip: tuple[str, ...] = ("manifest.json",)) -> dict[str, str]:
-    return {str(p.relative_to(folder)): file_digest(p) for p in sorted(folder.rglob("*")) if p.is_file() and p.name not in skip}
-
-
-def write_json(path: Path, value: object) -> None:
+def write_json(place: Folder, value: object) -> None:
     """All or nothing."""
-    part = path.with_name(path.name + ".tmp")
-    part.write_text(json.dumps(value, indent=1, sort_keys=True, default=str))
-    os.replace(part, path)
+    place.write(json.dumps(value, indent=1, sort_keys=True, default=str))
 
 
 @contextlib.contextmanager
-def writer_lock(path: Path) -> Iterator[None]:
-    """Exclusive, without waiting."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    with path.open("a") as f:
-        try:
-            fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
-        except OSError:
-            raise PublicationError(f"{path} is held by another writer") from None
+def writer_lock(place: Folder) -> Iterator[None]:
+    """Exclusive, without waiting: a file that only one writer can create.
+
+    It names its writer and goes when that is done; what a writer that died has left is to be removed by hand.
+    """
+    place.parent.make()
+    if not place.claim(f"{socket.gethostname()} {os.getpid()}"):
+        raise PublicationError(f"{place} is held by another writer: {place.read()}")
+    try:
         yield
+    finally:
+        place.remove()
 
 
-def verify(folder: Path) -> dict:
-    """The manifest, after its checksums were found to hold."""
-    manifest = json.loads((folder / "manifest.json").read_text())
-    if folder_digests(folder) != manifest["files"]:
+def verify(folder: Folder) -> dict:
+    """The manifest, after the executors found its checksums to hold."""
+    manifest = json.loads((folder / "manifest.json").read())
+    try:
+        found = folder.digests()
+    except Exception as e:  # a file that can't be read whole isn't what was published
+        raise PublicationError(f"{folder} can't be read") from e
+    if found != manifest["files"]:
         raise PublicationError(f"{folder} isn't what its manifest says")
     return manifest
 
 
-def publish_folder(target: Path, fill: Callable[[Path], dict]) -> dict:
-    """Fill a temporary folder beside ``target``, add the manifest, move it there; what is there already is verified."""
+def publish_folder(target: Folder, fill: Callable[[Folder], dict]) -> dict:
+    """Fill a folder beside ``target``, add the manifest, move it there; what is there already is verified."""
     if target.exists():
         return verify(target)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    part = Path(tempfile.mkdtemp(prefix=".part-", dir=target.parent))
+    target.parent.make()
+    part = target.parent / f"incoming-{uuid.uuid4().hex}"
+    part.make()
     try:
         about = fill(part)
-        manifest = about | {"files": folder_digests(part)}
+        manifest = about | {"files": part.digests()}
         write_json(part / "manifest.json", manifest)
-        os.rename(part, target)
+        part.move(target)
         return manifest
     except BaseException:
-        shutil.rmtree(part, ignore_errors=True)
+        part.remove()
         raise
 
 
-def archive_source(source: Path, root: Path) -> Path:
+def archive_source(spark: SparkSession, source: Path, root: Place) -> Folder:
     """A copy of a source file in a folder named by its digest."""
     sha = file_digest(source)
+    target = Folder.of(spark, root) / sha
 
-    def fill(part: Path) -> dict:
-        shutil.copyfile(source, part / source.name)
+    def fill(part: Folder) -> dict:
+        (part / source.name).fetch(source)
         return {"source": source.name, "sha256": sha}
 
-    publish_folder(root / sha, fill)
-    return root / sha
+    publish_folder(target, fill)
+    return target
 
 
-def build_release(raw: DataFrame, root: Path, source_sha: str, expected_rows: int | None = None, version: str | None = None) -> str:
+def build_release(raw: DataFrame, root: Place, source_sha: str, expected_rows: int | None = None, version: str | None = None) -> str:
     """Audit, facts and dimensions as Parquet tables of a release named by source, rows and code; the release's id.
 
     The audit and the facts are partitioned by month.  The same input and code give the same id, whose tables are
     verified and not written again.
     """
-    version = version or code_version()
+    version, root = version or code_version(), Folder.of(raw.sparkSession, root)
     with writer_lock(root / "releases.lock"):
         rows = raw.select(F.count("*"), F.sum(F.xxhash64("source_row_id", "content_hash").cast("decimal(38,0)"))).first()
         release = identity(source_sha, f"{rows[0]}/{rows[1]}", version)
 
-        def fill(part: Path) -> dict:
+        def fill(part: Folder) -> dict:
             spark = raw.sparkSession
-            uri = lambda name: f"file://{part}/{name}"
+            uri = lambda name: f"{part}/{name}"
             ledger.classify(raw).write.partitionBy("transaction_month").parquet(uri("audit"))
             audit = spark.read.parquet(uri("audit"))
             ledger.facts(audit).write.partitionBy("transaction_month").parquet(uri("facts"))
@@ -128,17 +134,17 @@ def build_release(raw: DataFrame, root: Path, source_sha: str, expected_rows: in
         return release
 
 
-def release_table(spark: SparkSession, root: Path, release: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"file://{root / release / name}")
+def release_table(spark: SparkSession, root: Place, release: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{Folder.of(spark, root) / release / name}")
 
 
-def register_release(spark: SparkSession, root: Path, release: str, prefix: str = "retail") -> list[str]:
+def register_release(spark: SparkSession, root: Place, release: str, prefix: str = "retail") -> list[str]:
     """A release's tables in the session's catalogue, with statistics for the optimiser; their names."""
     names = []
     for name in ("audit", "facts", "customers", "products"):
         table = f"{prefix}_{name}"
         spark.sql(f"DROP TABLE IF EXISTS {table}")
-        spark.sql(f"CREATE TABLE {table} USING parquet LOCATION 'file://{root / release / name}'")
+        spark.sql(f"CREATE TABLE {table} USING parquet LOCATION '{Folder.of(spark, root) / release / name}'")
         if "transaction_month" in spark.table(table).columns:
             spark.sql(f"ALTER TABLE {table} RECOVER PARTITIONS")
         spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS")
@@ -153,10 +159,10 @@ class BatchStore:
     verified and leaves the head where it is; with other content it is an error.
     """
 
-    def __init__(self, spark: SparkSession, root: Path):
-        self.spark, self.root = spark, root
+    def __init__(self, spark: SparkSession, root: Place):
+        self.spark, self.root = spark, Folder.of(spark, root)
 
-    def _folder(self, dataset: str, batch: str) -> Path:
+    def _folder(self, dataset: str, batch: str) -> Folder:
         if "/" in dataset or "/" in batch or batch.startswith("."):
             raise ValueError("names must not hold a path")
         return self.root / dataset / batch
@@ -179,9 +185,9 @@ class BatchStore:
             if check is not None and (bad := check(rows).take(3)):
                 raise PublicationError(f"batch {batch} breaks a rule: {[r.asDict() for r in bad]}")
 
-            def fill(part: Path) -> dict:
-                rows.orderBy("customer_id").write.parquet(f"file://{part}/rows")
-                stored = self.spark.read.parquet(f"file://{part}/rows")
+            def fill(part: Folder) -> dict:
+                rows.orderBy("customer_id").write.parquet(f"{part}/rows")
+                stored = self.spark.read.parquet(f"{part}/rows")
                 if self.content(about, stored) != sha:
                     raise PublicationError("the stored rows aren't those given")
                 return {"content": sha, "about": str(about)}
@@ -192,11 +198,11 @@ class BatchStore:
 
     def current(self, dataset: str) -> str | None:
         head = self.root / dataset / "current.json"
-        return json.loads(head.read_text())["batch"] if head.exists() else None
+        return json.loads(head.read())["batch"] if head.exists() else None
 
     def rows(self, dataset: str, batch: str | None = None) -> DataFrame | None:
         """Rows of a batch, by default the current one; None if there is none."""
         batch = batch or self.current(dataset)
         if batch is None or not (self._folder(dataset, batch) / "manifest.json").exists():
             return None
-        return self.spark.read.parquet(f"file://{self._folder(dataset, batch)}/rows")
+        return self.spark.read.parquet(f"{self._folder(dataset, batch)}/rows")

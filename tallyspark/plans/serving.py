@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ProfileBatch, ScoreBatch
 from ..operators import customers, ranking
-from .publication import BatchStore, PublicationError
+from .folder import Folder
+from .publication import BatchStore, Place, PublicationError
 
 PROFILE_COLUMNS = ("customer_id", "country", "recency_days", "orders", "purchase_amount", "cancellation_amount", "preferred_product", "r_score", "f_score", "m_score", "segment")
 
@@ -19,7 +18,8 @@ class UnknownCustomer(LookupError):
 
 
 class CustomerService:
-    def __init__(self, spark: SparkSession, root: Path):
+    def __init__(self, spark: SparkSession, root: Place):
+        root = Folder.of(spark, root)
         self.profiles, self.scores, self.spark = BatchStore(spark, root / "profiles"), BatchStore(spark, root / "scores"), spark
 
     def publish_profiles(self, batch: ProfileBatch, rows: DataFrame) -> bool:

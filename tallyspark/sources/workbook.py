@@ -148,16 +148,20 @@ def write_landing(rows: DataFrame, path: str) -> None:
     rows.select(*LEDGER_COLUMNS).write.mode("errorifexists").option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").csv(path)
 
 
-def download(url: str, entry: str, target: Path, connect_s: int = 30) -> Path:
-    """One entry of a zip file behind a URL; the archive goes in any case."""
+def download(url: str, entry: str, target: Path, connect_s: int = 30, whole_s: int = 300) -> Path:
+    """One entry of a zip file behind a URL, connected within ``connect_s`` seconds and here within ``whole_s``; the archive goes in any case."""
     import tempfile
+    import time
     import urllib.request
 
     with tempfile.TemporaryFile() as archive:
         with urllib.request.urlopen(url, timeout=connect_s) as answer:
             if answer.status != 200:
                 raise OSError(f"{url} answered {answer.status}")
-            while block := answer.read(1 << 20):
+            until = time.monotonic() + whole_s
+            while block := answer.read1(1 << 20):
+                if time.monotonic() > until:
+                    raise TimeoutError(f"{url} took more than {whole_s} seconds")
                 archive.write(block)
         with zipfile.ZipFile(archive) as z:
             target.write_bytes(z.read(entry))

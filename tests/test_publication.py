@@ -9,6 +9,7 @@ from tallyspark import cli
 from tallyspark.config import ExperimentPlan, ProfileBatch, ScoreBatch
 from tallyspark.operators import customers
 from tallyspark.plans import experiment, publication, serving
+from tallyspark.plans.folder import Folder
 from test_ledger import FACTS, ROWS, fact, raw
 
 
@@ -27,18 +28,30 @@ def test_release_is_named_by_its_content(spark, tmp_path):
 def test_a_failed_release_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="manifest"):
         publication.build_release(raw(spark, ROWS), tmp_path, "sha", 11, "v1")
-    assert [p.name for p in tmp_path.iterdir()] == ["releases.lock"]
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == []
 
 
-def test_lock_and_archive(tmp_path):
-    with publication.writer_lock(tmp_path / "l"), pytest.raises(publication.PublicationError), publication.writer_lock(tmp_path / "l"):
+def test_lock_and_archive(spark, tmp_path):
+    lock = Folder.of(spark, tmp_path) / "l"
+    with publication.writer_lock(lock), pytest.raises(publication.PublicationError), publication.writer_lock(lock):
         pass
+    with publication.writer_lock(lock):
+        assert lock.exists()
+    assert not lock.exists()
     (tmp_path / "in.txt").write_text("x")
-    folder = publication.archive_source(tmp_path / "in.txt", tmp_path / "raw")
-    assert publication.archive_source(tmp_path / "in.txt", tmp_path / "raw") == folder
-    (folder / "in.txt").write_text("y")
+    folder = publication.archive_source(spark, tmp_path / "in.txt", tmp_path / "raw")
+    assert publication.archive_source(spark, tmp_path / "in.txt", tmp_path / "raw").uri == folder.uri
+    (tmp_path / "raw" / folder.uri.rsplit("/", 1)[1] / "in.txt").write_text("y")
     with pytest.raises(publication.PublicationError):
-        publication.archive_source(tmp_path / "in.txt", tmp_path / "raw")
+        publication.archive_source(spark, tmp_path / "in.txt", tmp_path / "raw")
+
+
+def test_small_files_are_replaced_whole(spark, tmp_path):
+    place = Folder.of(spark, f"file://{tmp_path}/a") / "head.json"
+    place.parent.make()
+    for n in range(3):
+        publication.write_json(place, {"n": n})
+    assert json.loads(place.read()) == {"n": 2} and not place.claim("x") and [p for p in (tmp_path / "a").iterdir() if p.suffix == ".tmp"] == []
 
 
 def profile_rows(spark, *ids):
@@ -82,7 +95,7 @@ def test_experiment(spark, tmp_path):
     model = experiment.train(facts, plan, (date(2011, 1, 1), date(2011, 12, 1)), tmp_path, "release", "f1")
     found = json.loads((tmp_path / model / "evaluation.json").read_text())
     assert {r["candidate"] for r in found["results"]} >= {experiment.BASELINE, found["chosen"]["candidate"]} and experiment.train(facts, plan, (date(2011, 1, 1), date(2011, 12, 1)), tmp_path, "release", "f1") == model
-    manifest = publication.verify(tmp_path / model)
+    manifest = publication.verify(Folder.of(spark, tmp_path) / model)
     experiment.compatible(manifest, "release", 90, date(2011, 7, 31), "f1")
     for bad in (("other", 90, date(2011, 7, 31), "f1"), ("release", 91, date(2011, 7, 31), "f1"), ("release", 90, date(2011, 7, 30), "f1"), ("release", 90, date(2011, 7, 31), "f2")):
         with pytest.raises(ValueError):
