@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import StorageSettings, StreamSettings
 from ..functions import parse
 from ..operators import metrics
+from ..plans.folder import Folder
 from ..schema import MONEY, PAYMENT, REFUND
 
 def parsed(source: DataFrame) -> DataFrame:
@@ -42,23 +43,34 @@ def native_totals(events: DataFrame, delay_ms: int = 30_000, width: str = metric
     refund = F.col("event_type") == REFUND
     rows = metrics.transactions(_deduplicated(events, delay_ms, width))
     firsts = rows.groupBy("w", "order_id").agg(F.min_by(F.struct("user_id", "quantity", "amount"), F.when(F.col("event_type") == PAYMENT, F.col("arrival"))).alias("p"), F.count_if(refund).alias("n_refunds"), F.sum(F.when(refund, F.col("amount"))).alias("refunded"))
+    users = firsts.groupBy("w", F.col("p.user_id").alias("user_id")).agg(F.count("p").alias("orders"), F.sum(F.col("p.quantity").cast("long")).alias("quantity"), F.sum("p.amount").alias("amount"), F.sum("n_refunds").alias("n_refunds"), F.sum("refunded").alias("refunded"))
     zero = F.lit("0.00").cast(MONEY)
-    totals = firsts.groupBy("w").agg(
-        F.count("p").alias("paid_orders"), F.size(F.collect_set("p.user_id")).cast("long").alias("paid_users"), F.coalesce(F.sum(F.col("p.quantity").cast("long")), F.lit(0)).alias("paid_quantity"),
-        F.coalesce(F.sum("p.amount").cast(MONEY), zero).alias("gmv"), F.sum("n_refunds").alias("refunds"), F.coalesce(F.sum("refunded").cast(MONEY), zero).alias("refund_amount"),
+    totals = users.groupBy("w").agg(
+        F.sum("orders").alias("paid_orders"), F.count_if((F.col("orders") > 0) & F.col("user_id").isNotNull()).alias("paid_users"), F.coalesce(F.sum("quantity"), F.lit(0)).alias("paid_quantity"),
+        F.coalesce(F.sum("amount").cast(MONEY), zero).alias("gmv"), F.sum("n_refunds").alias("refunds"), F.coalesce(F.sum("refunded").cast(MONEY), zero).alias("refund_amount"),
     )
     return totals.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[c for c in totals.columns if c != "w"])
 
 
+#: Parts of a window's products that are ranked apart before the best of each meet.
+RANKING_PARTS = 64
+
+
 def native_ranking(events: DataFrame, n: int = 10, delay_ms: int = 30_000, width: str = metrics.MINUTE) -> DataFrame:
-    """``metrics.ranking_array`` as a stream: orders, products and rankings are three chained aggregations."""
+    """``metrics.ranking_array`` as a stream: a chain of aggregations by order, user, product, part of the products and window.
+
+    Users are counted by grouping, and no row holds more than the best ``n`` of each part, however many products a window has.
+    """
     if n < 1:
         raise ValueError("a ranking needs at least one place")
     paid = metrics.payments(_deduplicated(events, delay_ms, width))
     firsts = paid.groupBy("w", "product_id", "order_id").agg(F.min_by(F.struct("user_id", "quantity", "amount"), "arrival").alias("p"))
-    products = firsts.groupBy("w", "product_id").agg(F.sum("p.amount").cast(MONEY).alias("gmv"), F.count("p").alias("paid_orders"), F.size(F.collect_set("p.user_id")).cast("long").alias("paid_users"), F.sum(F.col("p.quantity").cast("long")).alias("paid_quantity"))
+    users = firsts.groupBy("w", "product_id", F.col("p.user_id").alias("user_id")).agg(F.sum("p.amount").alias("gmv"), F.count("p").alias("orders"), F.sum(F.col("p.quantity").cast("long")).alias("quantity"))
+    products = users.groupBy("w", "product_id").agg(F.sum("gmv").cast(MONEY).alias("gmv"), F.sum("orders").alias("paid_orders"), F.count("user_id").alias("paid_users"), F.sum("quantity").alias("paid_quantity"))
     entry = F.struct(F.negative("gmv").alias("o"), "product_id", "gmv", "paid_orders", "paid_users", "paid_quantity")
-    ranked = products.groupBy("w").agg(F.slice(F.array_sort(F.collect_list(entry)), 1, n).alias("a"))
+    best = lambda rows: F.slice(F.array_sort(rows), 1, n)
+    parts = products.groupBy("w", F.pmod(F.xxhash64("product_id"), F.lit(RANKING_PARTS)).alias("part")).agg(best(F.collect_list(entry)).alias("a"))
+    ranked = parts.groupBy("w").agg(best(F.flatten(F.collect_list("a"))).alias("a"))
     return ranked.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), F.transform("a", lambda x: x.dropFields("o")).alias("products"))
 
 
@@ -91,8 +103,18 @@ def log_sink(rows: DataFrame, name: str, checkpoint: str, **trigger) -> Streamin
     return parse.as_json(rows).writeStream.format("console").option("truncate", False).queryName(name).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def late_union(dedup: DataFrame, minute: DataFrame, product: DataFrame) -> DataFrame:
+    """What came too late for deduplication, minute totals and product totals, with the ``stage`` that refused it."""
+    tagged = [rows.withColumn("stage", F.lit(stage)) for stage, rows in (("dedup", dedup), ("minute", minute), ("product", product))]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+
+
 class AuditedPipeline:
-    """Micro-batches with an audited late stream; state and results lie under ``folder``."""
+    """Micro-batches with an audited late stream; state and results lie under ``folder``.
+
+    Late events of all stages are one table with the stage's name; product results that are late for the ranking have a
+    table of their own.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, settings: StreamSettings | None = None, storage: StorageSettings | None = None):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -123,16 +145,21 @@ class AuditedPipeline:
             events = parse.valid(rows).withColumn("arrival", F.struct(F.lit(number).cast("long").alias("batch"), "topic", "partition", "offset"))
             reached = self.watermark(number)
             late, fresh = _closed_by(events, reached)
-            self._put(late, "late_events", number)
             newest = fresh.agg(F.max("event_time")).first()[0]
             now = max((x for x in (reached, newest - delay if newest else None) if x is not None), default=None)
             waiting = self._read(f"open/batch={number - 1}")
             pool = fresh if waiting is None else waiting.unionByName(fresh)
             pool = metrics.deduplicate(pool).persist()
             try:
-                done, waiting = _closed_by(pool, now)
+                # what a window has closed on; deduplication has let none of it through, as all share one watermark
+                behind, ahead = _closed_by(pool, reached)
+                self._put(late_union(late, metrics.transactions(behind), metrics.payments(behind)), "late_events", number)
+                done, waiting = _closed_by(ahead, now)
                 self._put(snapshot_rows(metrics.window_totals(done), self.storage, number), "minutes", number)
-                self._put(snapshot_rows(metrics.ranking_array(metrics.product_totals(done), self.settings.top_n), self.storage, number), "rankings", number)
+                products = metrics.product_totals(done)
+                gone = F.col("window_end") <= F.lit(reached) if reached is not None else F.lit(False)
+                self._put(products.where(gone), "late_products", number)
+                self._put(snapshot_rows(metrics.ranking_array(products.where(~gone), self.settings.top_n), self.storage, number), "rankings", number)
                 self._put(waiting, "open", number)
             finally:
                 pool.unpersist()
@@ -141,12 +168,21 @@ class AuditedPipeline:
             rows.unpersist()
 
     def start(self, source: DataFrame, name: str = "audited-commerce", **trigger) -> StreamingQuery:
+        """The running query; RuntimeError if another version of the code wrote the folder's checkpoint."""
+        guard_checkpoint(Folder(self.spark, f"{self.folder}/guard"))
         writer = source.writeStream.queryName(name).option("checkpointLocation", f"{self.folder}/checkpoint").foreachBatch(self.batch)
         return writer.trigger(**(trigger or {"processingTime": f"{self.settings.checkpoint_interval_ms} milliseconds"})).start()
 
+    def run(self, source: Callable[[], DataFrame], retries: int = 3, wait_s: float = 5.0, **kw) -> None:
+        """Start and keep running: after a failure the query goes on from its checkpoint, ``retries`` times at most."""
+        supervise(lambda: self.start(source(), **kw), retries, wait_s)
+
     def minutes(self) -> DataFrame | None:
         return self._read("minutes")
 
+    def late_products(self) -> DataFrame | None:
+        return self._read("late_products")
+
     def rankings(self) -> DataFrame | None:
         return self._read("rankings")
 
@@ -178,12 +214,9 @@ def code_version() -> str:
     return digest.hexdigest()
 
 
-def guard_checkpoint(folder: Path, version: str | None = None) -> None:
+def guard_checkpoint(folder: Folder, version: str | None = None) -> None:
     """Write the code's version beside a new checkpoint; RuntimeError if another version wrote it."""
     mark, version = folder / "code-version", version or code_version()
-    if mark.exists():
-        if mark.read_text() != version:
-            raise RuntimeError("another version of the code wrote this checkpoint")
-        return
-    folder.mkdir(parents=True, exist_ok=True)
-    mark.write_text(version)
+    folder.make()
+    if not mark.claim(version) and mark.read() != version:
+        raise RuntimeError("another version of the code wrote this checkpoint")

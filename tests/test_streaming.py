@@ -5,6 +5,7 @@ import pytest
 
 from tallyspark.config import StorageSettings, StreamSettings
 from tallyspark.operators import snapshots
+from tallyspark.plans.folder import Folder
 from tallyspark.schema import ENVELOPE
 from tallyspark.sources import events as sources
 from tallyspark.streaming import pipeline
@@ -40,13 +41,13 @@ def test_audited_pipeline(spark, tmp_path):
     p = pipeline.AuditedPipeline(spark, f"file://{tmp_path}/out", StreamSettings(top_n=2), StorageSettings(dataset="d"))
 
     def run():
-        p.start(sources.file_stream(spark, source, 1), availableNow=True).awaitTermination()
+        p.run(lambda: sources.file_stream(spark, source, 1), availableNow=True)
 
     run()
     put(spark, source, LATER, 9)
     run()
     check(p.minutes())
-    assert {r.event_id for r in p.late_events().collect()} == {"late", "a"} and p.dead_letters().count() == 1
+    assert {(r.event_id, r.stage) for r in p.late_events().collect()} == {("late", "dedup"), ("a", "dedup")} and p.dead_letters().count() == 1 and p.late_products().count() == 0
     first = snapshots.newest(p.rankings()).orderBy("window_start").first()
     assert [(x.product_id, x.gmv) for x in first.products] == [("p2", D("30.00")), ("p1", D("20.00"))]
     # a batch that runs again leaves the same
@@ -88,7 +89,22 @@ def test_log_sink(spark, tmp_path):
     assert query.lastProgress["numInputRows"] == len(FIRST)
 
 
-def test_supervision_and_checkpoint_guard(tmp_path):
+def test_late_streams_are_one_with_their_stage(spark, tmp_path):
+    rows = spark.createDataFrame([("e1", "t")], "event_id string, topic string")
+    got = pipeline.late_union(rows, rows.limit(0), rows)
+    assert sorted((r.event_id, r.stage) for r in got.collect()) == [("e1", "dedup"), ("e1", "product")]
+
+
+def test_stored_snapshots_expire_by_batch(spark, tmp_path):
+    folder = f"file://{tmp_path}/snapshots"
+    now = datetime(2026, 3, 1)
+    rows = [(1, datetime(2025, 10, 1)), (1, datetime(2025, 11, 1)), (2, datetime(2025, 10, 1)), (2, datetime(2026, 2, 1))]
+    spark.createDataFrame(rows, "batch long, received_at timestamp").write.partitionBy("batch").parquet(folder)
+    assert snapshots.expire_stored(spark, folder, now, 90) == 1
+    assert {r.batch for r in spark.read.parquet(folder).collect()} == {2} and snapshots.expire_stored(spark, folder, now, 90) == 0
+
+
+def test_supervision_and_checkpoint_guard(spark, tmp_path):
     calls = []
 
     class Query:
@@ -98,7 +114,12 @@ def test_supervision_and_checkpoint_guard(tmp_path):
 
     pipeline.supervise(lambda: calls.append(1) or Query(), 3, 0)
     assert len(calls) == 3
-    pipeline.guard_checkpoint(tmp_path / "c", "one")
-    pipeline.guard_checkpoint(tmp_path / "c", "one")
+    place = Folder.of(spark, tmp_path) / "c"
+    pipeline.guard_checkpoint(place, "one")
+    pipeline.guard_checkpoint(place, "one")
+    with pytest.raises(RuntimeError):
+        pipeline.guard_checkpoint(place, "two")
+    (tmp_path / "out" / "guard").mkdir(parents=True)
+    (tmp_path / "out" / "guard" / "code-version").write_text("of another time")
     with pytest.raises(RuntimeError):
-        pipeline.guard_checkpoint(tmp_path / "c", "two")
+        pipeline.AuditedPipeline(spark, f"file://{tmp_path}/out").start(spark.readStream.schema(ENVELOPE).parquet(str(tmp_path)))
