@@ -2,6 +2,7 @@
 
 Types are drawn by weight.  A payment takes the oldest order that isn't paid, a refund the oldest payment that isn't
 refunded, with the order's user, product, amount and quantity, and no earlier time; without one it becomes an order.
+The sequence is made of blocks that are drawn apart, so executors draw it side by side and a stream goes on anywhere.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
@@ -24,6 +26,8 @@ from ..schema import CART, CLICK, ENVELOPE, EVENT_VERSION, ORDER, PAYMENT, REFUN
 WEIGHTS = {VIEW: 40, CLICK: 25, CART: 15, ORDER: 10, PAYMENT: 8, REFUND: 2}
 USERS, PRODUCTS, WAITING, LATEST_MS = 100, 50, 1000, 30_000
 TOPIC = "commerce-events"
+#: Events that are drawn together; another block can be drawn without them.
+BLOCK = 10_000
 
 
 @dataclass(frozen=True)
@@ -51,13 +55,19 @@ class Generated:
     late: bool
 
 
-def generate(settings: GenerationSettings) -> Iterator[Generated]:
-    draw = random.Random(settings.seed)
+def blocks(settings: GenerationSettings) -> int:
+    return -(-settings.count // BLOCK)
+
+
+def generate_block(settings: GenerationSettings, block: int) -> Iterator[Generated]:
+    """Events ``block * BLOCK`` and on, up to the block's end: a block draws for itself, and its orders are paid and refunded within it."""
+    draw = random.Random(settings.seed if not block else f"{settings.seed}/{block}")
     unpaid: deque[Event] = deque(maxlen=WAITING)
     refundable: deque[Event] = deque(maxlen=WAITING)
     kinds, weights = list(WEIGHTS), list(WEIGHTS.values())
-    last, newest = None, settings.start_time
-    for n in range(settings.count):
+    first = block * BLOCK
+    last, newest = None, settings.start_time + timedelta(seconds=first)
+    for n in range(first, min(first + BLOCK, settings.count)):
         if last is not None and draw.random() < settings.duplicate_rate:
             yield Generated(last, True, False)
             continue
@@ -86,17 +96,34 @@ def generate(settings: GenerationSettings) -> Iterator[Generated]:
         yield Generated(event, False, late)
 
 
+def generate(settings: GenerationSettings) -> Iterator[Generated]:
+    for block in range(blocks(settings)):
+        yield from generate_block(settings, block)
+
+
+def _envelope(offset: int, g: Generated) -> tuple:
+    return TOPIC, 0, offset, g.event.user_id.encode(), g.event.to_json().encode()
+
+
 def envelopes(settings: GenerationSettings, first: int = 0) -> Iterator[tuple]:
-    for offset, g in enumerate(generate(settings)):
-        if offset >= first:
-            yield TOPIC, 0, offset, g.event.user_id.encode(), g.event.to_json().encode()
+    """Envelope rows from offset ``first`` on; at most a block before it is drawn again."""
+    for block in range(first // BLOCK, blocks(settings)):
+        for offset, g in enumerate(generate_block(settings, block), block * BLOCK):
+            if offset >= first:
+                yield _envelope(offset, g)
 
 
 def generated(spark: SparkSession, settings: GenerationSettings) -> DataFrame:
-    """The sequence as envelope rows plus duplicate and out_of_order, for ``metrics.event_counters``."""
-    rows = [(*e, g.duplicate, g.late) for e, g in zip(envelopes(settings), generate(settings), strict=True)]
+    """The sequence as envelope rows plus duplicate and out_of_order, for ``metrics.event_counters``; executors draw it block by block."""
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in ENVELOPE), "duplicate boolean, out_of_order boolean"])
-    return spark.createDataFrame(rows, schema)
+    names = [*ENVELOPE.names, "duplicate", "out_of_order"]
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block in batch["id"].tolist():
+                yield pd.DataFrame([(*_envelope(n, g), g.duplicate, g.late) for n, g in enumerate(generate_block(settings, block), block * BLOCK)], columns=names)
+
+    return spark.range(blocks(settings)).mapInPandas(draw, schema)
 
 
 class _Reader(SimpleDataSourceStreamReader):
