@@ -145,7 +145,7 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_landing(rows: DataFrame, path: str) -> None:
-    rows.select(*LEDGER_COLUMNS).write.mode("errorifexists").option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").csv(path)
+    rows.select(*LEDGER_COLUMNS).write.mode("errorifexists").option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def download(url: str, entry: str, target: Path, connect_s: int = 30, whole_s: int = 300) -> Path:

@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from tallyspark.plans import stored  # noqa: F401  (registers its queries)
 from tallyspark.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
