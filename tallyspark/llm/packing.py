@@ -203,10 +203,10 @@ def _price(sizes: np.ndarray, values: np.ndarray, capacity: int):
     return values + levels[-1][capacity - sizes], column
 
 
-def _greedy(sizes: list[int], demand: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Configurations by first fit, each used until a size runs out: as many as sizes, and independent, as each holds a size that later ones don't."""
+def _greedy(sizes: list[int], demand: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Configurations by first fit, each used until a size runs out, how often, and that size: later configurations don't hold it, so they are independent."""
     alive, left = list(range(len(sizes))), [float(d) for d in demand]  # sizes fall
-    columns, use = np.zeros((len(sizes), len(sizes))), np.zeros(len(sizes))
+    columns, use, gone = np.zeros((len(sizes), len(sizes))), np.zeros(len(sizes)), []
     for j in range(len(sizes)):
         room, counts, falling = capacity, columns[:, j], [-sizes[k] for k in alive]
         i = 0
@@ -219,7 +219,38 @@ def _greedy(sizes: list[int], demand: list[int], capacity: int) -> tuple[np.ndar
         for k in alive:
             left[k] -= use[j] * counts[k]
         alive.remove(out)
-    return columns, use
+        gone.append(out)
+    return columns, use, gone
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """The product, elementwise: a BLAS with threads of its own can block for ever in a process that has started a JVM."""
+    return (matrix * vector).sum(axis=1)
+
+
+def _triangular_inverse(basis: np.ndarray, gone: list[int]) -> np.ndarray:
+    """The inverse of a basis whose column j is the last with a number in row ``gone[j]``, by substitution."""
+    inverse = np.zeros_like(basis)
+    for j, row in enumerate(gone):
+        inverse[j] = -(basis[row, :j, None] * inverse[:j]).sum(axis=0)
+        inverse[j, row] += 1
+        inverse[j] /= basis[row, j]
+    return inverse
+
+
+def _inverse(basis: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row exchanges."""
+    n = len(basis)
+    work = np.concatenate([basis, np.eye(n)], axis=1)
+    for j in range(n):
+        k = j + int(np.abs(work[j:, j]).argmax())
+        work[[j, k]] = work[[k, j]]
+        work[j] /= work[j, j]
+        factor = work[:, j].copy()
+        factor[j] = 0
+        rows = np.flatnonzero(factor)
+        work[rows] -= factor[rows, None] * work[j]
+    return work[:, n:]
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, pricings: int = 40) -> list[tuple[list[int], float]]:
@@ -229,16 +260,16 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, pricings:
     searches for columns; every step is a valid plan.
     """
     wanted = np.array(demand, float)
-    basis, use = _greedy(sizes, demand, capacity)
-    lengths, inverse = np.array(sizes), np.linalg.inv(basis)
+    basis, use, gone = _greedy(sizes, demand, capacity)
+    lengths, inverse = np.array(sizes), _triangular_inverse(basis, gone)
     for _ in range(pricings):
         values, column = _price(lengths, np.maximum(inverse.sum(axis=0), 0), capacity)
         entered = 0
         for k in np.argsort(-values)[: max(8, len(sizes) // 8)]:
             new = column(int(k))
-            if inverse.sum(axis=0) @ new <= 1 + 1e-6:
+            if (inverse.sum(axis=0) * new).sum() <= 1 + 1e-6:
                 continue
-            move = inverse @ new
+            move = _times(inverse, new)
             up = np.flatnonzero(move > 1e-9)
             if not len(up):
                 continue
@@ -253,8 +284,10 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, pricings:
             entered += 1
         if not entered:
             break
-        inverse = np.linalg.inv(basis)
-        use = np.maximum(inverse @ wanted, 0)
+        use = np.maximum(_times(inverse, wanted), 0)
+        if np.abs(_times(basis, use) - wanted).max() > 1e-7 * wanted.max():  # the updates have lost digits
+            inverse = _inverse(basis)
+            use = np.maximum(_times(inverse, wanted), 0)
     return [([int(x) for x in basis[:, j]], float(use[j])) for j in range(len(sizes)) if use[j] > 1e-9]
 
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -282,6 +283,27 @@ def test_plan_is_close_to_the_bound():
     assert 0.95 * large <= placed[0] <= large
 
 
+def test_plan_of_all_groups_beside_a_session(spark):
+    """512 groups are planned in the process that started the JVM, with a BLAS at its defaults, within a minute."""
+    r = random.Random(1)
+    histogram = Counter(min(1024, int(r.expovariate(1 / 400)) + 1) for _ in range(20_000))
+    assert spark.range(1).count() == 1
+    began = time.monotonic()
+    runs = packing.plan(dict(histogram))
+    assert time.monotonic() - began < 60
+    assert sum(c for c, _ in runs) <= 1.001 * -(-sum(k * n for k, n in histogram.items()) // 1024) + 1
+
+
+def test_inverses():
+    r = np.random.default_rng(4)
+    basis, gone = np.zeros((30, 30)), r.permutation(30)
+    for j in range(30):
+        basis[gone[j:], j] = r.integers(0, 3, 30 - j)
+        basis[gone[j], j] = 1 + j % 3
+    for found in (packing._triangular_inverse(basis, list(gone)), packing._inverse(basis)):
+        assert np.allclose([[(basis[i] * found[:, j]).sum() for j in range(30)] for i in range(30)], np.eye(30))
+
+
 def test_configurations_reach_the_fractional_optimum():
     # 100 pairs of 600 and 424, and 30 sequences of three times 341
     found = packing.configurations([600, 424, 341], [100, 100, 90], 1024)
