@@ -11,6 +11,9 @@ from .lmscore import op2_lm_scoring
 from .ngramjoin import op9_ngram_jaccard_join
 from .packing import op6_best_fit_packing
 from .quality import op10_quality_classifier
+from .search import OP12_SQL, op12_ranked_search
+from .simhash import op11_simhash
+from .spelling import op13_spelling_variants
 from .suffixdedup import op7_suffix_dedup
 
 QUERIES = {
@@ -24,6 +27,9 @@ QUERIES = {
     "op7_suffix_dedup": op7_suffix_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_simhash_near_dedup": op11_simhash,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op12_ranked_search": OP12_SQL}
