@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -135,14 +135,20 @@ class Grams:
         return found
 
     def prefix(self, word: bytes) -> list[tuple[int, int]]:
-        """(rank, place) of the rarest q-grams up to the first that no single edit touches together with an earlier one, repeats of it included."""
-        q, rank, out = self.q, self.rank, []
-        low, high, last = len(word), 0, -1
-        for r, k in sorted((rank(word[k : k + q]), k) for k in range(len(word) - q + 1)):
-            if high - low >= q and r != last:
+        """(rank, place) of the word's rarest q-grams, up to the first by which two are so far apart that no single edit touches both.
+
+        A q-gram that repeats stands for itself at its first and at its last place: before an edit the first one is the first
+        in either word, behind it the last one is the last.
+        """
+        q, rank, places = self.q, self.rank, {}
+        for k in range(len(word) - q + 1):
+            places.setdefault(word[k : k + q], [k, k])[1] = k
+        out, low, high = [], len(word), 0
+        for r, (a, b) in sorted((rank(g), ab) for g, ab in places.items()):
+            out += [(r, a), (r, b)] if a < b else [(r, a)]
+            low, high = min(low, a), max(high, b)
+            if high - low >= q:
                 break
-            out.append((r, k))
-            low, high, last = min(low, k), max(high, k), r
         return out
 
 
@@ -182,19 +188,39 @@ def _one_edit(a: bytes, b: bytes) -> bool:
 
 
 def merged(lists: list[list[int]], least: int) -> Iterator[int]:
-    """Numbers that are in at least ``least`` of the rising lists, by a heap of the lists' heads."""
-    heap = [(x[0], i, 0) for i, x in enumerate(lists)]
+    """Numbers that are in at least ``least`` of the rising lists.
+
+    The ``least - 1`` longest lists aren't merged: a number must be in one of the others, which a heap of their heads
+    brings into order, and is looked up in the long ones then.
+    """
+    lists = sorted(lists, key=len)
+    split = len(lists) - least + 1
+    if split <= 0:
+        return
+    longest, heap = lists[split:], []
+    for i, x in enumerate(lists[:split]):
+        ahead = iter(x)
+        heap.append((next(ahead), i, ahead))
     heapq.heapify(heap)
-    while len(heap) >= least:
+    replace, pop = heapq.heapreplace, heapq.heappop
+    while heap:
         head, count = heap[0][0], 0
         while heap and heap[0][0] == head:
-            _, i, at = heap[0]
+            _, i, ahead = heap[0]
             count += 1
-            if at + 1 < len(lists[i]):
-                heapq.heapreplace(heap, (lists[i][at + 1], i, at + 1))
+            following = next(ahead, None)
+            if following is None:
+                pop(heap)
             else:
-                heapq.heappop(heap)
-        if count >= least:
+                replace(heap, (following, i, ahead))
+        spare = count + len(longest) - least  # so many of the long lists may lack it
+        for x in longest:
+            at = bisect_left(x, head)
+            if at == len(x) or x[at] != head:
+                spare -= 1
+                if spare < 0:
+                    break
+        else:
             yield head
 
 
@@ -224,17 +250,18 @@ def _join(words: list[bytes], visits: list[bool], shorter: list[bool], here: int
         shift, has = len(words[i]) - len(words[j]), set(prefix(i))
         return min(_pack(r, k + d, length) for r, k in prefix(j) for d in range(shift + 1) if (r, k + d) in has)
 
+    places = [k for k in range(length - q + 1) if not (own and k == here_place)]
     for i, w in enumerate(words):
         if shorter[i]:
             continue
         lists = []
-        for k in range(length - q + 1):
-            if own and k == here_place:
-                continue
+        for k in places:
             gram = w[k : k + q]
             same = long[gram, k]
             if same[-1] > i:
                 lists.append(same[bisect_right(same, i) :])
+            if not short:
+                continue
             at, before = short.get((gram, k)), short.get((gram, k - 1))
             if at or before:
                 lists.append(sorted({*at, *before}) if at and before else at or before)

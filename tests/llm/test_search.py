@@ -249,7 +249,7 @@ def test_spelling(spark, least, often, times, drop, limit):
                 w = r.choice([w[:k] + r.choice("abélZ") + w[k:], w[:k] + w[k + 1 :], w[:k] + "b" + w[k + 1 :]]) or "a"
             out.append(w)
         docs.append((i, r.choice([" ", "-", "Ā", "日", "×", "'"]).join(out)))
-    docs += [(None, "nullkey nullkey Nullkey"), (500, None), (501, ""), (5, docs[5][1]), (5, docs[5][1]), (502, "x" * 3000 + " " + "x" * 2999), (503, ("x" * 3000 + " ") * 2)]
+    docs += [(None, "nullkey nullkey Nullkey"), (500, None), (501, ""), (5, docs[5][1]), (5, docs[5][1]), (502, "x" * 900 + " " + "x" * 899), (503, ("x" * 900 + " ") * 2)]
     got = spelling.spelling_groups(frame(spark, docs), least, often, times, drop, limit=limit)
     assert got.columns == ["word", "n", "form", "form_n", "n_near", "root"]
     rows = [tuple(x) for x in got.collect()]
