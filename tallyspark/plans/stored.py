@@ -152,6 +152,27 @@ def stream_audited_minutes(spark, sf_dir):
     return _without_zone(snapshots.newest(p.minutes())).select("window_start", "window_end", "paid_orders", "paid_users", "paid_quantity", "gmv", "refunds", "refund_amount")
 
 
+_LATER = "arrival % 7 = 0"
+
+
+@query("stream_late_events", f"""{EVENTS_SQL}, mark AS (SELECT max(event_time) - INTERVAL 30 second AS m FROM e WHERE NOT ({_LATER})),
+closed AS (SELECT *, date_trunc('minute', event_time) + INTERVAL 1 minute <= m AS closed FROM e, mark),
+own AS (SELECT * FROM closed WHERE NOT ({_LATER}) OR NOT closed)
+SELECT event_id, 'dedup' AS stage, CAST(NULL AS BIGINT) AS paid_orders FROM closed WHERE {_LATER} AND closed
+UNION ALL SELECT CAST(date_trunc('minute', event_time) AS VARCHAR), 'minute', count(DISTINCT order_id) FILTER (WHERE event_type = 'PAYMENT_COMPLETED') FROM own
+WHERE event_type IN ('PAYMENT_COMPLETED', 'REFUND_COMPLETED') AND date_trunc('minute', event_time) + INTERVAL 1 minute <= (SELECT max(event_time) - INTERVAL 30 second FROM e) GROUP BY date_trunc('minute', event_time)""")
+def stream_late_events(spark, sf_dir):
+    """A stream whose every seventh event comes in a second run: late events by the watermark of the first, and the minutes without them."""
+    source, rows = shared_dir(spark), adapters.commerce_events(spark, sf_dir)
+    p = pipeline.AuditedPipeline(spark, shared_dir(spark), StreamSettings(), StorageSettings(dataset=DATASET))
+    for part in (rows.where(f"NOT ({_LATER})"), rows.where(_LATER)):
+        parse.event_json(part).write.mode("append").parquet(source)
+        p.run(lambda: sources.file_stream(spark, source), availableNow=True)
+    late = p.late_events().select("event_id", "stage", F.lit(None).cast("long").alias("paid_orders"))
+    minutes = _without_zone(snapshots.newest(p.minutes()))
+    return late.unionByName(minutes.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("event_id"), F.lit("minute").alias("stage"), "paid_orders"))
+
+
 @query("event_counters", f"{EVENTS_SQL} SELECT count(*) + count(*) FILTER (WHERE arrival % 20 = 0) AS sent, count(*) FILTER (WHERE arrival % 20 = 0) AS duplicates, count(*) FILTER (WHERE arrival % 20 = 0) AS out_of_order FROM e")
 def event_counters(spark, sf_dir):
     rows = adapters.with_repeats(adapters.commerce_events(spark, sf_dir))

@@ -3,10 +3,9 @@
 ``native_*`` chain Spark's stateful operators in append mode: a result comes once, when its window closes, and late input
 never changes it.  A row is late if its window's end isn't after the watermark; Spark counts such rows and drops them.
 
-``AuditedPipeline`` keeps them.  Each micro-batch is split by the watermark of the batches before it, kept in a small
-control file beside the open windows' events; late rows go to a table of their own, and closed windows are computed by
-the same batch functions.  Every output is written under its batch number and replaces what an earlier try of the same
-batch left, so a batch that is run again leaves what it would have left at once.
+``AuditedPipeline`` keeps them: ``windows`` holds events in Spark's state store and gives late ones out as rows.  Every output is
+written under its batch number and replaces what an earlier try of the same batch left, so a batch that is run again
+leaves what it would have left at once.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable
-from datetime import datetime, timedelta
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +24,8 @@ from ..functions import parse
 from ..operators import metrics
 from ..plans.folder import Folder
 from ..schema import MONEY, PAYMENT, REFUND
+from . import windows
+
 
 def parsed(source: DataFrame) -> DataFrame:
     """Valid events with ``arrival``, the order of the source's rows."""
@@ -89,15 +89,6 @@ def snapshot_sink(path: str, storage: StorageSettings) -> Callable[[DataFrame, i
     return write
 
 
-def _closed_by(events: DataFrame, watermark: datetime | None) -> tuple[DataFrame, DataFrame]:
-    """Events whose window a watermark has closed, and the others."""
-    if watermark is None:
-        return events.limit(0), events
-    ends = events.withColumn("_end", metrics.minute_end(F.col("event_time")))
-    closed = F.col("_end") <= F.lit(watermark)
-    return ends.where(closed).drop("_end"), ends.where(~closed).drop("_end")
-
-
 def log_sink(rows: DataFrame, name: str, checkpoint: str, **trigger) -> StreamingQuery:
     """A stream's rows as JSON lines on the console."""
     return parse.as_json(rows).writeStream.format("console").option("truncate", False).queryName(name).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
@@ -110,10 +101,12 @@ def late_union(dedup: DataFrame, minute: DataFrame, product: DataFrame) -> DataF
 
 
 class AuditedPipeline:
-    """Micro-batches with an audited late stream; state and results lie under ``folder``.
+    """A stream of envelope rows to minute metrics, rankings, late events and dead letters, each a table under ``folder``.
 
-    Late events of all stages are one table with the stage's name; product results that are late for the ranking have a
-    table of their own.
+    One stateful operator (``windows.held_until_closed``) holds events until their window closes and gives late ones and dead
+    letters apart; a batch's closed windows are computed by the batch functions.  All windows share one watermark, so
+    deduplication refuses what minute and product totals would, and late events carry that stage.  Rankings are made of the
+    windows that close, in the batch in which they close, so no product result comes late for them.
     """
 
     def __init__(self, spark: SparkSession, folder: str, settings: StreamSettings | None = None, storage: StorageSettings | None = None):
@@ -131,46 +124,25 @@ class AuditedPipeline:
     def _put(self, rows: DataFrame, name: str, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={number}")
 
-    def watermark(self, before: int) -> datetime | None:
-        """What the batches before ``before`` have reached."""
-        control = self._read("control")
-        return control.where(F.col("batch") < before).agg(F.max("watermark")).first()[0] if control is not None else None
-
-    def batch(self, source: DataFrame, number: int) -> None:
-        """One micro-batch of envelope rows."""
-        delay = timedelta(milliseconds=self.settings.out_of_order_ms)
-        rows = parse.parse_events(source).persist()
+    def batch(self, rows: DataFrame, number: int) -> None:
+        """Write what a micro-batch of the stateful operator gave out; a batch that runs again replaces its files."""
+        rows = rows.persist()
         try:
-            self._put(parse.as_json(parse.dead_letters(rows)), "dead_letters", number)
-            events = parse.valid(rows).withColumn("arrival", F.struct(F.lit(number).cast("long").alias("batch"), "topic", "partition", "offset"))
-            reached = self.watermark(number)
-            late, fresh = _closed_by(events, reached)
-            newest = fresh.agg(F.max("event_time")).first()[0]
-            now = max((x for x in (reached, newest - delay if newest else None) if x is not None), default=None)
-            waiting = self._read(f"open/batch={number - 1}")
-            pool = fresh if waiting is None else waiting.unionByName(fresh)
-            pool = metrics.deduplicate(pool).persist()
-            try:
-                # what a window has closed on; deduplication has let none of it through, as all share one watermark
-                behind, ahead = _closed_by(pool, reached)
-                self._put(late_union(late, metrics.transactions(behind), metrics.payments(behind)), "late_events", number)
-                done, waiting = _closed_by(ahead, now)
-                self._put(snapshot_rows(metrics.window_totals(done), self.storage, number), "minutes", number)
-                products = metrics.product_totals(done)
-                gone = F.col("window_end") <= F.lit(reached) if reached is not None else F.lit(False)
-                self._put(products.where(gone), "late_products", number)
-                self._put(snapshot_rows(metrics.ranking_array(products.where(~gone), self.settings.top_n), self.storage, number), "rankings", number)
-                self._put(waiting, "open", number)
-            finally:
-                pool.unpersist()
-            self._put(self.spark.createDataFrame([(number, now)], "number long, watermark timestamp").select("watermark"), "control", number)
+            self._put(parse.as_json(windows.dead_letters_of(rows)), "dead_letters", number)
+            late = windows.events_of(rows, windows.LATE)
+            self._put(late_union(late, late.limit(0), late.limit(0)), "late_events", number)
+            done = windows.events_of(rows, windows.ON_TIME)
+            self._put(snapshot_rows(metrics.window_totals(done), self.storage, number), "minutes", number)
+            self._put(snapshot_rows(metrics.ranking_array(metrics.product_totals(done), self.settings.top_n), self.storage, number), "rankings", number)
         finally:
             rows.unpersist()
 
     def start(self, source: DataFrame, name: str = "audited-commerce", **trigger) -> StreamingQuery:
         """The running query; RuntimeError if another version of the code wrote the folder's checkpoint."""
         guard_checkpoint(Folder(self.spark, f"{self.folder}/guard"))
-        writer = source.writeStream.queryName(name).option("checkpointLocation", f"{self.folder}/checkpoint").foreachBatch(self.batch)
+        windows.prepare_store(self.spark)
+        held = windows.held_until_closed(source, self.settings.out_of_order_ms)
+        writer = held.writeStream.queryName(name).option("checkpointLocation", f"{self.folder}/checkpoint").foreachBatch(self.batch)
         return writer.trigger(**(trigger or {"processingTime": f"{self.settings.checkpoint_interval_ms} milliseconds"})).start()
 
     def run(self, source: Callable[[], DataFrame], retries: int = 3, wait_s: float = 5.0, **kw) -> None:
@@ -180,9 +152,6 @@ class AuditedPipeline:
     def minutes(self) -> DataFrame | None:
         return self._read("minutes")
 
-    def late_products(self) -> DataFrame | None:
-        return self._read("late_products")
-
     def rankings(self) -> DataFrame | None:
         return self._read("rankings")
 

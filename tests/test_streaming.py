@@ -2,6 +2,7 @@ from datetime import datetime, timedelta, timezone
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.config import StorageSettings, StreamSettings
 from tallyspark.operators import snapshots
@@ -47,15 +48,44 @@ def test_audited_pipeline(spark, tmp_path):
     put(spark, source, LATER, 9)
     run()
     check(p.minutes())
-    assert {(r.event_id, r.stage) for r in p.late_events().collect()} == {("late", "dedup"), ("a", "dedup")} and p.dead_letters().count() == 1 and p.late_products().count() == 0
+    assert {(r.event_id, r.stage) for r in p.late_events().collect()} == {("late", "dedup"), ("a", "dedup")} and p.dead_letters().count() == 1
     first = snapshots.newest(p.rankings()).orderBy("window_start").first()
     assert [(x.product_id, x.gmv) for x in first.products] == [("p2", D("30.00")), ("p1", D("20.00"))]
     # a batch that runs again leaves the same
-    p.batch(sources.file_batch(spark, source).where("offset >= 9"), 1)
+    again = spark.read.parquet(f"{tmp_path}/out/late_events")
+    number = again.first().batch
+    body = again.select(F.lit("late").alias("kind"), F.to_json(F.struct(F.lit("late").alias("event_id"), F.lit("x").alias("topic"))).alias("body"))
+    p.batch(spark.createDataFrame(body.collect(), "kind string, body string"), number)
     check(p.minutes())
     assert p.late_events().count() == 2
 
 
+def test_restart_in_the_middle_of_a_window(spark, tmp_path):
+    """State survives between runs: repeats of an earlier run are dropped, a window closes once, late rows come out once."""
+    source = str(tmp_path / "in")
+    p = pipeline.AuditedPipeline(spark, f"file://{tmp_path}/out", StreamSettings(top_n=2), StorageSettings(dataset="d"))
+    for first, lines in ((0, FIRST[:3]), (3, FIRST[3:8]), (8, [*FIRST[:2], FIRST[8]]), (11, LATER), (13, LATER[:1])):
+        put(spark, source, lines, first)
+        p.run(lambda: sources.file_stream(spark, source), availableNow=True)
+    check(p.minutes())
+    assert p.minutes().count() == 2  # each window once, in the batch that closed it
+    assert sorted(r.event_id for r in p.late_events().collect()) == ["a", "late", "late"]
+    late = p.late_events().where("event_id = 'late'").first()
+    assert (late.amount, late.quantity, late.order_id, late.event_time.second) == (D("999.00"), 1, "o6", 15)
+
+
+def test_a_window_closes_when_the_watermark_reaches_its_end(spark, tmp_path):
+    source = str(tmp_path / "in")
+    p = pipeline.AuditedPipeline(spark, f"file://{tmp_path}/out", StreamSettings(), StorageSettings(dataset="d"))
+    for k, (ms, closed) in enumerate([(1000, 0), (89_999, 0), (90_000, 1)]):  # delay 30 s: 60 s are reached at 90 s
+        put(spark, source, [line(f"e{k}", f"o{k}", "u", "p", PAY, "1.00", 1, ms)], k)
+        p.run(lambda: sources.file_stream(spark, source), availableNow=True)
+        assert p.minutes().count() == closed
+    put(spark, source, [line("at", "o9", "u", "p", PAY, "1.00", 1, 59_999), line("in", "o10", "u", "p", PAY, "1.00", 1, 60_000)], 3)
+    p.run(lambda: sources.file_stream(spark, source), availableNow=True)
+    assert [r.event_id for r in p.late_events().collect()] == ["at"]
+
+
 def test_native_pipeline(spark, tmp_path):
     source, out = str(tmp_path / "in"), f"file://{tmp_path}/out"
     put(spark, source, FIRST)
