@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import ExperimentPlan
 from ..schema import AMOUNT, AT_RISK, CANCELLATION, HIGH_VALUE, PURCHASE, REPEAT_CUSTOMER, SINGLE_PURCHASE
+from ..staging import settle
+from .quantiles import exact_percentiles
 
 THIRDS = (0.3333333333, 0.6666666667)
 
@@ -58,9 +60,15 @@ def features(facts: DataFrame, observation: date, window_days: int = 180) -> Dat
 
 
 def thresholds(customer_features: DataFrame) -> DataFrame:
-    """Exact thirds of recency, orders and amount: one row of three arrays."""
-    cuts = F.array(*map(F.lit, THIRDS))
-    return customer_features.agg(*(F.percentile(c, cuts).alias(n) for c, n in (("recency_days", "recency"), ("orders", "frequency"), ("purchase_amount", "monetary"))))
+    """Exact thirds of recency, orders and amount: one row of three arrays.  They are found at once, in a few passes over the written rows."""
+    return _thresholds(settle(customer_features.select("recency_days", "orders", "purchase_amount")))
+
+
+def _thresholds(stored: DataFrame) -> DataFrame:
+    names = {"recency_days": "recency", "orders": "frequency", "purchase_amount": "monetary"}
+    found = exact_percentiles(stored, list(names), THIRDS)
+    cut = lambda values: F.lit(None).cast("array<double>") if values is None else F.array(*map(F.lit, values))
+    return stored.sparkSession.range(1).select(*(cut(found[c]).alias(n) for c, n in names.items()))
 
 
 def _third(value: str, cuts: str, rising: bool) -> Column:
@@ -71,7 +79,8 @@ def _third(value: str, cuts: str, rising: bool) -> Column:
 
 def profiles(customer_features: DataFrame) -> DataFrame:
     """Features with r, f and m scores and a segment."""
-    scored = customer_features.crossJoin(F.broadcast(thresholds(customer_features)))  # one row
+    customer_features = settle(customer_features)
+    scored = customer_features.crossJoin(F.broadcast(_thresholds(customer_features)))  # one row
     scored = scored.withColumn("r_score", _third("recency_days", "recency", False)).withColumn("f_score", _third("orders", "frequency", True)).withColumn("m_score", _third("purchase_amount", "monetary", True))
     segment = F.when(F.col("orders") == 1, SINGLE_PURCHASE).when(F.col("r_score") == 1, AT_RISK).when((F.col("f_score") == 3) & (F.col("m_score") == 3), HIGH_VALUE).otherwise(REPEAT_CUSTOMER)
     return scored.drop("recency", "frequency", "monetary").withColumn("segment", segment)
