@@ -80,12 +80,10 @@ def main(argv: list[str] | None = None) -> int:
         source = Path(a.file)
         sha = publication.file_digest(source)
 
-        spark.dataSource.register(workbook.WorkbookSource)
-
         def fill(part: Folder) -> dict:
-            # an executor reads the workbook (a sheet is one task) and writes the landing
+            # an executor reads the copy in the working folder (a sheet is one task) and writes the landing
             (part / source.name).fetch(source)
-            workbook.write_landing(spark.read.format("retail-workbook").load(str(part / source.name).removeprefix("file://")), f"{part}/landing")
+            workbook.write_landing(workbook.stored_workbook(spark, str(part / source.name)), f"{part}/landing")
             return {"source": source.name, "sha256": sha, "sheet": SHEET, "rows": workbook.read_landing(spark, f"{part}/landing").count()}
 
         publication.publish_folder(work / "raw" / sha, fill)

@@ -109,7 +109,7 @@ def late_split(events: DataFrame, delay: str, batch: str = "batch", width: str =
     ends = events.groupBy(batch).agg(F.max("event_time").alias("latest"))
     before = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -1)
     marks = ends.withColumn("watermark", F.max("latest").over(before) - F.expr(f"INTERVAL {delay}")).select(batch, "watermark")
-    joined = events.join(F.broadcast(marks), batch)  # a row for each batch
+    joined = events.join(marks, batch)  # a row for each batch: Spark broadcasts it only while it is small
     return joined.withColumn("late", F.coalesce(minute_end(F.col("event_time"), width) <= F.col("watermark"), F.lit(False))).drop("watermark")
 
 

@@ -15,8 +15,10 @@ import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from decimal import Decimal
+from itertools import islice
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
@@ -27,6 +29,8 @@ _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id
 _EPOCH = datetime(1899, 12, 30)
 #: Built-in number formats that show dates or times.
 _DATE_FORMATS = frozenset([*range(14, 23), *range(45, 48)])
+#: Rows of a workbook to a batch.
+ROWS = 4096
 
 
 class WorkbookError(ValueError):
@@ -139,6 +143,25 @@ class WorkbookSource(DataSource):
         return _WorkbookReader(self.options["path"], self.options.get("sheet", SHEET))
 
 
+def stored_workbook(spark: SparkSession, url: str, sheet: str = SHEET) -> DataFrame:
+    """Rows of ``schema.LEDGER``, in order, of a workbook on any filesystem that Spark reads.
+
+    A workbook is one zip stream, so one task reads it: the file (2 GB at most) and its shared texts are held, rows are handed on
+    by ``ROWS``.
+    """
+    names = [f.name for f in LEDGER]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                found = read_workbook(content.as_py(), sheet)
+                while part := list(islice(found, ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*part, strict=True)], names=names)
+
+    content = spark.read.format("binaryFile").load(url).select("content")
+    return content.mapInArrow(rows, ", ".join(f"{c} string" for c in names))
+
+
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
     """A CSV landing: header, quoted lines, every column text; a malformed line fails the read."""
     return spark.read.schema(LEDGER).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
@@ -148,7 +171,7 @@ def write_landing(rows: DataFrame, path: str) -> None:
     rows.select(*LEDGER_COLUMNS).write.mode("errorifexists").option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def download(url: str, entry: str, target: Path, connect_s: int = 30, whole_s: int = 300) -> Path:
+def download(url: str, entry: str, target: Path, connect_s: int = 30, whole_s: int = 90) -> Path:
     """One entry of a zip file behind a URL, connected within ``connect_s`` seconds and here within ``whole_s``; the archive goes in any case."""
     import tempfile
     import time

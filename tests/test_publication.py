@@ -10,6 +10,7 @@ from tallyspark.config import ExperimentPlan, ProfileBatch, ScoreBatch
 from tallyspark.operators import customers
 from tallyspark.plans import experiment, publication, serving
 from tallyspark.plans.folder import Folder
+from tallyspark.sources import workbook
 from test_ledger import FACTS, ROWS, fact, raw
 
 
@@ -136,6 +137,10 @@ def test_command_line_from_workbook_to_profiles(spark, tmp_path, capsys):
 
     source = run("ingest", str(tmp_path / "b.xlsx"))
     assert run("ingest", str(tmp_path / "b.xlsx")) == source
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.cli.link./w", f"file://{tmp_path}")
+    assert cli.main(["--work", "viewfs://cli/w/far", "ingest", str(tmp_path / "b.xlsx")]) == 0 and capsys.readouterr().out.strip() == source
+    landings = [workbook.read_landing(spark, f"file://{tmp_path}/{w}/raw/{source}/landing").collect() for w in ("work", "far")]
+    assert len(landings[0]) == 40 and landings[0] == landings[1]
     release = run("build", source)
     assert run("build", source) == release and json.loads(run("report", release))["rows"] == 40
     assert run("profile", release, "2011-09-01")

@@ -88,6 +88,16 @@ def test_workbook(spark, tmp_path):
     assert [tuple(r) for r in workbook.read_landing(spark, str(tmp_path / "landing")).collect()] == [tuple(x or None for x in row)]
 
 
+def test_stored_workbook_on_any_filesystem(spark, tmp_path, monkeypatch):
+    """By a path that only Spark's filesystems open, in batches, in the order of the sheet."""
+    rows = [ROW.replace('"2"', f'"{n}"', 1).replace("2\" t", f'{n}" t').replace("A2", f"A{n}").replace("B2", f"B{n}").replace("D2", f"D{n}").replace("E2", f"E{n}").replace("F2", f"F{n}").replace("G2", f"G{n}") for n in range(2, 60)]
+    (tmp_path / "b.xlsx").write_bytes(book(rows))
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.books.link./in", f"file://{tmp_path}")
+    monkeypatch.setattr(workbook, "ROWS", 7)
+    read = workbook.stored_workbook(spark, "viewfs://books/in/b.xlsx")
+    assert [tuple(r) for r in read.collect()] == list(workbook.read_workbook((tmp_path / "b.xlsx").read_bytes())) and read.count() == 58
+
+
 @pytest.mark.parametrize("data", [
     book([ROW], headers=("X", *SHEET_HEADERS[1:])), book([ROW], sheet="Other"), book([ROW.replace('r="2"', 'r="3"', 1)]), book(['<row r="2"><c r="A2"><f>1+1</f><v>2</v></c></row>']), book(['<row r="2">' + cell("I2", 1) + "</row>"]), book([], first=2),
 ])
