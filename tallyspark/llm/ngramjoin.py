@@ -319,7 +319,7 @@ def _join_crowded(placed: DataFrame, shape: list[str], num: int, den: int, folde
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each component, that of the smallest key (equal keys: of the smallest digest); all rows without words stay."""
     folder = shared_dir(docs.sparkSession)
-    found = settle(jaccard_components(docs, words, num, den, text, key, rows=True).select(F.col(f"`{key}`").alias("_key9"), F.col("_row").alias("_row9"), "n_shingles", "part"), folder, "components")
+    found = settle(jaccard_components(docs, words, num, den, text, key, rows=True).select(F.col(f"`{key}`").alias("_key9"), F.col("_row").alias("_row9"), "n_shingles", "part"), folder, "components", None)
     best = found.where("part is not null").groupBy("part").agg(F.min(F.struct("_key9", "_row9")).alias("b")).select("b.*")
     stay = best.unionByName(found.where("part is null").select("_key9", "_row9")).distinct()
     marked = docs.withColumn("_mark9", F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")))
