@@ -60,9 +60,13 @@ def main(argv: list[str] | None = None) -> int:
         print(workbook.download(a.url, a.entry, Path(a.file)))
         return 0
     if a.verb == "generate":
-        made = list(generator.generate(GenerationSettings(count=int(a.count))))
-        Path(a.file).write_text("".join(f"{g.event.to_json()}\n" for g in made))
-        print(json.dumps({"sent": len(made), "duplicates": sum(g.duplicate for g in made), "out_of_order": sum(g.late for g in made)}))
+        sent = {"sent": 0, "duplicates": 0, "out_of_order": 0}
+        with Path(a.file).open("w") as out:
+            for g in generator.generate(GenerationSettings(count=int(a.count))):
+                out.write(f"{g.event.to_json()}\n")
+                for name, one in zip(sent, (True, g.duplicate, g.late), strict=True):
+                    sent[name] += one
+        print(json.dumps(sent))
         return 0
     spark = local_session()
     work = Folder.of(spark, a.work if "://" in a.work else Path(a.work))
