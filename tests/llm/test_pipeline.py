@@ -70,7 +70,7 @@ def test_run(spark):
 
 def test_registered_queries():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert numbers == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="the synthetic tables aren't here")
