@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +24,7 @@ from ..functions import parse
 from ..operators import metrics
 from ..plans.folder import Folder
 from ..schema import MONEY, PAYMENT, REFUND
-from . import windows
+from . import clocks, windows
 
 
 def parsed(source: DataFrame) -> DataFrame:
@@ -145,6 +145,14 @@ class AuditedPipeline:
         writer = held.writeStream.queryName(name).option("checkpointLocation", f"{self.folder}/checkpoint").foreachBatch(self.batch)
         return writer.trigger(**(trigger or {"processingTime": f"{self.settings.checkpoint_interval_ms} milliseconds"})).start()
 
+    def align(self, source: DataFrame, expected: Iterable[tuple[str, int]] = (), **trigger) -> StreamingQuery:
+        """The query before ``start`` where partitions lag: ``start(pipeline.aligned())`` then judges by the least of their clocks."""
+        windows.prepare_store(self.spark)
+        return clocks.align(source, f"{self.folder}/aligned", self.settings.out_of_order_ms, self.settings.idle_timeout_ms, expected, **trigger)
+
+    def aligned(self) -> DataFrame:
+        return clocks.aligned(self.spark, f"{self.folder}/aligned")
+
     def run(self, source: Callable[[], DataFrame], retries: int = 3, wait_s: float = 5.0, **kw) -> None:
         """Start and keep running: after a failure the query goes on from its checkpoint, ``retries`` times at most."""
         supervise(lambda: self.start(source(), **kw), retries, wait_s)

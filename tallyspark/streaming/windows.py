@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from ..functions import parse
 from ..operators import metrics
 from ..schema import EVENT
+from . import clocks
 
 #: Parts of a window's event ids, so a busy window is not one group.
 PARTS = 16
@@ -74,9 +75,13 @@ def held_until_closed(source: DataFrame, delay_ms: int = 30_000, width: str = me
     """Envelope rows to (kind, body): events once their window has closed, late events and dead letters at once.
 
     An event is late if its window's end isn't after the watermark, which is the latest valid event time of the batches
-    before less ``delay_ms``.  Of equal ids in a window the first by batch, then by topic, partition and offset, is kept.
+    before less ``delay_ms``; for rows of ``clocks.aligned`` it is the least clock of the partitions, which has the delay in it.
+    Of equal ids in a window the first by batch, then by topic, partition and offset, is kept.
     """
-    rows = parse.parse_events(source).withWatermark("event_time", f"{delay_ms} milliseconds")
+    if clocks.CLOCK in source.columns:
+        rows = parse.parse_events(clocks.by_clock(source))
+    else:
+        rows = parse.parse_events(source).withWatermark("event_time", f"{delay_ms} milliseconds")
     micros = F.unix_micros("event_time")  # a number carries no watermark: Spark hands late rows on
     held = F.struct(*(c for c in EVENT.fieldNames() if c != "event_time"), micros.alias("micros"), *_ARRIVAL)
     dead = F.struct(F.col("topic").alias("sourceTopic"), F.col("partition").alias("sourcePartition"), F.col("offset").alias("sourceOffset"), F.base64("key").alias("keyBase64"), F.base64("value").alias("valueBase64"), F.col("error").alias("reason"))
