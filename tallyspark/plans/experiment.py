@@ -93,7 +93,7 @@ def train(facts: DataFrame, plan: ExperimentPlan, coverage: tuple[date, date], r
     """
     model_id = publication.identity(release, json.dumps(asdict(plan), default=str, sort_keys=True), feature_version)
     root = Folder.of(facts.sparkSession, root)
-    with publication.writer_lock(root / "models.lock"):
+    with publication.writer_lock(root / "models.lock") as lease:
 
         def fill(part: Folder) -> dict:
             spark = facts.sparkSession
@@ -121,7 +121,7 @@ def train(facts: DataFrame, plan: ExperimentPlan, coverage: tuple[date, date], r
                 for rows in groups.values():
                     rows.unpersist()
 
-        publication.publish_folder(root / model_id, fill)
+        publication.publish_folder(root / model_id, fill, lease)
         return model_id
 
 

@@ -38,6 +38,10 @@ class Folder:
     def exists(self) -> bool:
         return self.system.exists(self.path)
 
+    def names(self) -> list[str]:
+        """Names of what lies in the folder; none if it isn't there."""
+        return [s.getPath().getName() for s in self.system.listStatus(self.path)] if self.exists() else []
+
     def make(self) -> None:
         self.system.mkdirs(self.path)
 

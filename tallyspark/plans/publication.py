@@ -11,10 +11,13 @@ import hashlib
 import json
 import os
 import socket
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,19 +50,97 @@ def write_json(place: Folder, value: object) -> None:
     place.write(json.dumps(value, indent=1, sort_keys=True, default=str))
 
 
-@contextlib.contextmanager
-def writer_lock(place: Folder) -> Iterator[None]:
-    """Exclusive, without waiting: a file that only one writer can create.
+#: Seconds for which a writer holds a lock without renewing it; clocks of writers must agree to well within that.
+LEASE_S = 300.0
+
 
-    It names its writer and goes when that is done; what a writer that died has left is to be removed by hand.
+class Lease:
+    """A held lock: a file that only one writer can create, with its holder, its number and the time it runs out.
+
+    A thread renews it at each third of its time.  When a holder has died and its time is over, the next writer moves the
+    file to a name made of its number, which only one of several can do, and takes the next number.  So a writer that was
+    merely slow finds at ``check`` that the lock isn't its own any more, and publishes nothing.
     """
-    place.parent.make()
-    if not place.claim(f"{socket.gethostname()} {os.getpid()}"):
-        raise PublicationError(f"{place} is held by another writer: {place.read()}")
+
+    def __init__(self, place: Folder, seconds: float = LEASE_S):
+        self.place, self.seconds = place, seconds
+        self.token, self.number, self.until = f"{socket.gethostname()} {os.getpid()} {uuid.uuid4().hex}", 0, 0.0
+        self._done, self._renewing = threading.Event(), None
+
+    def _text(self) -> str:
+        self.until = time.time() + self.seconds
+        return json.dumps({"holder": self.token, "number": self.number, "until": self.until})
+
+    def _found(self) -> dict | None:
+        """What the lock's file says; None if there is no lock.  A file that can't be read is held by someone who is writing it."""
+        try:
+            return json.loads(self.place.read())
+        except json.JSONDecodeError:
+            return {"holder": "?", "number": 0, "until": float("inf")}
+        except Py4JJavaError:
+            if self.place.exists():
+                raise
+            return None
+
+    def acquire(self) -> None:
+        """PublicationError if another writer holds the lock."""
+        folder, name = self.place.parent, self.place.uri.rsplit("/", 1)[1]
+        folder.make()
+        before = self._found()
+        if before is not None and before["until"] < time.time():
+            with contextlib.suppress(FileExistsError, Py4JJavaError):  # another was faster
+                self.place.move(folder / f"{name}.expired-{before['number']}")
+        ended = [n.rsplit("-", 1)[1] for n in folder.names() if n.startswith(f"{name}.expired-")]
+        self.number = max(map(int, ended), default=0) + 1
+        if not self.place.claim(self._text()):
+            raise PublicationError(f"{self.place} is held by another writer: {self._found()}")
+
+    def mine(self) -> bool:
+        found = self._found()
+        return found is not None and found["holder"] == self.token and time.time() < self.until
+
+    def check(self) -> None:
+        """PublicationError if the lock has run out or is another's: to be called right before anything is published."""
+        if not self.mine():
+            raise PublicationError(f"{self.place} was lost: {self._found()}")
+
+    def renew(self) -> None:
+        self.check()
+        self.place.write(self._text())
+
+    def _keep(self) -> None:
+        while not self._done.wait(self.seconds / 3):
+            try:
+                self.renew()
+            except PublicationError:
+                return
+            except Exception:  # the filesystem may answer again before the time is over
+                continue
+
+    def keep(self) -> None:
+        """Renew from now on, until ``release``."""
+        self._renewing = threading.Thread(target=self._keep, daemon=True)
+        self._renewing.start()
+
+    def release(self) -> None:
+        """The lock's file goes if it is still this writer's."""
+        self._done.set()
+        if self._renewing is not None:
+            self._renewing.join()
+        if self.mine():
+            self.place.remove()
+
+
+@contextlib.contextmanager
+def writer_lock(place: Folder, seconds: float = LEASE_S) -> Iterator[Lease]:
+    """Exclusive, without waiting; what a writer that died has left is taken over after ``seconds``."""
+    lease = Lease(place, seconds)
+    lease.acquire()
+    lease.keep()
     try:
-        yield
+        yield lease
     finally:
-        place.remove()
+        lease.release()
 
 
 def verify(folder: Folder) -> dict:
@@ -74,8 +155,11 @@ def verify(folder: Folder) -> dict:
     return manifest
 
 
-def publish_folder(target: Folder, fill: Callable[[Folder], dict]) -> dict:
-    """Fill a folder beside ``target``, add the manifest, move it there; what is there already is verified."""
+def publish_folder(target: Folder, fill: Callable[[Folder], dict], lease: Lease | None = None) -> dict:
+    """Fill a folder beside ``target``, add the manifest, move it there; what is there already is verified.
+
+    With a lease, the manifest has its number, and nothing is moved if the lock was lost meanwhile.
+    """
     if target.exists():
         return verify(target)
     target.parent.make()
@@ -84,7 +168,11 @@ def publish_folder(target: Folder, fill: Callable[[Folder], dict]) -> dict:
     try:
         about = fill(part)
         manifest = about | {"files": part.digests()}
+        if lease is not None:
+            manifest["writer"] = lease.number
         write_json(part / "manifest.json", manifest)
+        if lease is not None:
+            lease.check()
         part.move(target)
         return manifest
     except BaseException:
@@ -112,7 +200,7 @@ def build_release(raw: DataFrame, root: Place, source_sha: str, expected_rows: i
     verified and not written again.
     """
     version, root = version or code_version(), Folder.of(raw.sparkSession, root)
-    with writer_lock(root / "releases.lock"):
+    with writer_lock(root / "releases.lock") as lease:
         rows = raw.select(F.count("*"), F.sum(F.xxhash64("source_row_id", "content_hash").cast("decimal(38,0)"))).first()
         release = identity(source_sha, f"{rows[0]}/{rows[1]}", version)
 
@@ -130,7 +218,7 @@ def build_release(raw: DataFrame, root: Place, source_sha: str, expected_rows: i
             write_json(part / "quality.json", figures | profile | {"dispositions": [r.asDict() for r in ledger.dispositions(audit).collect()]})
             return {"release": release, "source": source_sha, "version": version}
 
-        publish_folder(root / release, fill)
+        publish_folder(root / release, fill, lease)
         return release
 
 
@@ -176,7 +264,7 @@ class BatchStore:
 
     def publish(self, dataset: str, batch: str, about: object, rows: DataFrame, check: Callable[[DataFrame], DataFrame] | None = None) -> bool:
         """Whether the batch is new.  ``check`` gives rows that break a rule; none may."""
-        with writer_lock(self.root / dataset / "store.lock"):
+        with writer_lock(self.root / dataset / "store.lock") as lease:
             folder, sha = self._folder(dataset, batch), self.content(about, rows)
             if folder.exists():
                 if verify(folder)["content"] != sha:
@@ -192,10 +280,17 @@ class BatchStore:
                     raise PublicationError("the stored rows aren't those given")
                 return {"content": sha, "about": str(about)}
 
-            publish_folder(folder, fill)
-            write_json(self.root / dataset / "current.json", {"batch": batch})
+            publish_folder(folder, fill, lease)
+            self._move_head(dataset, batch, lease)
             return True
 
+    def _move_head(self, dataset: str, batch: str, lease: Lease) -> None:
+        head = self.root / dataset / "current.json"
+        lease.check()
+        if head.exists() and json.loads(head.read()).get("writer", 0) > lease.number:
+            raise PublicationError(f"{head} was moved by a later writer")
+        write_json(head, {"batch": batch, "writer": lease.number})
+
     def current(self, dataset: str) -> str | None:
         head = self.root / dataset / "current.json"
         return json.loads(head.read())["batch"] if head.exists() else None

@@ -1,4 +1,5 @@
 import json
+import time
 from datetime import date
 from decimal import Decimal as D
 
@@ -32,6 +33,52 @@ def test_a_failed_release_leaves_nothing(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == []
 
 
+def test_a_dead_writers_lock_is_taken_over(spark, tmp_path):
+    """The first writer stops renewing; the second takes over; what the first still wants to publish is refused."""
+    root = Folder.of(spark, tmp_path)
+    first, second = publication.Lease(root / "l", 3.0), publication.Lease(root / "l", 60.0)
+    first.acquire()
+    first.check()
+    with pytest.raises(publication.PublicationError):
+        second.acquire()
+    time.sleep(3.2)
+    second.acquire()
+    assert (first.number, second.number) == (1, 2)
+
+    def fill(part):
+        (part / "x").write("1")
+        return {}
+
+    with pytest.raises(publication.PublicationError):
+        publication.publish_folder(root / "t", fill, first)
+    assert not (root / "t").exists() and not [n for n in root.names() if n.startswith("incoming")]
+    assert publication.publish_folder(root / "t", fill, second)["writer"] == 2
+    with pytest.raises(publication.PublicationError):
+        first.renew()
+    first.release()  # leaves the other's lock
+    second.check()
+    second.release()
+    assert not (root / "l").exists()
+    store = publication.BatchStore(spark, root)
+    write = publication.write_json
+    (root / "d").make()
+    write(root / "d" / "current.json", {"batch": "b", "writer": 9})
+    second.acquire()
+    with pytest.raises(publication.PublicationError):
+        store._move_head("d", "c", second)
+    assert store.current("d") == "b"
+
+
+def test_a_lock_is_renewed(spark, tmp_path):
+    lock = Folder.of(spark, tmp_path) / "l"
+    with publication.writer_lock(lock, 3.0) as lease:
+        time.sleep(4)
+        lease.check()
+        with pytest.raises(publication.PublicationError):
+            publication.Lease(lock).acquire()
+    assert not lock.exists()
+
+
 def test_lock_and_archive(spark, tmp_path):
     lock = Folder.of(spark, tmp_path) / "l"
     with publication.writer_lock(lock), pytest.raises(publication.PublicationError), publication.writer_lock(lock):
