@@ -71,12 +71,12 @@ def test_a_timer_moves_the_clock_without_new_rows(spark, tmp_path):
     windows.prepare_store(spark)
     source, out = str(tmp_path / "in"), f"file://{tmp_path}/aligned"
     put(spark, source, [(0, paid("a", 10_000)), (1, paid("b", 5_000))], 0)
-    query = clocks.align(sources.file_stream(spark, source), out, 1000, 8000, processingTime="500 milliseconds")
+    query = clocks.align(sources.file_stream(spark, source), out, 1000, 20_000, processingTime="500 milliseconds")
     try:
         until(lambda: clock_of(spark, out) == 4_000)
-        # one more row of partition 0, then silence: only timers run, and partition 0 alone was awake after partition 1
-        time.sleep(2)
         put(spark, source, [(0, paid("c", 12_000))], 2)
+        until(lambda: spark.read.parquet(f"{out}/rows").where("offset = 2").count() == 1)
+        assert clock_of(spark, out) == 4_000  # partition 1 is awake when the last row comes; then only timers run
         until(lambda: clock_of(spark, out) == 11_000)
     finally:
         query.stop()
