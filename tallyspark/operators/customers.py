@@ -98,10 +98,14 @@ def segment_summary(rows: DataFrame) -> DataFrame:
     ).orderBy("segment")
 
 
-def page(rows: DataFrame, limit: int = 100, after: str | None = None, segment: str | None = None, customer_id: str | None = None) -> DataFrame:
-    """The next ``limit`` customers by id; ``has_more`` says whether others follow, the last id is the next ``after``."""
+def check_page(limit: int) -> None:
     if not 1 <= limit <= 100:
         raise ValueError("limit must be 1 to 100")
+
+
+def page(rows: DataFrame, limit: int = 100, after: str | None = None, segment: str | None = None, customer_id: str | None = None) -> DataFrame:
+    """The next ``limit`` customers by id; ``has_more`` says whether others follow, the last id is the next ``after``."""
+    check_page(limit)
     for column, value in (("segment", segment), ("customer_id", customer_id)):
         rows = rows.where(F.col(column) == value) if value is not None else rows
     rows = rows.where(F.col("customer_id") > after) if after is not None else rows

@@ -20,6 +20,7 @@ from pathlib import Path
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import ledger
 from ..streaming.pipeline import code_version
@@ -245,10 +246,13 @@ class BatchStore:
 
     A new id is written, read back and compared before the head moves to it.  A known id with the same content is
     verified and leaves the head where it is; with other content it is an error.
+
+    Rows lie in order of ``key``, so files hold ranges of it.  A small table beside them (``ranges``) says what each file
+    holds, by the values of ``facets`` (columns of few values): lookups and pages open the files that they need alone.
     """
 
-    def __init__(self, spark: SparkSession, root: Place):
-        self.spark, self.root = spark, Folder.of(spark, root)
+    def __init__(self, spark: SparkSession, root: Place, key: str = "customer_id", facets: tuple[str, ...] = ()):
+        self.spark, self.root, self.key, self.facets = spark, Folder.of(spark, root), key, facets
 
     def _folder(self, dataset: str, batch: str) -> Folder:
         if "/" in dataset or "/" in batch or batch.startswith("."):
@@ -274,10 +278,12 @@ class BatchStore:
                 raise PublicationError(f"batch {batch} breaks a rule: {[r.asDict() for r in bad]}")
 
             def fill(part: Folder) -> dict:
-                rows.orderBy("customer_id").write.parquet(f"{part}/rows")
+                rows.orderBy(self.key).write.parquet(f"{part}/rows")
                 stored = self.spark.read.parquet(f"{part}/rows")
                 if self.content(about, stored) != sha:
                     raise PublicationError("the stored rows aren't those given")
+                self._ranges(stored).write.parquet(f"{part}/ranges")
+                write_json(part / "schema.json", stored.schema.jsonValue())
                 return {"content": sha, "about": str(about)}
 
             publish_folder(folder, fill, lease)
@@ -297,7 +303,74 @@ class BatchStore:
 
     def rows(self, dataset: str, batch: str | None = None) -> DataFrame | None:
         """Rows of a batch, by default the current one; None if there is none."""
+        folder = self._published(dataset, batch)
+        return None if folder is None else self.spark.read.parquet(f"{folder}/rows")
+
+    def _published(self, dataset: str, batch: str | None) -> Folder | None:
         batch = batch or self.current(dataset)
         if batch is None or not (self._folder(dataset, batch) / "manifest.json").exists():
             return None
-        return self.spark.read.parquet(f"{self._folder(dataset, batch)}/rows")
+        return self._folder(dataset, batch)
+
+    def _ranges(self, stored: DataFrame) -> DataFrame:
+        """For each file and values of the facets: the least and the greatest key and the number of keys, in order of keys."""
+        named = stored.select(F.col("_metadata.file_name").alias("file"), self.key, *self.facets)
+        found = named.groupBy("file", *self.facets).agg(F.min(self.key).alias("low"), F.max(self.key).alias("high"), F.count(self.key).alias("keys"))
+        return found.coalesce(1).sortWithinPartitions("low")  # a row for each file and facet
+
+    def _held(self, folder: Folder, where: dict[str, object]) -> DataFrame | None:
+        """The ranges of files that hold rows with these values of facets; None for a batch that has no ranges."""
+        if not (folder / "ranges").exists() or not set(where) <= set(self.facets):
+            return None
+        types = {c: self._schema(folder)[c].dataType for c in (self.key, *self.facets)}
+        schema = T.StructType([T.StructField("file", T.StringType()), *(T.StructField(c, types[c]) for c in self.facets), T.StructField("low", types[self.key]), T.StructField("high", types[self.key]), T.StructField("keys", T.LongType())])
+        ranges = self.spark.read.schema(schema).parquet(f"{folder}/ranges")
+        for column, value in where.items():
+            ranges = ranges.where(F.col(column) == value)
+        return ranges.groupBy("file").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("keys").alias("keys"))
+
+    @staticmethod
+    def _schema(folder: Folder) -> T.StructType:
+        return T.StructType.fromJson(json.loads((folder / "schema.json").read()))
+
+    def _open(self, folder: Folder, files: list[str]) -> DataFrame:
+        """These files' rows: nothing else is listed or opened, not even for the schema."""
+        schema = self._schema(folder)
+        if not files:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{folder}/rows/{f}" for f in files])
+
+    def lookup(self, dataset: str, key: object, batch: str | None = None) -> DataFrame | None:
+        """The rows of a key, from the files whose range has it in it; None if there is no such batch."""
+        folder = self._published(dataset, batch)
+        if folder is None:
+            return None
+        held = self._held(folder, {})
+        if held is None:
+            rows = self.spark.read.parquet(f"{folder}/rows")
+        else:
+            # ranges of sorted files meet at their ends at most: one file, or those that share a repeated key
+            files = held.where((F.col("low") <= key) & (F.col("high") >= key)).select("file").collect()
+            rows = self._open(folder, [r["file"] for r in files])
+        return rows.where(F.col(self.key) == key)
+
+    def following(self, dataset: str, n: int, after: object = None, batch: str | None = None, **where) -> DataFrame | None:
+        """Rows of the files that hold the first ``n`` keys beyond ``after`` with these values of facets, perhaps with others.
+
+        Each file in question has such a row, so ``n`` files are enough, and fewer are opened where their counts say so.
+        None if there is no such batch.
+        """
+        folder = self._published(dataset, batch)
+        if folder is None:
+            return None
+        held = self._held(folder, where)
+        if held is None:
+            return self.spark.read.parquet(f"{folder}/rows")
+        beyond = held if after is None else held.where(F.col("high") > after)
+        files, found = [], 0
+        for r in beyond.select("file", "keys", (F.col("low") > after if after is not None else F.lit(True)).alias("whole")).orderBy("low").limit(n).collect():
+            files.append(r["file"])
+            found += r["keys"] if r["whole"] else 1
+            if found >= n:
+                break
+        return self._open(folder, files)

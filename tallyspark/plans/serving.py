@@ -20,7 +20,7 @@ class UnknownCustomer(LookupError):
 class CustomerService:
     def __init__(self, spark: SparkSession, root: Place):
         root = Folder.of(spark, root)
-        self.profiles, self.scores, self.spark = BatchStore(spark, root / "profiles"), BatchStore(spark, root / "scores"), spark
+        self.profiles, self.scores, self.spark = BatchStore(spark, root / "profiles", facets=("segment",)), BatchStore(spark, root / "scores"), spark
 
     def publish_profiles(self, batch: ProfileBatch, rows: DataFrame) -> bool:
         return self.profiles.publish(batch.dataset, batch.id, batch, rows.select(*PROFILE_COLUMNS), customers.broken_profiles)
@@ -38,24 +38,32 @@ class CustomerService:
 
         return self.scores.publish(dataset, batch.id, batch, rows, broken)
 
-    def page(self, dataset: str, batch: str | None = None, **kw) -> DataFrame | None:
-        """A page of a batch; the first page's batch is to be named for those after it, so that they agree."""
-        rows = self.profiles.rows(dataset, batch)
-        return None if rows is None else customers.page(rows.withColumn("batch", F.lit(batch or self.profiles.current(dataset))), **kw)
+    def page(self, dataset: str, batch: str | None = None, limit: int = 100, after: str | None = None, segment: str | None = None, customer_id: str | None = None) -> DataFrame | None:
+        """A page of a batch; the first page's batch is to be named for those after it, so that they agree.
+
+        Only files that may hold the page's rows, and the row that says whether others follow, are opened.
+        """
+        customers.check_page(limit)
+        batch = batch or self.profiles.current(dataset)
+        if customer_id is not None:
+            rows = self.profiles.lookup(dataset, customer_id, batch)
+        else:
+            rows = self.profiles.following(dataset, limit + 1, after, batch, **({} if segment is None else {"segment": segment}))
+        return None if rows is None else customers.page(rows.withColumn("batch", F.lit(batch)), limit, after, segment, customer_id)
 
     def detail(self, dataset: str, customer_id: str, batch: str | None = None) -> dict:
-        rows = self.profiles.rows(dataset, batch)
-        found = rows.where(F.col("customer_id") == customer_id).first() if rows is not None else None
+        rows = self.profiles.lookup(dataset, customer_id, batch)
+        found = rows.first() if rows is not None else None
         if found is None:
             raise UnknownCustomer(customer_id)
         return found.asDict()
 
     def prediction(self, dataset: str, customer_id: str, batch: str | None = None) -> dict | None:
         """The customer's score in the current score batch, if that belongs to the profile batch."""
-        batch, rows = batch or self.profiles.current(dataset), self.scores.rows(dataset)
+        batch, rows = batch or self.profiles.current(dataset), self.scores.lookup(dataset, customer_id)
         if rows is None:
             return None
-        found = rows.where((F.col("customer_id") == customer_id) & (F.col("profile_batch") == batch)).first()
+        found = rows.where(F.col("profile_batch") == batch).first()
         return found.asDict() if found else None
 
     def segments(self, dataset: str, batch: str | None = None) -> DataFrame | None:

@@ -130,6 +130,82 @@ def test_profiles_and_scores(spark, tmp_path):
     assert service.segments("d").first().customers == 2 and service.health()
 
 
+def _opened(rows):
+    """Names of the files that a frame reads."""
+    return {f.rsplit("/", 1)[1] for f in rows.inputFiles()}
+
+
+@pytest.fixture
+def many_files(spark):
+    """Sorted writes leave a file to each range."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_lookups_open_the_files_that_hold_the_key(spark, tmp_path, many_files):
+    service = serving.CustomerService(spark, tmp_path)
+    ids = [f"c{n:04d}" for n in range(0, 1200, 2)]
+    rare = F.when(F.col("customer_id").isin("c0002", "c0600", "c1198"), "RARE").otherwise("REPEAT_CUSTOMER")
+    rows = profile_rows(spark, *ids).withColumn("segment", rare)
+    assert service.publish_profiles(ProfileBatch("p1", "d", "r", "v", date(2011, 6, 1)), rows)
+    publication.verify(Folder.of(spark, tmp_path) / "profiles" / "d" / "p1")
+    everything = _opened(service.profiles.rows("d"))
+    assert len(everything) == 12
+    for key in (ids[0], ids[-1], "c0600", "c0050"):
+        found = service.profiles.lookup("d", key)
+        assert len(_opened(found)) == 1 and [r.customer_id for r in found.collect()] == [key] and service.detail("d", key)["customer_id"] == key
+    for key in ("", "c0051", "zzz"):  # before, between and after all
+        assert len(_opened(service.profiles.lookup("d", key))) <= 1 and service.profiles.lookup("d", key).count() == 0
+        with pytest.raises(serving.UnknownCustomer):
+            service.detail("d", key)
+    first = service.page("d", limit=10)
+    assert len(_opened(first)) == 1 and [r.customer_id for r in first.collect()] == ids[:10]
+    whole = service.profiles.rows("d").withColumn("batch", F.lit("p1"))
+    for kw in ({"after": "c0007"}, {"after": ids[-2]}, {"after": ids[-1]}, {"after": "zzz"}, {"segment": "RARE"}, {"segment": "RARE", "after": "c0002", "limit": 1}, {"segment": "NONE"}, {"customer_id": "c0600"}, {"customer_id": "c0600", "segment": "NONE"}, {"customer_id": "c0600", "after": "c0601"}):
+        kw = {"limit": 30} | kw
+        assert service.page("d", **kw).collect() == customers.page(whole, **kw).collect(), kw
+    assert len(_opened(service.page("d", segment="RARE"))) == 3 and len(_opened(service.page("d", segment="RARE", after="c0002", limit=1))) == 2
+    pages, after = [], None
+    while True:  # every page, from one id to the next, whatever files it lies in
+        got = service.page("d", "p1", limit=100, after=after).collect()
+        pages += [r.customer_id for r in got]
+        if not got or not got[-1].has_more:
+            break
+        after = got[-1].customer_id
+    assert pages == ids
+    with pytest.raises(ValueError):
+        service.page("d", limit=0)
+
+
+def test_scores_are_looked_up_alike(spark, tmp_path, many_files):
+    service = serving.CustomerService(spark, tmp_path)
+    ids = [f"c{n:04d}" for n in range(600)]
+    service.publish_profiles(ProfileBatch("p1", "d", "r", "v", date(2011, 6, 1)), profile_rows(spark, *ids))
+    service.publish_scores("d", ScoreBatch("s1", "p1", "m", "logistic", 30), spark.createDataFrame([(i, 0.25) for i in ids], "customer_id string, score double"))
+    assert len(_opened(service.scores.rows("d"))) == 12 and len(_opened(service.scores.lookup("d", ids[77]))) == 1
+    assert service.prediction("d", ids[77])["score"] == D("0.25") and service.prediction("d", "nobody") is None
+
+
+def test_a_batch_without_ranges_is_read_whole(spark, tmp_path):
+    """Batches that were published before there were ranges, and keys that repeat across files."""
+    store = publication.BatchStore(spark, tmp_path, facets=("f",))
+    rows = spark.createDataFrame([(k, v) for k in ("a", "b", "b", "b", "c") for v in ("x", "y")], "customer_id string, f string")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "2")
+    try:
+        store.publish("d", "b1", "about", rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert store.lookup("d", "b").count() == 6 and 3 <= len(_opened(store.lookup("d", "b"))) < len(_opened(store.rows("d")))
+    assert store.following("d", 3, "a", f="x").where("f = 'x' AND customer_id > 'a'").count() >= 3
+    (Folder.of(spark, tmp_path) / "d" / "b1" / "ranges").remove()
+    assert store.lookup("d", "b").count() == 6 and store.following("d", 1, "b").count() == 10
+    assert store.lookup("none", "b") is None and store.following("none", 1) is None
+
+
 def test_experiment(spark, tmp_path):
     rows = []
     for i in range(90):
