@@ -22,6 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from ..functions import parse
 from ..schema import ENVELOPE
+from . import identity
 
 #: The column that holds the least clock in rows that hold nothing else, and null in rows of the source.
 CLOCK = "clock"
@@ -90,12 +91,14 @@ def least_clock(source: DataFrame, delay_ms: int, idle_ms: int, expected: Iterab
 
 
 def align(source: DataFrame, folder: str, delay_ms: int, idle_ms: int, expected: Iterable[tuple[str, int]] = (), name: str = "aligned", **trigger) -> StreamingQuery:
-    """Start the first query: rows of ``source`` and clocks to ``folder``/rows.
+    """Start the first query: rows of ``source`` and clocks to ``folder``/rows; ``identity.OtherState`` if the checkpoint is of other operators.
 
     With timers of processing time Spark goes on with batches without rows for ever, so an ``availableNow`` run has none of
     those: there, idle partitions are found when rows of others come.
     """
-    clocks = least_clock(source, delay_ms, idle_ms, expected).select(F.timestamp_millis("ms").alias(CLOCK))
+    kept = least_clock(source, delay_ms, idle_ms, expected)
+    identity.guard(source.sparkSession, f"{folder}/operators.json", f"{folder}/checkpoint", identity.planned(kept, [LeastClock(delay_ms, idle_ms, expected)]))
+    clocks = kept.select(F.timestamp_millis("ms").alias(CLOCK))
     rows = source.select(*ENVELOPE.fieldNames()).unionByName(clocks, allowMissingColumns=True)
     writer = rows.writeStream.format("parquet").queryName(name).option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
     spark, empty = source.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"

@@ -24,7 +24,7 @@ from ..functions import parse
 from ..operators import metrics
 from ..plans.folder import Folder
 from ..schema import MONEY, PAYMENT, REFUND
-from . import clocks, windows
+from . import clocks, identity, windows
 
 
 def parsed(source: DataFrame) -> DataFrame:
@@ -137,11 +137,16 @@ class AuditedPipeline:
         finally:
             rows.unpersist()
 
-    def start(self, source: DataFrame, name: str = "audited-commerce", **trigger) -> StreamingQuery:
-        """The running query; RuntimeError if another version of the code wrote the folder's checkpoint."""
-        guard_checkpoint(Folder(self.spark, f"{self.folder}/guard"))
+    def start(self, source: DataFrame, name: str = "audited-commerce", same_code: bool = False, **trigger) -> StreamingQuery:
+        """The running query; ``identity.OtherState`` if the checkpoint's state is of other operators than this plan's.
+
+        With ``same_code`` any other code than that which wrote the checkpoint is refused, with a RuntimeError.
+        """
+        guard_checkpoint(Folder(self.spark, f"{self.folder}/guard"), strict=same_code)
         windows.prepare_store(self.spark)
         held = windows.held_until_closed(source, self.settings.out_of_order_ms)
+        operators = identity.planned(held, [windows.HeldWindow()])
+        identity.guard(self.spark, f"{self.folder}/guard/operators.json", f"{self.folder}/checkpoint", operators, parts=windows.PARTS, width=metrics.MINUTE)
         writer = held.writeStream.queryName(name).option("checkpointLocation", f"{self.folder}/checkpoint").foreachBatch(self.batch)
         return writer.trigger(**(trigger or {"processingTime": f"{self.settings.checkpoint_interval_ms} milliseconds"})).start()
 
@@ -183,7 +188,7 @@ def supervise(start: Callable[[], StreamingQuery], retries: int = 3, wait_s: flo
 
 
 def code_version() -> str:
-    """A digest of the package's code without ``llm``: a checkpoint is only taken up by the code that wrote it."""
+    """A digest of the package's code without ``llm``."""
     root, digest = Path(__file__).resolve().parent.parent, hashlib.sha256()
     for p in sorted(root.rglob("*.py")):
         if "llm" not in p.relative_to(root).parts:
@@ -191,9 +196,11 @@ def code_version() -> str:
     return digest.hexdigest()
 
 
-def guard_checkpoint(folder: Folder, version: str | None = None) -> None:
-    """Write the code's version beside a new checkpoint; RuntimeError if another version wrote it."""
+def guard_checkpoint(folder: Folder, version: str | None = None, strict: bool = True) -> None:
+    """Write the code's version beside a checkpoint; if another version wrote it, RuntimeError where ``strict``."""
     mark, version = folder / "code-version", version or code_version()
     folder.make()
     if not mark.claim(version) and mark.read() != version:
-        raise RuntimeError("another version of the code wrote this checkpoint")
+        if strict:
+            raise RuntimeError("another version of the code wrote this checkpoint")
+        mark.write(version)

@@ -9,7 +9,7 @@ from tallyspark.operators import snapshots
 from tallyspark.plans.folder import Folder
 from tallyspark.schema import ENVELOPE
 from tallyspark.sources import events as sources
-from tallyspark.streaming import pipeline
+from tallyspark.streaming import clocks, identity, pipeline, windows
 
 START = datetime(2026, 1, 15, 10, tzinfo=timezone.utc)
 
@@ -149,7 +149,73 @@ def test_supervision_and_checkpoint_guard(spark, tmp_path):
     pipeline.guard_checkpoint(place, "one")
     with pytest.raises(RuntimeError):
         pipeline.guard_checkpoint(place, "two")
+    pipeline.guard_checkpoint(place, "two", strict=False)
+    pipeline.guard_checkpoint(place, "two")
     (tmp_path / "out" / "guard").mkdir(parents=True)
     (tmp_path / "out" / "guard" / "code-version").write_text("of another time")
     with pytest.raises(RuntimeError):
-        pipeline.AuditedPipeline(spark, f"file://{tmp_path}/out").start(spark.readStream.schema(ENVELOPE).parquet(str(tmp_path)))
+        pipeline.AuditedPipeline(spark, f"file://{tmp_path}/out").start(spark.readStream.schema(ENVELOPE).parquet(str(tmp_path)), same_code=True)
+
+
+class OtherBodies(windows.HeldWindow):
+    def init(self, handle):
+        self.handle = handle
+        self.held = handle.getMapState("held", "event_id string", "body string, size long")
+
+
+class OtherName(windows.HeldWindow):
+    def init(self, handle):
+        self.handle = handle
+        self.held = handle.getMapState("kept", "event_id string", "body string")
+
+
+def test_an_edit_restarts_and_a_changed_plan_is_refused(spark, tmp_path, monkeypatch):
+    source = str(tmp_path / "in")
+    p = pipeline.AuditedPipeline(spark, f"file://{tmp_path}/out", StreamSettings(top_n=2), StorageSettings(dataset="d"))
+
+    def run():
+        p.start(sources.file_stream(spark, source), availableNow=True).awaitTermination()
+
+    put(spark, source, FIRST)
+    assert identity.stored(spark, f"{p.folder}/checkpoint") is None
+    run()
+    monkeypatch.setattr(pipeline, "code_version", lambda: "edited")  # other code with the same operators goes on
+    put(spark, source, LATER, 9)
+    run()
+    check(p.minutes())
+    assert p.late_events().count() == 2
+    for other, name in ((OtherBodies, "variables"), (OtherName, "kept")):
+        with monkeypatch.context() as m, pytest.raises(identity.OtherState, match=f"operator 0 transformWithStateInPandasExec.*{name}"):
+            m.setattr(windows, "HeldWindow", other)
+            run()
+    with monkeypatch.context() as m, pytest.raises(identity.OtherState, match="parts: 7, was 16"):
+        m.setattr(windows, "PARTS", 7)
+        run()
+    real = windows.held_until_closed
+    with monkeypatch.context() as m, pytest.raises(identity.OtherState, match="operator 0 dedupe: not in the checkpoint|operator 0 dedupe: was transformWithState"):
+        m.setattr(windows, "held_until_closed", lambda *a: real(*a).dropDuplicates(["kind", "body"]))
+        run()
+    (tmp_path / "out" / "guard" / "operators.json").unlink()  # the state itself still says what it is
+    with monkeypatch.context() as m, pytest.raises(identity.OtherState, match="operator 0"):
+        m.setattr(windows, "HeldWindow", OtherBodies)
+        run()
+    run()
+    check(p.minutes())
+
+
+def test_plans_and_states_of_native_chains_agree(spark, tmp_path):
+    source = str(tmp_path / "in")
+    put(spark, source, FIRST)
+    for k, make in enumerate((pipeline.native_totals, pipeline.native_ranking)):
+        rows = make(pipeline.parsed(sources.file_stream(spark, source)))
+        rows.writeStream.format("memory").queryName(f"agree{k}").option("checkpointLocation", f"file://{tmp_path}/{k}").trigger(availableNow=True).start().awaitTermination()
+        state, plan = identity.stored(spark, f"file://{tmp_path}/{k}"), identity.planned(rows)
+        assert [o["name"] for o in plan] == ["stateStoreSave"] * (3 if k == 0 else 5) + ["dedupe"] and identity.differences(plan, state) == []
+    totals = identity.planned(pipeline.native_totals(pipeline.parsed(sources.file_stream(spark, source))))
+    found = identity.differences(totals, state)
+    assert any("only in the checkpoint" in f for f in found) and any("keys" in f for f in found)
+    identity.guard(spark, f"file://{tmp_path}/mark", f"file://{tmp_path}/none", totals)
+    identity.guard(spark, f"file://{tmp_path}/mark", f"file://{tmp_path}/none", plan)  # nothing was committed: nothing to fit
+    with pytest.raises(identity.OtherState):
+        identity.guard(spark, f"file://{tmp_path}/mark", f"file://{tmp_path}/1", totals)
+    assert identity.declared(clocks.LeastClock(1, 1)) == {"partitions": ["MapState", ["string", "int"], ["bigint", "bigint"]], "least": ["ValueState", ["bigint"]]}
