@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..schema import AMOUNT, CANCELLATION, EXCLUDED_DUPLICATE, PURCHASE, QUARANTINED
 
@@ -25,15 +26,14 @@ def classify(raw: DataFrame) -> DataFrame:
 
     The first row of equal content stands for all; of the rest the first rule that is broken is the reason.
     """
-    # repeated contents are few: a narrow aggregate finds them, and rows aren't sorted by content
-    firsts = raw.groupBy("content_hash").agg(F.count("*").alias("copies"), F.min_by("source_row_id", F.col("source_row").cast("long")).alias("first_row_id")).where("copies > 1")
-    firsts = firsts.select(F.col("content_hash").alias("same"), "first_row_id")
-    rows = raw.join(firsts, F.col("content_hash").eqNullSafe(F.col("same")), "left")
-    typed = rows.select(
+    typed = raw.select(
         "source_row_id", F.col("source_row").cast("long").alias("source_row"), "content_hash", *[_text(c).alias(c) for c in ("invoice_no", "stock_code", "description", "customer_id", "country")],
         _number("quantity").alias("exact_quantity"), F.col("quantity").try_cast("long").alias("quantity"), F.col("invoice_time").try_cast("timestamp_ntz").alias("at"), _number("unit_price").alias("unit_price"),
-        "first_row_id",
-    ).withColumn("signed_amount", (F.col("exact_quantity") * F.col("unit_price")).cast(AMOUNT))
+    )
+    # one pass in order of content, over typed columns: rows are dealt out once, and no more of them than a query needs
+    in_turn = Window.partitionBy("content_hash").orderBy(F.asc_nulls_last("source_row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    typed = typed.withColumn("first_row_id", F.when(F.first("source_row").over(in_turn).isNotNull(), F.first("source_row_id").over(in_turn)))
+    typed = typed.withColumn("signed_amount", (F.col("exact_quantity") * F.col("unit_price")).cast(AMOUNT))
     quantity, cancels = F.col("quantity"), is_cancellation()
     rules = (
         (F.col("invoice_no").isNull() | F.col("stock_code").isNull(), "MISSING_TRANSACTION_KEY"),
@@ -71,9 +71,22 @@ def products(ledger_facts: DataFrame) -> DataFrame:
     return ledger_facts.groupBy("stock_code").agg(F.max_by("description", order).alias("description"))
 
 
+def row_marks(*columns: str) -> Column:
+    """A sum over rows that depends on what the columns hold and not on the rows' order."""
+    return F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+
+
+def _raw_amount() -> Column:
+    return F.sum((_number("quantity") * _number("unit_price")).cast(AMOUNT)).cast("decimal(38,6)").alias("amount")
+
+
 def source_totals(raw: DataFrame) -> DataFrame:
-    amount = (_number("quantity") * _number("unit_price")).cast(AMOUNT)
-    return raw.agg(F.count("*").alias("row_count"), F.count_distinct("source_row_id").alias("distinct_rows"), F.sum(amount).cast("decimal(38,6)").alias("amount"))
+    return raw.agg(F.count("*").alias("row_count"), F.count_distinct("source_row_id").alias("distinct_rows"), _raw_amount())
+
+
+def source_marks(raw: DataFrame) -> DataFrame:
+    """Rows, amount and marks of ids and contents: one pass without a shuffle."""
+    return raw.agg(F.count("*").alias("row_count"), _raw_amount(), row_marks("source_row_id").alias("ids"), row_marks("source_row_id", "content_hash").alias("contents"))
 
 
 def audit_totals(audit: DataFrame) -> DataFrame:
@@ -81,11 +94,14 @@ def audit_totals(audit: DataFrame) -> DataFrame:
 
 
 def input_profile(audit: DataFrame) -> DataFrame:
-    return audit.agg(
+    """One row of figures.  Each name is counted by a narrow branch of its own, so ``audit`` should be a written table."""
+    figures = audit.agg(
         F.min("invoice_time").alias("first_time"), F.max("invoice_time").alias("last_time"), F.count_if(F.col("customer_id").isNull()).alias("missing_customers"), F.count_if(F.col("description").isNull()).alias("missing_descriptions"),
         F.count_if(is_cancellation()).alias("cancellation_lines"), F.count_if(F.col("quantity") < 0).alias("negative_lines"), F.count_if(F.col("unit_price") <= 0).alias("unpriced_lines"),
-        F.count_distinct("invoice_no").alias("invoices"), F.count_distinct("customer_id").alias("customers"), F.count_distinct("stock_code").alias("products"),
     )
+    for column, name in (("invoice_no", "invoices"), ("customer_id", "customers"), ("stock_code", "products")):
+        figures = figures.crossJoin(F.broadcast(audit.agg(F.count_distinct(column).alias(name))))  # one row each
+    return figures
 
 
 def summary(audit: DataFrame, disposition: str) -> DataFrame:
@@ -122,15 +138,19 @@ class ReconciliationError(RuntimeError):
     """Totals of two steps differ."""
 
 
-def reconcile(raw: DataFrame, audit: DataFrame, ledger_facts: DataFrame, product_dim: DataFrame, customer_dim: DataFrame, expected_rows: int | None = None) -> dict:
-    """Check that no row and no amount was lost between the steps; the figures, or ReconciliationError."""
-    source, kept = source_totals(raw).first(), audit_totals(audit).first()
-    if tuple(source) != tuple(kept) or source["row_count"] != source["distinct_rows"]:
+def reconcile(raw: DataFrame, audit: DataFrame, ledger_facts: DataFrame, product_dim: DataFrame, customer_dim: DataFrame, expected_rows: int | None = None, seen: Row | None = None) -> dict:
+    """Check that no row and no amount was lost between the steps; the figures, or ReconciliationError.
+
+    ``seen`` is the row of ``source_marks``, if it was made before.
+    """
+    source = seen or source_marks(raw).first()
+    kept = audit.agg(F.count("*").alias("row_count"), F.sum("signed_amount").cast("decimal(38,6)").alias("amount"), row_marks("source_row_id").alias("ids"), F.count_if(F.col("disposition").isin(PURCHASE, CANCELLATION)).alias("retained")).first()
+    distinct = audit.agg(F.count_distinct("source_row_id")).first()[0]  # both sides have the same ids, so they are counted on one
+    if any(source[c] != kept[c] for c in ("row_count", "amount", "ids")) or kept["row_count"] != distinct:
         raise ReconciliationError(f"source {tuple(source)} and audit {tuple(kept)} differ")
     if expected_rows is not None and source["row_count"] != expected_rows:
         raise ReconciliationError(f"{source['row_count']} rows, the manifest says {expected_rows}")
-    retained = audit.where(F.col("disposition").isin(PURCHASE, CANCELLATION)).count()
-    match = dimension_matches(ledger_facts, product_dim, customer_dim).first()
+    retained, match = kept["retained"], dimension_matches(ledger_facts, product_dim, customer_dim).first()
     if not retained == match["fact_rows"] == match["product_matches"]:
         raise ReconciliationError(f"{retained} retained lines, {match['fact_rows']} facts, {match['product_matches']} with a product")
     return {"rows": source["row_count"], "amount": str(source["amount"]), "facts": match["fact_rows"], "customer_matches": match["customer_matches"]}

@@ -14,6 +14,10 @@ from ..schema import CLICK, MONEY, ORDER, PAYMENT, REFUND, VIEW
 TYPES = {"view": VIEW, "click": CLICK, "signup": ORDER, "purchase": PAYMENT, "error": REFUND}
 
 
+#: Order lines to a task; their number is in the files' footers.
+LINES = 250_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,11 +54,14 @@ def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     rest = [c for c in lines.columns if c not in ("l_orderkey", "l_linenumber")]
     twin = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*rest))
-    lines = lines.withColumn("source_row", F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + twin)
+    # dealt out by order once, for the numbers and for the join, in parts of bounded size; what orders bring along is joined to them first
+    parts = max(spark.sparkContext.defaultParallelism, -(-lines.count() // LINES))
+    lines = lines.repartition(parts, "l_orderkey").withColumn("source_row", F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + twin)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    buyers = customers.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    joined = lines.join(orders.join(buyers, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
     k = F.col("source_row") % 97
     returned = F.col("l_returnflag") == "R"
     count = F.col("l_quantity").cast("long").cast("string")

@@ -202,8 +202,9 @@ def build_release(raw: DataFrame, root: Place, source_sha: str, expected_rows: i
     """
     version, root = version or code_version(), Folder.of(raw.sparkSession, root)
     with writer_lock(root / "releases.lock") as lease:
-        rows = raw.select(F.count("*"), F.sum(F.xxhash64("source_row_id", "content_hash").cast("decimal(38,0)"))).first()
-        release = identity(source_sha, f"{rows[0]}/{rows[1]}", version)
+        # one pass over the source for its name and its totals
+        rows = ledger.source_marks(raw).first()
+        release = identity(source_sha, f"{rows['row_count']}/{rows['contents']}", version)
 
         def fill(part: Folder) -> dict:
             spark = raw.sparkSession
@@ -214,7 +215,7 @@ def build_release(raw: DataFrame, root: Place, source_sha: str, expected_rows: i
             facts = spark.read.parquet(uri("facts"))
             ledger.customers(facts).write.parquet(uri("customers"))
             ledger.products(facts).write.parquet(uri("products"))
-            figures = ledger.reconcile(raw, audit, facts, spark.read.parquet(uri("products")), spark.read.parquet(uri("customers")), expected_rows)
+            figures = ledger.reconcile(raw, audit, facts, spark.read.parquet(uri("products")), spark.read.parquet(uri("customers")), expected_rows, rows)
             profile = ledger.input_profile(audit).first().asDict()
             write_json(part / "quality.json", figures | profile | {"dispositions": [r.asDict() for r in ledger.dispositions(audit).collect()]})
             return {"release": release, "source": source_sha, "version": version}

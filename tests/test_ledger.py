@@ -98,3 +98,44 @@ def test_plan():
     for bad in ({"training": ()}, {"history_days": 0}, {"horizon_days": 0}, {"contact_fraction": 0}, {"validation": (date(2011, 6, 15),)}):
         with pytest.raises(ValueError):
             ExperimentPlan(**{**plan.__dict__, **bad})
+
+
+def shuffles(df):
+    """Exchanges of the plan before it runs, and the columns of the widest."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text.count("Exchange hashpartitioning"), text
+
+
+def test_classification_deals_rows_out_once(spark):
+    """No join back to the rows and no copy of them: one exchange, by content."""
+    assert shuffles(ledger.classify(raw(spark, ROWS)))[0] == 1
+    rows = [("same", "1", "A", "x", "1", "2011-01-05T10:00", "2", "c", "UK")] * 3
+    got = {r.source_row_id: r.duplicate_of for r in ledger.classify(raw(spark, [(None, *rows[0][1:]), (None, *rows[0][1:]), *rows])).collect()}
+    assert got == {"r1": None, "r2": "r1", "r3": None, "r4": "r3", "r5": "r3"}  # rows without a content count as equal
+    blind = ledger.classify(raw(spark, rows).withColumn("source_row", F.lit(None).cast("string")))
+    assert blind.where("duplicate_of IS NOT NULL").count() == 0  # none of them is known to be the first
+
+
+def test_order_lines_are_dealt_out_once(spark):
+    from tallyspark.plans import adapters
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, plan = shuffles(adapters.ledger_rows(spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wide = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and ("l_orderkey" in x or "l_linenumber" in x or "source_row" in x)]
+    assert len(wide) == 1 and "hashpartitioning(l_orderkey" in wide[0]
+
+
+def test_a_lost_and_a_repeated_row_are_found(spark):
+    """One row lost and another of the same amount in its place twice: count and amount agree."""
+    source = raw(spark, [("a", "1", "A", "x", "1", "2011-01-05T10:00", "2", "c", "UK"), ("b", "2", "A", "x", "1", "2011-01-05T10:00", "2", "c", "UK")])
+    audit = ledger.classify(source)
+    forged = audit.where("source_row = 1").unionByName(audit.where("source_row = 1"))
+    facts = ledger.facts(audit)
+    with pytest.raises(ledger.ReconciliationError):
+        ledger.reconcile(source, forged, facts, ledger.products(facts), ledger.customers(facts))
+    twice = source.where("source_row = '1'").unionByName(source.where("source_row = '1'"))
+    with pytest.raises(ledger.ReconciliationError):
+        ledger.reconcile(twice, forged, facts, ledger.products(facts), ledger.customers(facts))
