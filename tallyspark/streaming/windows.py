@@ -1,8 +1,8 @@
 """One stateful operator that deduplicates events, holds them until their window closes, and gives late ones apart.
 
-State lives in Spark's state store (RocksDB): for each window and part of its event ids a map of the events that came
-first, and an event-time timer at the window's end.  When the watermark reaches the end the events are given out and
-the state goes; an event of a window that is closed already comes out at once, marked late.  So results and late events
+State lives in Spark's state store (RocksDB): for each slot of windows and part of their event ids the events as they came,
+and an event-time timer at the first window's end.  When the watermark reaches an end the window's events are given out and
+go from the state; an event of a window that is closed already comes out at once, marked late.  So results and late events
 are rows of one stream, and a restart goes on in the middle of a window from the checkpoint.
 """
 
@@ -31,35 +31,66 @@ _ARRIVAL = ("topic", "partition", "offset")
 _HELD = T.StructType([f if f.name != "event_time" else T.StructField("micros", T.LongType()) for f in EVENT] + [T.StructField("topic", T.StringType()), T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType())])
 _DEAD = T.StructType([T.StructField("sourceTopic", T.StringType()), T.StructField("sourcePartition", T.IntegerType()), T.StructField("sourceOffset", T.LongType()), *(T.StructField(c, T.StringType()) for c in ("keyBase64", "valueBase64", "reason"))])
 OUTPUT = "kind string, body string"
+#: Milliseconds of windows that share a group.
+SLOT = 21_600_000
+_HELD_BY = ("end", "event_id", *_ARRIVAL, "turn", "body")
+PIECE = "end array<long>, event_id array<string>, topic array<string>, partition array<int>, offset array<long>, turn array<long>, body array<string>"
+
+
+def _piece(rows: pd.DataFrame) -> tuple:
+    return tuple(rows[c].tolist() for c in _HELD_BY)
 
 
 class HeldWindow(StatefulProcessor):
-    """The events of one part of a window, by id; bodies are JSON, so state has one schema whatever events hold."""
+    """The events of one part of a slot's windows, by pieces as they came; bodies are JSON, so state has one schema whatever events hold.
+
+    A piece is one value of state with columns of many events, and a slot has one timer, at the first end of its windows: calls
+    between Spark and Python grow with slots and pieces, not with events.  Equal ids are sorted out when their window closes.
+    """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "event_id string", "body string")
+        self.held = handle.getListState("held", PIECE)
+        self.about = handle.getValueState("about", "turn long, due long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        end = key[0]
         watermark = timerValues.getCurrentWatermarkInMs()
-        arrived = pd.concat(list(rows))
-        if end == NO_WINDOW:
-            yield pd.DataFrame({"kind": DEAD, "body": arrived["body"]})
-            return
-        if end <= watermark:
-            yield pd.DataFrame({"kind": LATE, "body": arrived["body"]})
-            return
-        for row in arrived.sort_values(list(_ARRIVAL)).drop_duplicates("event_id").itertuples():
-            if not self.held.containsKey((row.event_id,)):
-                self.held.updateValue((row.event_id,), (row.body,))
-        self.handle.registerTimer(int(end))
-        yield pd.DataFrame([], columns=["kind", "body"])
+        turn, due = self.about.get() if self.about.exists() else (0, None)
+        first = due
+        for arrived in rows:
+            dead, late = arrived["end"] == NO_WINDOW, arrived["end"] <= watermark
+            late &= ~dead
+            for kind, these in ((DEAD, dead), (LATE, late)):
+                if these.any():
+                    yield pd.DataFrame({"kind": kind, "body": arrived["body"][these]})
+            kept = arrived[~(dead | late)]
+            if len(kept):
+                self.held.appendValue(_piece(kept.assign(turn=turn)))
+                first = int(kept["end"].min()) if first is None else min(first, int(kept["end"].min()))
+        if first is not None:
+            self._wait(turn + 1, due, first)
+
+    def _wait(self, turn: int, before: int | None, due: int | None) -> None:
+        """Note the turn, and have the timer at ``due`` alone."""
+        if due != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(due)
+        self.about.update((turn, due))
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        bodies = [value[0] for value in self.held.values()]
-        self.held.clear()
-        yield pd.DataFrame({"kind": ON_TIME, "body": bodies})
+        turn, _ = self.about.get()
+        held = pd.concat([pd.DataFrame(dict(zip(_HELD_BY, piece, strict=True))) for piece in self.held.get()], ignore_index=True)
+        held = held.sort_values(["turn", *_ARRIVAL], kind="stable").drop_duplicates(["end", "event_id"])
+        closed = held["end"] <= timerValues.getCurrentWatermarkInMs()
+        rest = held[~closed]
+        if len(rest):
+            self.held.put([_piece(rest)])
+            self._wait(turn, None, int(rest["end"].min()))
+        else:
+            self.held.clear()
+            self.about.clear()
+        yield pd.DataFrame({"kind": ON_TIME, "body": held["body"][closed]})
 
     def close(self) -> None:
         pass
@@ -89,8 +120,9 @@ def held_until_closed(source: DataFrame, delay_ms: int = 30_000, width: str = me
     window_end = F.unix_millis(metrics.minute_end(F.timestamp_micros(F.coalesce(micros, F.lit(0))), width))  # F.window leaves out rows without a time
     end = F.when(micros.isNotNull(), window_end).otherwise(F.lit(NO_WINDOW))
     part = F.pmod(F.xxhash64(F.coalesce("event_id", F.col("offset").cast("string"))), F.lit(PARTS))
-    keyed = rows.select(end.alias("end"), part.alias("part"), "event_id", *_ARRIVAL, body.alias("body"))
-    return keyed.groupBy("end", "part").transformWithStateInPandas(HeldWindow(), OUTPUT, "append", "eventTime")
+    places = [F.coalesce(c, F.lit(last)).alias(c) for c, last in zip(_ARRIVAL, ("\U0010ffff", (1 << 31) - 1, (1 << 63) - 1), strict=True)]  # for the order alone: unknown ones come last
+    keyed = rows.select(end.alias("end"), part.alias("part"), "event_id", *places, body.alias("body")).withColumn("slot", F.floor(F.col("end") / SLOT))
+    return keyed.groupBy("slot", "part").transformWithStateInPandas(HeldWindow(), OUTPUT, "append", "eventTime")
 
 
 def events_of(rows: DataFrame, kind: str) -> DataFrame:

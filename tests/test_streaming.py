@@ -219,3 +219,80 @@ def test_plans_and_states_of_native_chains_agree(spark, tmp_path):
     with pytest.raises(identity.OtherState):
         identity.guard(spark, f"file://{tmp_path}/mark", f"file://{tmp_path}/1", totals)
     assert identity.declared(clocks.LeastClock(1, 1)) == {"partitions": ["MapState", ["string", "int"], ["bigint", "bigint"]], "least": ["ValueState", ["bigint"]]}
+
+
+class Handle:
+    """State and timers of one group, and how often they are called."""
+
+    def __init__(self):
+        self.list, self.value, self.timers, self.calls = [], None, set(), 0
+
+    def getListState(self, name, schema):
+        return self
+
+    def getValueState(self, name, schema):
+        handle = self
+
+        class Value:
+            def exists(self):
+                return handle.value is not None
+
+            def get(self):
+                return handle.value
+
+            def update(self, value):
+                handle.calls, handle.value = handle.calls + 1, value
+
+            def clear(self):
+                handle.value = None
+
+        return Value()
+
+    def appendValue(self, piece):
+        self.calls += 1
+        self.list.append(piece)
+
+    def get(self):
+        return iter(self.list)
+
+    def put(self, pieces):
+        self.list = pieces
+
+    def clear(self):
+        self.list = []
+
+    def registerTimer(self, ms):
+        self.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+
+def test_calls_of_state_grow_with_pieces_and_not_with_events(spark):
+    import pandas as pd
+
+    class At:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    def frame(*rows):
+        return pd.DataFrame([(end, i, "t", 0, offset, f"{i}@{offset}") for end, i, offset in rows], columns=["end", "event_id", "topic", "partition", "offset", "body"])
+
+    def out(found, kind):
+        return sorted(b for f in found for k, b in zip(f["kind"], f["body"], strict=True) if k == kind)
+
+    handle, held = Handle(), windows.HeldWindow()
+    held.init(handle)
+    many = [(60_000 * (1 + n % 10), f"e{n}", n) for n in range(1000)]
+    assert out(held.handleInputRows((0, 0), iter([frame(*many[:500], (60_000, "a", 7000)), frame(*many[500:], (60_000, "a", 6000), (windows.NO_WINDOW, None, 1))]), At(0)), windows.DEAD) == ["None@1"]
+    assert handle.calls <= 6 and handle.timers == {60_000}
+    list(held.handleInputRows((0, 0), iter([frame((60_000, "a", 1), (120_000, "late later", 2))]), At(0)))  # a later batch: the first stays
+    handle.timers.clear()
+    closed = out(held.handleExpiredTimer((0, 0), At(60_000), None), windows.ON_TIME)
+    assert len(closed) == 101 and "a@6000" in closed and handle.timers == {120_000}
+    assert out(held.handleInputRows((0, 0), iter([frame((60_000, "b", 9))]), At(60_000)), windows.LATE) == ["b@9"]
+    assert len(out(held.handleExpiredTimer((0, 0), At(600_000), None), windows.ON_TIME)) == 901 and handle.list == [] and handle.value is None
