@@ -92,8 +92,14 @@ def coverage(profiles: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
-    """How many rows either side has that the other hasn't, counting repeats."""
+    """How many rows either side has that the other hasn't, counting repeats.
+
+    Rows are known by 128 bits: two 64-bit hashes of all values and of which are null.  Whole rows aren't shuffled; n
+    different rows are told apart but for a chance of about n*n/2^129.
+    """
     both = left.withColumn("sign", F.lit(1)).unionByName(right.withColumn("sign", F.lit(-1)))
-    more = both.groupBy(*left.columns).agg(F.sum("sign").alias("more"))  # one grouping, combined before the shuffle
+    nulls = F.array(*[F.col(c).isNull() for c in left.columns])  # a hash skips nulls
+    names = [F.xxhash64(F.lit(k), nulls, *left.columns).alias(f"name_{k}") for k in (1, 2)]
+    more = both.select(*names, "sign").groupBy("name_1", "name_2").agg(F.sum("sign").alias("more"))
     sides = more.agg(F.coalesce(F.sum(F.greatest("more", F.lit(0))), F.lit(0)).alias("l"), F.coalesce(F.sum(F.greatest(F.negative("more"), F.lit(0))), F.lit(0)).alias("r"))
     return sides.select(F.inline(F.array(F.struct(F.lit("only left").alias("side"), F.col("l").alias("row_count")), F.struct(F.lit("only right").alias("side"), F.col("r").alias("row_count")))))

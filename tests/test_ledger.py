@@ -139,3 +139,15 @@ def test_a_lost_and_a_repeated_row_are_found(spark):
     twice = source.where("source_row = '1'").unionByName(source.where("source_row = '1'"))
     with pytest.raises(ledger.ReconciliationError):
         ledger.reconcile(twice, forged, facts, ledger.products(facts), ledger.customers(facts))
+
+
+def test_differences_shuffle_names_of_rows(spark):
+    rows = [(None, "a", D("1.5"), 0.0), ("a", None, D("1.5"), 0.0), ("a", "b", None, float("nan")), ("a", "b", None, float("nan")), ("ab", "", None, None)]
+    kind = "x string, y string, z decimal(30,6), v double"
+    left = spark.createDataFrame(rows, kind)
+    right = spark.createDataFrame([("a", None, D("1.5"), -0.0), ("a", "b", None, float("nan")), ("", "ab", None, None)], kind)
+    found = ranking.differences(left, right)
+    assert {tuple(r) for r in found.collect()} == {("only left", 3), ("only right", 1)}
+    assert {tuple(r) for r in ranking.differences(left, left).collect()} == {("only left", 0), ("only right", 0)}
+    exchange = [x for x in shuffles(found)[1].splitlines() if "Exchange hashpartitioning" in x]
+    assert exchange and all("hashpartitioning(name_1" in x for x in exchange)
