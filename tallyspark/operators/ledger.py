@@ -21,17 +21,18 @@ def is_cancellation() -> Column:
     return F.upper("invoice_no").startswith("C")
 
 
-def classify(raw: DataFrame) -> DataFrame:
+def classify(raw: DataFrame, dealt_by: tuple[str, ...] = ()) -> DataFrame:
     """Typed rows with disposition, reason, duplicate_of, eligibility and month (``schema.LEDGER`` in).
 
     The first row of equal content stands for all; of the rest the first rule that is broken is the reason.
+    ``dealt_by`` names columns that rows of equal content share; rows that are dealt out by them already stay where they are.
     """
     typed = raw.select(
-        "source_row_id", F.col("source_row").cast("long").alias("source_row"), "content_hash", *[_text(c).alias(c) for c in ("invoice_no", "stock_code", "description", "customer_id", "country")],
+        *dealt_by, "source_row_id", F.col("source_row").cast("long").alias("source_row"), "content_hash", *[_text(c).alias(c) for c in ("invoice_no", "stock_code", "description", "customer_id", "country")],
         _number("quantity").alias("exact_quantity"), F.col("quantity").try_cast("long").alias("quantity"), F.col("invoice_time").try_cast("timestamp_ntz").alias("at"), _number("unit_price").alias("unit_price"),
     )
     # one pass in order of content, over typed columns: rows are dealt out once, and no more of them than a query needs
-    in_turn = Window.partitionBy("content_hash").orderBy(F.asc_nulls_last("source_row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_turn = Window.partitionBy(*dealt_by, "content_hash").orderBy(F.asc_nulls_last("source_row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     typed = typed.withColumn("first_row_id", F.when(F.first("source_row").over(in_turn).isNotNull(), F.first("source_row_id").over(in_turn)))
     typed = typed.withColumn("signed_amount", (F.col("exact_quantity") * F.col("unit_price")).cast(AMOUNT))
     quantity, cancels = F.col("quantity"), is_cancellation()

@@ -49,8 +49,11 @@ e AS (
   FROM events)"""
 
 
-def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as raw transactions, some of them spoilt by a rule over the row number."""
+def ledger_rows(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Order lines as raw transactions, some of them spoilt by a rule over the row number; ``more`` names columns to keep beside these.
+
+    They are dealt out by ``l_orderkey``, which rows of equal content share.
+    """
     lines = table(spark, sf_dir, "lineitem")
     rest = [c for c in lines.columns if c not in ("l_orderkey", "l_linenumber")]
     twin = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*rest))
@@ -73,6 +76,7 @@ def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, "0").when(k == 5, "1.5").when(returned == (k == 1), count).otherwise(F.concat(F.lit("-"), count)).alias("quantity"),
         F.when(k == 3, "no time").otherwise(F.col("o_orderdate").cast("string")).alias("invoice_time"), F.when(k == 2, "0").otherwise(F.col("l_extendedprice").cast("decimal(18,2)").cast("string")).alias("unit_price"),
         F.when(k == 4, " ").otherwise(F.col("o_custkey").cast("string")).alias("customer_id"), F.col("n_name").alias("country"),
+        *more,
     )
 
 

@@ -141,6 +141,19 @@ def test_a_lost_and_a_repeated_row_are_found(spark):
         ledger.reconcile(twice, forged, facts, ledger.products(facts), ledger.customers(facts))
 
 
+def test_audit_of_order_lines_deals_them_out_once(spark):
+    """Numbering, the join to orders and classification share one exchange of the lines."""
+    from tallyspark.plans import queries
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, plan = shuffles(queries._audit(spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    wide = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert not [x for x in wide if "content_hash" in x] and len([x for x in wide if "l_orderkey" in x]) == 1
+
+
 def test_differences_shuffle_names_of_rows(spark):
     rows = [(None, "a", D("1.5"), 0.0), ("a", None, D("1.5"), 0.0), ("a", "b", None, float("nan")), ("a", "b", None, float("nan")), ("ab", "", None, None)]
     kind = "x string, y string, z decimal(30,6), v double"
