@@ -81,8 +81,13 @@ def _raw_amount() -> Column:
     return F.sum((_number("quantity") * _number("unit_price")).cast(AMOUNT)).cast("decimal(38,6)").alias("amount")
 
 
-def source_totals(raw: DataFrame) -> DataFrame:
-    return raw.agg(F.count("*").alias("row_count"), F.count_distinct("source_row_id").alias("distinct_rows"), _raw_amount())
+def source_totals(raw: DataFrame, parts: int | None = None) -> DataFrame:
+    """Rows, distinct ids and amount.  ``parts`` says into how many tasks ids are dealt; without it, as many as the session's shuffles have."""
+    if parts is None:
+        return raw.agg(F.count("*").alias("row_count"), F.count_distinct("source_row_id").alias("distinct_rows"), _raw_amount())
+    # an id is in one task, so tasks count theirs; ids hardly repeat, so they aren't gathered before
+    by_id = raw.select("source_row_id", "quantity", "unit_price").repartition(parts, "source_row_id").groupBy("source_row_id").agg(F.count("*").alias("copies"), _raw_amount())
+    return by_id.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("row_count"), F.count("source_row_id").alias("distinct_rows"), F.sum("amount").cast("decimal(38,6)").alias("amount"))
 
 
 def source_marks(raw: DataFrame) -> DataFrame:

@@ -49,6 +49,11 @@ e AS (
   FROM events)"""
 
 
+def line_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks that hold ``LINES`` order lines each, one to a core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // LINES))
+
+
 def ledger_rows(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Order lines as raw transactions, some of them spoilt by a rule over the row number; ``more`` names columns to keep beside these.
 
@@ -58,8 +63,7 @@ def ledger_rows(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     rest = [c for c in lines.columns if c not in ("l_orderkey", "l_linenumber")]
     twin = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*rest))
     # dealt out by order once, for the numbers and for the join, in parts of bounded size; what orders bring along is joined to them first
-    parts = max(spark.sparkContext.defaultParallelism, -(-lines.count() // LINES))
-    lines = lines.repartition(parts, "l_orderkey").withColumn("source_row", F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + twin)
+    lines = lines.repartition(line_parts(spark, sf_dir), "l_orderkey").withColumn("source_row", F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + twin)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")

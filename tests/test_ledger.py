@@ -164,3 +164,12 @@ def test_differences_shuffle_names_of_rows(spark):
     assert {tuple(r) for r in ranking.differences(left, left).collect()} == {("only left", 0), ("only right", 0)}
     exchange = [x for x in shuffles(found)[1].splitlines() if "Exchange hashpartitioning" in x]
     assert exchange and all("hashpartitioning(name_1" in x for x in exchange)
+
+
+def test_ids_are_counted_in_parts_of_bounded_size(spark):
+    """The number of tasks that count ids follows the rows, not the session's shuffles; sums are the same."""
+    source = raw(spark, ROWS)
+    source = source.unionByName(source.where("source_row < 4")).unionByName(source.withColumn("source_row_id", F.lit(None).cast("string")).where("source_row < 3"))
+    assert ledger.source_totals(source, 7).collect() == ledger.source_totals(source).collect() and tuple(ledger.source_totals(source, 7).first())[:2] == (15, 10)
+    assert ledger.source_totals(source.limit(0), 7).collect() == ledger.source_totals(source.limit(0)).collect()
+    assert [x for x in shuffles(ledger.source_totals(source, 7))[1].splitlines() if "hashpartitioning(source_row_id" in x and ", 7)" in x]
