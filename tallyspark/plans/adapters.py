@@ -59,8 +59,9 @@ def ledger_rows(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 
     They are dealt out by ``l_orderkey``, which rows of equal content share.
     """
-    lines = table(spark, sf_dir, "lineitem")
-    rest = [c for c in lines.columns if c not in ("l_orderkey", "l_linenumber")]
+    # lines that agree in all of these give the same raw row, so what else a line has needn't decide which comes first, nor travel
+    rest = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *rest)
     twin = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*rest))
     # dealt out by order once, for the numbers and for the join, in parts of bounded size; what orders bring along is joined to them first
     lines = lines.repartition(line_parts(spark, sf_dir), "l_orderkey").withColumn("source_row", F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + twin)

@@ -3,6 +3,7 @@ from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyspark.config import ExperimentPlan
 from tallyspark.operators import customers, ledger, ranking
@@ -128,6 +129,26 @@ def test_order_lines_are_dealt_out_once(spark):
     assert len(wide) == 1 and "hashpartitioning(l_orderkey" in wide[0]
 
 
+def test_order_lines_travel_without_columns_that_no_row_shows(spark, tmp_path):
+    """Status and shipping day are neither dealt out nor sorted by, and twins that differ in them alone give the rows that they gave."""
+    from tallyspark.plans import adapters
+
+    _, plan = shuffles(adapters.ledger_rows(spark, "/root/testdata/sf0.001"))
+    assert "l_partkey" in plan and "l_shipdate" not in plan and "l_linestatus" not in plan
+    source = "/root/testdata/sf0.001"
+    for name in ("orders", "customer", "nation"):
+        adapters.table(spark, source, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = adapters.table(spark, source, "lineitem").limit(200)
+    again = lines.withColumn("l_linestatus", F.lit("x")).withColumn("l_shipdate", F.col("l_shipdate") - F.expr("INTERVAL 1 DAY"))
+    lines.unionByName(again).write.parquet(f"{tmp_path}/lineitem.parquet")
+    both = spark.read.parquet(f"{tmp_path}/lineitem.parquet")
+    order = [c for c in both.columns if c not in ("l_orderkey", "l_linenumber")]
+    turn = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*order))
+    numbered = both.select((F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 100 + turn).alias("n"), "l_partkey", "l_returnflag", "l_orderkey").collect()
+    want = sorted((f"r{x.n}", f"P{x.l_partkey}", " " if x.n % 97 == 6 else f"{'C' if x.l_returnflag == 'R' else ''}{x.l_orderkey}") for x in numbered)
+    assert len(want) == 400 and want == sorted((x.source_row_id, x.stock_code, x.invoice_no) for x in adapters.ledger_rows(spark, str(tmp_path)).collect())
+
+
 def test_a_lost_and_a_repeated_row_are_found(spark):
     """One row lost and another of the same amount in its place twice: count and amount agree."""
     source = raw(spark, [("a", "1", "A", "x", "1", "2011-01-05T10:00", "2", "c", "UK"), ("b", "2", "A", "x", "1", "2011-01-05T10:00", "2", "c", "UK")])
