@@ -194,6 +194,18 @@ def archive_source(spark: SparkSession, source: Path, root: Place) -> Folder:
     return target
 
 
+#: Columns whose values hardly repeat: for each file a dictionary of them would be built, found useless and undone.
+UNIQUE = ("source_row_id", "source_row", "content_hash", "signed_amount", "duplicate_of")
+
+
+def _write_months(rows: DataFrame, path: str) -> None:
+    """Ledger rows as a Parquet table by month: many small files, so what each costs counts."""
+    writer = rows.write.partitionBy("transaction_month").option("compression", "zstd")
+    for c in UNIQUE:
+        writer = writer.option(f"parquet.enable.dictionary#{c}", "false")
+    writer.parquet(path)
+
+
 def build_release(raw: DataFrame, root: Place, source_sha: str, expected_rows: int | None = None, version: str | None = None) -> str:
     """Audit, facts and dimensions as Parquet tables of a release named by source, rows and code; the release's id.
 
@@ -209,9 +221,9 @@ def build_release(raw: DataFrame, root: Place, source_sha: str, expected_rows: i
         def fill(part: Folder) -> dict:
             spark = raw.sparkSession
             uri = lambda name: f"{part}/{name}"
-            ledger.classify(raw).write.partitionBy("transaction_month").parquet(uri("audit"))
+            _write_months(ledger.classify(raw), uri("audit"))
             audit = spark.read.parquet(uri("audit"))
-            ledger.facts(audit).write.partitionBy("transaction_month").parquet(uri("facts"))
+            _write_months(ledger.facts(audit), uri("facts"))
             facts = spark.read.parquet(uri("facts"))
             ledger.customers(facts).write.parquet(uri("customers"))
             ledger.products(facts).write.parquet(uri("products"))
