@@ -21,16 +21,23 @@ def is_cancellation() -> Column:
     return F.upper("invoice_no").startswith("C")
 
 
-def classify(raw: DataFrame, dealt_by: tuple[str, ...] = ()) -> DataFrame:
+def is_fact() -> Column:
+    return F.col("disposition").isin(PURCHASE, CANCELLATION)
+
+
+def classify(raw: DataFrame, dealt_by: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """Typed rows with disposition, reason, duplicate_of, eligibility and month (``schema.LEDGER`` in).
 
     The first row of equal content stands for all; of the rest the first rule that is broken is the reason.
     ``dealt_by`` names columns that rows of equal content share; rows that are dealt out by them already stay where they are.
+    ``parts`` says into how many tasks rows are dealt; without it, into as many as the session's shuffles have.
     """
     typed = raw.select(
         *dealt_by, "source_row_id", F.col("source_row").cast("long").alias("source_row"), "content_hash", *[_text(c).alias(c) for c in ("invoice_no", "stock_code", "description", "customer_id", "country")],
         _number("quantity").alias("exact_quantity"), F.col("quantity").try_cast("long").alias("quantity"), F.col("invoice_time").try_cast("timestamp_ntz").alias("at"), _number("unit_price").alias("unit_price"),
     )
+    if parts is not None:
+        typed = typed.repartition(parts, *(dealt_by or ("content_hash",)))
     # one pass in order of content, over typed columns: rows are dealt out once, and no more of them than a query needs
     in_turn = Window.partitionBy(*dealt_by, "content_hash").orderBy(F.asc_nulls_last("source_row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     typed = typed.withColumn("first_row_id", F.when(F.first("source_row").over(in_turn).isNotNull(), F.first("source_row_id").over(in_turn)))
@@ -57,19 +64,19 @@ def classify(raw: DataFrame, dealt_by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def facts(audit: DataFrame) -> DataFrame:
-    return audit.where(F.col("disposition").isin(PURCHASE, CANCELLATION))
+    return audit.where(is_fact())
 
 
-def customers(ledger_facts: DataFrame) -> DataFrame:
-    """customer_id with the country of its latest row (later source row first)."""
+def customers(ledger_facts: DataFrame, *more: Column) -> DataFrame:
+    """customer_id with the country of its latest row (later source row first); ``more`` are aggregates to keep beside it."""
     known = ledger_facts.where(F.col("customer_id").isNotNull())
-    return known.groupBy("customer_id").agg(F.max_by("country", F.struct("invoice_time", "source_row")).alias("country"))
+    return known.groupBy("customer_id").agg(F.max_by("country", F.struct("invoice_time", "source_row")).alias("country"), *more)
 
 
-def products(ledger_facts: DataFrame) -> DataFrame:
-    """stock_code with its latest description; a row without one is looked at last."""
+def products(ledger_facts: DataFrame, *more: Column) -> DataFrame:
+    """stock_code with its latest description; a row without one is looked at last; ``more`` are aggregates to keep beside it."""
     order = F.struct(F.col("description").isNotNull(), "invoice_time", "source_row")
-    return ledger_facts.groupBy("stock_code").agg(F.max_by("description", order).alias("description"))
+    return ledger_facts.groupBy("stock_code").agg(F.max_by("description", order).alias("description"), *more)
 
 
 def row_marks(*columns: str) -> Column:
@@ -99,14 +106,18 @@ def audit_totals(audit: DataFrame) -> DataFrame:
     return audit.agg(F.count("*").alias("row_count"), F.count_distinct("source_row_id").alias("distinct_rows"), F.sum("signed_amount").cast("decimal(38,6)").alias("amount"))
 
 
-def input_profile(audit: DataFrame) -> DataFrame:
-    """One row of figures.  Each name is counted by a narrow branch of its own, so ``audit`` should be a written table."""
+def input_profile(audit: DataFrame, product_dim: DataFrame | None = None, customer_dim: DataFrame | None = None) -> DataFrame:
+    """One row of figures.  Each name is counted by a narrow branch of its own, so ``audit`` should be a written table.
+
+    Names that a dimension of the audit's facts holds aren't looked up in the facts again.
+    """
     figures = audit.agg(
         F.min("invoice_time").alias("first_time"), F.max("invoice_time").alias("last_time"), F.count_if(F.col("customer_id").isNull()).alias("missing_customers"), F.count_if(F.col("description").isNull()).alias("missing_descriptions"),
         F.count_if(is_cancellation()).alias("cancellation_lines"), F.count_if(F.col("quantity") < 0).alias("negative_lines"), F.count_if(F.col("unit_price") <= 0).alias("unpriced_lines"),
     )
-    for column, name in (("invoice_no", "invoices"), ("customer_id", "customers"), ("stock_code", "products")):
-        figures = figures.crossJoin(F.broadcast(audit.agg(F.count_distinct(column).alias(name))))  # one row each
+    for column, name, dim in (("invoice_no", "invoices", None), ("customer_id", "customers", customer_dim), ("stock_code", "products", product_dim)):
+        names = audit.select(column) if dim is None else audit.where(~is_fact()).select(column).unionByName(dim.select(column))
+        figures = figures.crossJoin(F.broadcast(names.agg(F.count_distinct(column).alias(name))))  # one row each
     return figures
 
 
@@ -130,6 +141,16 @@ def dimension_matches(ledger_facts: DataFrame, product_dim: DataFrame, customer_
     return joined.agg(F.count("*").alias("fact_rows"), F.count("product_key").alias("product_matches"), F.count("customer_key").alias("customer_matches"))
 
 
+def key_matches(by_product: DataFrame, by_customer: DataFrame, product_dim: DataFrame, customer_dim: DataFrame) -> DataFrame:
+    """What ``dimension_matches`` says, from the facts' keys with their numbers of ``lines``: a row for each key is joined, not one for each fact."""
+    p = product_dim.select("stock_code", F.col("stock_code").alias("product_key"))
+    c = customer_dim.select("customer_id", F.col("customer_id").alias("customer_key"))
+    lines = lambda key: F.coalesce(F.sum(F.when(F.col(key).isNotNull(), F.col("lines"))), F.lit(0))
+    found = by_product.join(p, "stock_code", "left").agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("fact_rows"), lines("product_key").alias("product_matches"))
+    known = by_customer.join(c, "customer_id", "left").agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("customer_rows"), lines("customer_key").alias("customer_matches"))
+    return found.crossJoin(F.broadcast(known))  # one row each
+
+
 def dimension_sizes(product_dim: DataFrame, customer_dim: DataFrame) -> DataFrame:
     one = customer_dim.agg(F.count("*").alias("customers"))
     return product_dim.agg(F.count("*").alias("products")).crossJoin(F.broadcast(one))
@@ -144,19 +165,30 @@ class ReconciliationError(RuntimeError):
     """Totals of two steps differ."""
 
 
-def reconcile(raw: DataFrame, audit: DataFrame, ledger_facts: DataFrame, product_dim: DataFrame, customer_dim: DataFrame, expected_rows: int | None = None, seen: Row | None = None) -> dict:
+def reconcile(
+    raw: DataFrame, audit: DataFrame, ledger_facts: DataFrame, product_dim: DataFrame, customer_dim: DataFrame, expected_rows: int | None = None, seen: Row | None = None,
+    keys: tuple[DataFrame, DataFrame] | None = None, parts: int | None = None,
+) -> dict:
     """Check that no row and no amount was lost between the steps; the figures, or ReconciliationError.
 
-    ``seen`` is the row of ``source_marks``, if it was made before.
+    ``seen`` is the row of ``source_marks``, if it was made before; ``keys`` are the facts' products and customers with their
+    numbers of ``lines``, if they were counted before.  ``parts`` says into how many tasks ids are dealt.
     """
-    source = seen or source_marks(raw).first()
-    kept = audit.agg(F.count("*").alias("row_count"), F.sum("signed_amount").cast("decimal(38,6)").alias("amount"), row_marks("source_row_id").alias("ids"), F.count_if(F.col("disposition").isin(PURCHASE, CANCELLATION)).alias("retained")).first()
-    distinct = audit.agg(F.count_distinct("source_row_id")).first()[0]  # both sides have the same ids, so they are counted on one
+    source, amount = seen or source_marks(raw).first(), F.sum("signed_amount").cast("decimal(38,6)").alias("amount")
+    retained = [F.count_if(is_fact()).alias("retained"), F.sum(F.when(is_fact(), F.col("signed_amount"))).cast("decimal(38,6)").alias("retained_amount"), F.sum(F.when(is_fact(), F.xxhash64("source_row_id")).cast("decimal(38,0)")).alias("retained_ids")]
+    kept = audit.agg(F.count("*").alias("row_count"), amount, row_marks("source_row_id").alias("ids"), *retained).first()
+    ids = audit.select("source_row_id")
+    distinct = (ids if parts is None else ids.repartition(parts, "source_row_id")).agg(F.count_distinct("source_row_id")).first()[0]  # both sides have the same ids, so they are counted on one
     if any(source[c] != kept[c] for c in ("row_count", "amount", "ids")) or kept["row_count"] != distinct:
         raise ReconciliationError(f"source {tuple(source)} and audit {tuple(kept)} differ")
     if expected_rows is not None and source["row_count"] != expected_rows:
         raise ReconciliationError(f"{source['row_count']} rows, the manifest says {expected_rows}")
-    retained, match = kept["retained"], dimension_matches(ledger_facts, product_dim, customer_dim).first()
-    if not retained == match["fact_rows"] == match["product_matches"]:
-        raise ReconciliationError(f"{retained} retained lines, {match['fact_rows']} facts, {match['product_matches']} with a product")
+    stored = ledger_facts.agg(F.count("*"), amount, row_marks("source_row_id")).first()
+    if tuple(stored) != (kept["retained"], kept["retained_amount"], kept["retained_ids"]):
+        raise ReconciliationError(f"the audit retains {tuple(kept)[3:]}, the facts are {tuple(stored)}")
+    match = (key_matches(*keys, product_dim, customer_dim) if keys else dimension_matches(ledger_facts, product_dim, customer_dim)).first()
+    if keys and match["customer_rows"] != (known := keys[1].agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0]):
+        raise ReconciliationError(f"{known} facts have a customer, {match['customer_rows']} are joined to one")
+    if not kept["retained"] == match["fact_rows"] == match["product_matches"]:
+        raise ReconciliationError(f"{kept['retained']} retained lines, {match['fact_rows']} facts, {match['product_matches']} with a product")
     return {"rows": source["row_count"], "amount": str(source["amount"]), "facts": match["fact_rows"], "customer_matches": match["customer_matches"]}

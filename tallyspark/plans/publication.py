@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import ledger
+from ..staging import brief_shuffles
 from ..streaming.pipeline import code_version
 from .folder import Folder
 
@@ -206,29 +207,45 @@ def _write_months(rows: DataFrame, path: str) -> None:
     writer.parquet(path)
 
 
-def build_release(raw: DataFrame, root: Place, source_sha: str, expected_rows: int | None = None, version: str | None = None) -> str:
+#: Rows that a task classifies at most, and at least while there are idle cores: what it sorts stays in memory.
+ROWS, FEW_ROWS = 750_000, 50_000
+
+
+def _parts(spark: SparkSession, rows: int) -> int:
+    return max(1, -(-rows // ROWS), min(spark.sparkContext.defaultParallelism, -(-rows // FEW_ROWS)))
+
+
+def build_release(raw: DataFrame, root: Place, source_sha: str, expected_rows: int | None = None, version: str | None = None, dealt_by: tuple[str, ...] = ()) -> str:
     """Audit, facts and dimensions as Parquet tables of a release named by source, rows and code; the release's id.
 
     The audit and the facts are partitioned by month.  The same input and code give the same id, whose tables are
-    verified and not written again.
+    verified and not written again.  ``dealt_by`` names columns that rows of equal content share and by which ``raw`` is
+    dealt out already: rows are classified where they are.
     """
     version, root = version or code_version(), Folder.of(raw.sparkSession, root)
-    with writer_lock(root / "releases.lock") as lease:
+    with writer_lock(root / "releases.lock") as lease, brief_shuffles(raw.sparkSession):
         # one pass over the source for its name and its totals
         rows = ledger.source_marks(raw).first()
         release = identity(source_sha, f"{rows['row_count']}/{rows['contents']}", version)
 
         def fill(part: Folder) -> dict:
-            spark = raw.sparkSession
+            spark, parts = raw.sparkSession, _parts(raw.sparkSession, rows["row_count"])
             uri = lambda name: f"{part}/{name}"
-            _write_months(ledger.classify(raw), uri("audit"))
+            # rows that lie in smaller parts are still sorted part by part; a task writes a file for each month, so some share one
+            _write_months(ledger.classify(raw, dealt_by).coalesce(parts) if dealt_by else ledger.classify(raw, parts=parts), uri("audit"))
             audit = spark.read.parquet(uri("audit"))
             _write_months(ledger.facts(audit), uri("facts"))
             facts = spark.read.parquet(uri("facts"))
-            ledger.customers(facts).write.parquet(uri("customers"))
-            ledger.products(facts).write.parquet(uri("products"))
-            figures = ledger.reconcile(raw, audit, facts, spark.read.parquet(uri("products")), spark.read.parquet(uri("customers")), expected_rows, rows)
-            profile = ledger.input_profile(audit).first().asDict()
+            # one pass by key gives a dimension and what its lines are counted by
+            lines, keys, dims = F.count("*").alias("lines"), [], []
+            for name, gathered in (("products", ledger.products(facts, lines)), ("customers", ledger.customers(facts, lines))):
+                gathered.write.parquet(uri(f"keys/{name}"))
+                keys.append(spark.read.parquet(uri(f"keys/{name}")))
+                keys[-1].drop("lines").write.parquet(uri(name))
+                dims.append(spark.read.parquet(uri(name)))
+            figures = ledger.reconcile(raw, audit, facts, *dims, expected_rows, rows, tuple(keys), parts)
+            (part / "keys").remove()
+            profile = ledger.input_profile(audit, *dims).first().asDict()
             write_json(part / "quality.json", figures | profile | {"dispositions": [r.asDict() for r in ledger.dispositions(audit).collect()]})
             return {"release": release, "source": source_sha, "version": version}
 

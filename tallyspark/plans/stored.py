@@ -15,7 +15,7 @@ from ..functions import parse
 from ..operators import ledger, metrics, ranking, snapshots
 from ..sources import events as sources
 from ..sources import workbook
-from ..staging import shared_dir
+from ..staging import brief_shuffles, shared_dir
 from ..streaming import pipeline
 from . import adapters, publication
 from .adapters import EVENTS_SQL, LEDGER_SQL
@@ -44,8 +44,10 @@ def json_lines(spark, sf_dir):
 def _release(spark, sf_dir: str) -> tuple[str, str]:
     root = shared_dir(spark)
     landing = f"{root}/landing"
-    workbook.write_landing(adapters.ledger_rows(spark, sf_dir), landing)
-    return root, publication.build_release(workbook.read_landing(spark, landing), root, "synthetic")
+    rows, parts = adapters.ledger_rows(spark, sf_dir, "l_orderkey"), adapters.line_parts(spark, sf_dir)
+    # rows are dealt out by order once, for the landing and for the release
+    with brief_shuffles(spark), workbook.dealt_landing(rows, landing, "l_orderkey", parts) as raw:
+        return root, publication.build_release(raw, root, "synthetic", dealt_by=("l_orderkey",))
 
 
 @query("release_facts", f"{LEDGER_SQL} SELECT * FROM facts")

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tallyspark import cli
 from tallyspark.config import ExperimentPlan, ProfileBatch, ScoreBatch
-from tallyspark.operators import customers
-from tallyspark.plans import experiment, publication, serving
+from tallyspark.operators import customers, ledger
+from tallyspark.plans import experiment, publication, serving, stored
 from tallyspark.plans.folder import Folder
 from tallyspark.sources import workbook
-from test_ledger import FACTS, ROWS, fact, raw
+from test_ledger import FACTS, ROWS, fact, raw, shuffles
 
 
 def test_release_is_named_by_its_content(spark, tmp_path):
@@ -43,6 +43,84 @@ def test_months_of_a_release_build_no_dictionaries_of_ids(spark, tmp_path):
             assert {c.compression for c in columns.values()} == {"ZSTD"}
 
 
+def _copies(spark, n=800):
+    """Rows of one month; a content comes twenty times, an order has two contents."""
+    rows = [(f"{n % 40 // 2}-{n % 2}", str(n), f"S{n % 7}", "apple", "2", "2011-01-05T10:00", "2.5", f"c{n % 9}", "UK") for n in range(n)]
+    return raw(spark, rows).withColumn("k", F.substring_index("content_hash", "-", 1).cast("long"))
+
+
+def test_dealt_rows_are_classified_where_they_are(spark, tmp_path):
+    """A landing in buckets by what equal contents share needs no exchange, and its release holds what any other does."""
+    rows = _copies(spark)
+    plain = publication.build_release(rows.drop("k"), tmp_path / "a", "sha", 800, "v1")
+    with workbook.dealt_landing(rows.repartition(6, "k"), f"file://{tmp_path}/landing", "k", 6) as landing:
+        assert sorted(landing.drop("k").collect()) == sorted(rows.drop("k").collect())
+        assert shuffles(ledger.classify(landing, ("k",)))[0] == 0 and shuffles(ledger.classify(landing))[0] == 1
+        dealt = publication.build_release(landing, tmp_path / "b", "sha", 800, "v1", dealt_by=("k",))
+        name = [t.name for t in spark.catalog.listTables() if t.name.startswith("landing_")]
+        assert len(name) == 1
+    assert not spark.catalog.tableExists(name[0]) and len(list((tmp_path / "landing").glob("*.csv.gz"))) == 6
+    for table in ("audit", "facts", "customers", "products"):
+        one, two = (publication.release_table(spark, tmp_path / x, r, table) for x, r in (("a", plain), ("b", dealt)))
+        assert one.count() == two.count() > 0 and one.exceptAll(two.select(one.columns)).count() == 0
+    assert (tmp_path / "a" / plain / "quality.json").read_text() == (tmp_path / "b" / dealt / "quality.json").read_text()
+
+
+def test_order_lines_of_a_release_are_dealt_out_once(spark, monkeypatch):
+    """From the tables to the audit lines are shuffled once, by order: the landing keeps them so."""
+    seen, write = [], publication._write_months
+    monkeypatch.setattr(publication, "_write_months", lambda rows, path: (seen.append(shuffles(rows)[0]), write(rows, path)))
+    assert stored.release_facts(spark, "/root/testdata/sf0.001").count() > 0 and seen == [0, 0]
+
+
+def test_rows_of_a_release_are_sorted_in_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    """The tasks that classify follow the rows, whatever the session's shuffles and the landing's buckets are."""
+    monkeypatch.setattr(publication, "ROWS", 100)
+    rows = _copies(spark)
+    one = publication.build_release(rows.drop("k"), tmp_path / "a", "sha", 800, "v1")
+    with workbook.dealt_landing(rows.repartition(12, "k"), f"file://{tmp_path}/landing", "k", 12) as landing:
+        two = publication.build_release(landing, tmp_path / "b", "sha", 800, "v1", dealt_by=("k",))
+    for files in (list((tmp_path / x / r / "audit").rglob("*.parquet")) for x, r in (("a", one), ("b", two))):
+        assert 4 < len(files) <= 8
+
+
+def test_shuffle_files_of_a_release_go_with_its_steps(spark, tmp_path):
+    disks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {n.rsplit("/", 1)[1] for n in disks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in n}
+    before = held()
+    publication.build_release(_copies(spark).drop("k"), tmp_path, "sha", 800, "v1")
+    for _ in range(50):  # they are removed without waiting for it
+        if not held() - before:
+            break
+        time.sleep(0.2)
+    assert not held() - before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_keys_and_figures_of_a_release(spark, tmp_path):
+    """Counts by key say what a join of each fact says; names that no fact has are counted in the profile too; other facts are refused."""
+    lost = [("h20", "108", "Z", "x", "1", "never", "1", "c7", "UK")]
+    audit = ledger.classify(raw(spark, ROWS + lost))
+    facts, lines = ledger.facts(audit), F.count("*").alias("lines")
+    products, people = ledger.products(facts), ledger.customers(facts)
+    keys = ledger.products(facts, lines), ledger.customers(facts, lines)
+    for p, c in ((products, people), (products.where("stock_code = 'A'"), people.limit(0))):
+        assert ledger.key_matches(*keys, p, c).select("fact_rows", "product_matches", "customer_matches").first() == ledger.dimension_matches(facts, p, c).first()
+    assert ledger.input_profile(audit, products, people).first() == ledger.input_profile(audit).first() and ledger.input_profile(audit).first()["products"] == 3
+    none = facts.limit(0)
+    assert tuple(ledger.key_matches(ledger.products(none, lines), ledger.customers(none, lines), products, people).first()) == (0, 0, 0, 0)
+    source = raw(spark, ROWS + lost)
+    assert ledger.reconcile(source, audit, facts, products, people, 11, keys=keys, parts=3) == ledger.reconcile(source, audit, facts, products, people, 11)
+    with pytest.raises(ledger.ReconciliationError):
+        ledger.reconcile(source, audit, facts, products.limit(1), people, 11, keys=keys)
+    twice = people.unionByName(people)
+    with pytest.raises(ledger.ReconciliationError):
+        ledger.reconcile(source, audit, facts, products, twice, 11, keys=keys)
+    # as many facts of the same amount, but one of them is another's copy
+    forged = facts.withColumn("source_row_id", F.when(F.col("source_row_id") == "r1", "r2").otherwise(F.col("source_row_id")))
+    with pytest.raises(ledger.ReconciliationError):
+        ledger.reconcile(source, audit, forged, products, people, 11)
+
+
 def test_a_failed_release_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="manifest"):
         publication.build_release(raw(spark, ROWS), tmp_path, "sha", 11, "v1")
