@@ -84,16 +84,20 @@ def test_rows_of_a_release_are_sorted_in_parts_of_bounded_size(spark, tmp_path,
         assert 4 < len(files) <= 8
 
 
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n.rsplit("/", 1)[1] for n in files.mkString("\n").split("\n") if "/shuffle_" in n}
+
+
 def test_shuffle_files_of_a_release_go_with_its_steps(spark, tmp_path):
-    disks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
-    held = lambda: {n.rsplit("/", 1)[1] for n in disks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in n}
-    before = held()
-    publication.build_release(_copies(spark).drop("k"), tmp_path, "sha", 800, "v1")
-    for _ in range(50):  # they are removed without waiting for it
-        if not held() - before:
-            break
-        time.sleep(0.2)
-    assert not held() - before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    for step in (lambda: publication.build_release(_copies(spark).drop("k"), tmp_path, "sha", 800, "v1"), lambda: stored.ledger_reconciliation(spark, "/root/testdata/sf0.001")):
+        before = _shuffle_files(spark)
+        step()
+        for _ in range(50):  # they are removed without waiting for it
+            if not _shuffle_files(spark) - before:
+                break
+            time.sleep(0.2)
+        assert not _shuffle_files(spark) - before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
 def test_keys_and_figures_of_a_release(spark, tmp_path):
